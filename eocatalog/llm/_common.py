@@ -62,3 +62,9 @@ def strip(text: Column) -> Column:
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WHITE_RE), "")
+
+
+def carried(docs: DataFrame, added: list[str]) -> list[str]:
+    """The columns of docs that an operator carries along: those without the name of an added one."""
+    taken = {a.lower() for a in added}
+    return [n for n in docs.columns if n.lower() not in taken]

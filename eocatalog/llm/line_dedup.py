@@ -22,15 +22,16 @@ def _key(line: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of docs with ``lines`` (all), ``kept_lines``, ``n_dropped``; text_col is the kept text.
+    """Every row of docs with ``_n_lines`` (before) and ``_n_dropped``; text_col is the kept text.
 
     A line's key is the line without white space at its ends and with A-Z lower-cased. Keys of
     at least min_chars code points in at least min_docs distinct ids lose their lines except in
     the largest of those ids, where all of them stay. A null or empty text is one empty line. Rows
     with a null id count for no key and keep every line; rows that share an id count once and
-    lose the same lines. Extra columns are carried along, whatever their names.
+    lose the same lines. Extra columns are carried along; ones named like an
+    added column are replaced.
     """
-    names = docs.columns
+    names = c.carried(docs, ["_n_lines", "_n_dropped"])
     rows = docs.select(F.struct(*[docs[n] for n in names]).alias("row"), F.col(id_col).alias("id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("lines"))
     long_keys = F.filter(F.transform("lines", _key), lambda k: F.char_length(k) >= min_chars)
     hashes = F.array_distinct(F.transform(long_keys, _key_hash))

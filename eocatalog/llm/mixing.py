@@ -57,10 +57,11 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
         given = [F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(float(w))) for s, w in weights.items()]
         weight = F.coalesce(*given, F.lit(0.0))
     sizes = sizes.withColumn("weight", weight)
-    totals = sizes.agg(F.sum("chars").alias("all_chars"), F.sum("weight").alias("all_weight"))
-    rate = F.when((F.col("chars") == 0) | (F.col("all_weight") == 0), 1.0).otherwise(F.col("weight") / F.col("all_weight") * F.col("all_chars") / F.col("chars"))
-    # one row of totals stands beside each source: a scalar, not a product of two tables
-    return sizes.join(F.broadcast(totals)).select("source", rate.alias("rate"))
+    sizes = c.materialise(sizes, "source-sizes")
+    totals = sizes.agg(F.sum("chars").alias("chars"), F.sum("weight").alias("weight")).first()
+    all_chars, all_weight = F.lit(totals.chars), F.lit(totals.weight)
+    rate = F.when((F.col("chars") == 0) | (all_weight == 0), 1.0).otherwise(F.col("weight") / all_weight * all_chars / F.col("chars"))
+    return sizes.select("source", rate.alias("rate"))
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = 0.5, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -68,10 +69,11 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, tempera
 
     Partitions hold copies by hash, each sorted by ``_order``; read in turn they are a random
     permutation. A null source is a source of its own. A null id is hashed as the empty string;
-    rows that share an id are repeated equally often. An empty table stays empty.
+    rows that share an id are repeated equally often. An empty table stays empty. Extra columns are
+    carried along; ones named like an added column are replaced.
     """
     rates = c.materialise(source_rates(docs, weights, temperature, source_col, text_col), "rates")
-    names = docs.columns
+    names = c.carried(docs, ["_copy", "_order"])
     rows = docs.select(F.struct(*[docs[n] for n in names]).alias("row"), F.col(source_col).alias("_source"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"))
     rated = rows.join(rates, rows["_source"].eqNullSafe(rates["source"]))
     count = poisson_quantile(_uniform(seed, F.col("_id")), F.col("rate"))

@@ -78,14 +78,16 @@ def _line_fails(line: Column, max_symbol_share: float, max_separators: int) -> C
 
 
 def assess(docs: DataFrame, max_lost: float = 0.3, max_symbol_share: float = 0.2, max_separators: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of docs with its counts, ``cleaned`` text, ``base_failed`` and ``kept``.
+    """Every row of docs with its counts, ``_cleaned`` text, ``_base_failed`` and ``_kept``.
 
     A document fails the base rules with under ten words, or when over a fifth of its words lie in
     repeated five-word windows. Otherwise it is rejected when its failing lines hold more than
     max_lost of its word characters. A null or empty text has no words and fails. Ids are not
-    looked at, so null and repeated ids change nothing. Extra columns are carried along.
+    looked at, so null and repeated ids change nothing. Extra columns are
+    carried along; ones named like an added column are replaced.
     """
-    names = docs.columns
+    added = ["_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words", "_kept_chars", "_base_failed", "_kept", "_cleaned"]
+    names = c.carried(docs, added)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.struct(*[docs[n] for n in names]).alias("row"), text.alias("t"))
     rows = rows.withColumn("ws", c.words(F.col("t"))).withColumn("lines", F.split("t", "\n"))
@@ -103,8 +105,8 @@ def assess(docs: DataFrame, max_lost: float = 0.3, max_symbol_share: float = 0.2
     rows = rows.withColumn("_base_failed", (F.col("_n_words") < 10) | (100 * F.col("_n_repeat_words") > 20 * F.col("_n_words")))
     enough = F.col("_kept_chars") >= (1 - max_lost) * F.col("_word_chars")
     rows = rows.withColumn("_kept", ~F.col("_base_failed") & enough)
-    added = ["_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words", "_kept_chars", "_base_failed", "_kept", "_cleaned"]
-    return rows.select(*[F.col("row").getField(n).alias(n) for n in names], *added)
+    # the generator keeps later filters from being pushed into these expressions, and evaluated anew there
+    return rows.select(F.inline(F.array(F.struct(*[F.col("row").getField(n).alias(n) for n in names], *added))))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
