@@ -85,7 +85,7 @@ class Pseudonyms:
         ("iban", r"\b(?P<country>[A-Z]{2})(?P<check>[0-9]{2})(?P<bban>(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b"),
         ("date", r"(?<![0-9./-])(?:(?P<y>(?:19|20)[0-9]{2})(?P<s1>[-/.])(?P<m>[0-9]{2})(?P=s1)(?P<d>[0-9]{2})|(?P<p>[0-9]{2})(?P<s2>[-/.])(?P<q>[0-9]{2})(?P=s2)(?P<y2>(?:19|20)[0-9]{2}))(?![0-9])(?![./-][0-9])"),
         ("ssn", r"(?<![0-9-])(?P<area>[0-9]{3})-(?P<group>[0-9]{2})-(?P<serial>[0-9]{4})(?![0-9])(?!-[0-9])"),
-        ("phone", r"(?<![0-9(+])(?P<cc>\+?1[ .-]?)?(?P<ac>\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])(?P<ex>[2-9][0-9]{2})(?P<sep>[ .-])(?P<line>[0-9]{4})(?![0-9])"),
+        ("phone", r"(?<![0-9+])(?P<cc>\+?1[ .-]?)?(?P<ac>\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])(?P<ex>[2-9][0-9]{2})(?P<sep>[ .-])(?P<line>[0-9]{4})(?![0-9])"),
         ("ip", r"(?<![0-9.])(?P<o1>[0-9]{1,3})\.(?P<o2>[0-9]{1,3})\.(?P<o3>[0-9]{1,3})\.(?P<o4>[0-9]{1,3})(?![0-9])(?!\.[0-9])"),
         ("card", r"(?<![0-9])(?P<digits>[0-9](?:[ -]?[0-9]){12,18})(?![0-9])"),
     )
