@@ -153,14 +153,14 @@ def linked_pairs(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, perc
     return np.argwhere(linked)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves: int = 10, per_half: int = 3, block_shingles: int = 60_000, block_sets: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves: int = 12, per_half: int = 3, block_shingles: int = 60_000, block_sets: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
     Rows link when 100 times the intersection of their shingle sets is at least percent times the union;
     component_id is the smallest id reachable, and kept says that it is the row's own. Rows without
     words have an empty set and link with nothing. A row with a null id links with nothing, has no
     component_id and is kept. Rows that share an id count as one document, linked if any of them is.
-    The defaults miss a pair at the threshold about once in 700 and copies never. A group of n different
+    The defaults miss a pair at the threshold about once in 2700 and copies never. A group of n different
     near copies takes n * n / 2 comparisons, spread over tasks by blocks of about
     block_shingles shingles or block_sets sets.
     """
@@ -220,4 +220,4 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(c.table(spark, sf_dir, "documents"), width=3, percent=85, halves=8, per_half=3)
+    return near_duplicates(c.table(spark, sf_dir, "documents"), width=3, percent=85, halves=10, per_half=3)
