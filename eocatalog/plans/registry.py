@@ -2,18 +2,611 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from eocatalog.functions import crs, regions, texts, times
+from eocatalog.operators import aggregates as agg
+from eocatalog.operators import cql2, extents, facts, geometry, refresh, search, stac
+from eocatalog.plans import mapping as m
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
+
+JAN = (dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 20))
+_DARWIN = "interval '9 hours 30 minutes'"
+_EVENTS = "(SELECT event_id::VARCHAR AS id, event_type AS product, ts AS center_time, ts AS added, user_id::VARCHAR AS region_code, value AS size_bytes, props AS doc FROM events)"
+_BOXES = "(SELECT vec_id AS id, label AS srid, least(embedding[1], embedding[3])::DOUBLE AS xmin, least(embedding[2], embedding[4])::DOUBLE AS ymin, greatest(embedding[1], embedding[3])::DOUBLE AS xmax, greatest(embedding[2], embedding[4])::DOUBLE AS ymax FROM embeddings)"
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
 
+def query(name: str, oracle: str | None = None):
+    def add(fn: Query) -> Query:
+        _queries[name] = fn
+        if oracle:
+            _oracles[name] = oracle
+        return fn
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return _queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _oracles
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of all periods with each month's busiest local day."""
+    datasets = m.events(spark, sf_dir)
+    days = agg.day_histogram(datasets).groupBy("product", F.to_date(F.trunc("day", "month")).alias("start_day")).agg(F.max_by("day", F.struct("n", "day")).alias("busiest_day"))
+    return agg.period_rollup(datasets).join(days, ["product", "start_day"], "left")
+
+
+# --- aggregates
+
+
+@query("day_histogram_tz", f"SELECT product, (center_time + {_DARWIN})::DATE AS day, count(*)::BIGINT AS n FROM {_EVENTS} GROUP BY 1, 2")
+def _(spark, d):
+    return agg.day_histogram(m.events(spark, d))
+
+
+@query(
+    "timeline_zero_filled",
+    f"""WITH days AS (SELECT unnest(generate_series(DATE '2023-12-25', DATE '2024-02-05', INTERVAL 1 DAY))::DATE AS day),
+        e AS (SELECT product, (center_time + {_DARWIN})::DATE AS day FROM {_EVENTS})
+        SELECT p.product, days.day, count(e.day)::BIGINT AS n FROM (SELECT DISTINCT product FROM e) p, days
+        LEFT JOIN e ON e.product = p.product AND e.day = days.day GROUP BY 1, 2""",
+)
+def _(spark, d):
+    return agg.timeline(m.events(spark, d), dt.date(2023, 12, 25), dt.date(2024, 2, 5))
+
+
+@query(
+    "timeline_coarsened",
+    """WITH b AS (SELECT o_orderpriority AS product, o_orderdate::DATE AS day, count(*) AS n FROM orders GROUP BY 1, 2),
+       s AS (SELECT product, count(*) > 366 AS wide FROM b GROUP BY 1)
+       SELECT product, CASE WHEN wide THEN 'month' ELSE 'day' END AS unit,
+              CASE WHEN wide THEN date_trunc('month', day)::DATE ELSE day END AS day, sum(n)::BIGINT AS n
+       FROM b JOIN s USING (product) GROUP BY 1, 2, 3""",
+)
+def _(spark, d):
+    return agg.coarsen(agg.day_histogram(m.orders(spark, d), "UTC"))
+
+
+_ROLLUP = """SELECT o_orderpriority AS product,
+  CASE grouping(o_orderpriority, year(o_orderdate), month(o_orderdate)) WHEN 3 THEN 'all' WHEN 1 THEN 'year' ELSE 'month' END AS period_type,
+  make_date(coalesce(year(o_orderdate), 1900)::INTEGER, coalesce(month(o_orderdate), 1)::INTEGER, 1) AS start_day,
+  count(*)::BIGINT AS dataset_count, round(sum(o_totalprice::DECIMAL(18, 2)), 2)::DOUBLE AS size_bytes
+  FROM orders GROUP BY GROUPING SETS ((o_orderpriority), (o_orderpriority, year(o_orderdate)), (o_orderpriority, year(o_orderdate), month(o_orderdate)))"""
+
+
+def _orders_rollup(spark, d):
+    size = F.sum(F.col("size_bytes").cast("decimal(18,2)")).cast("double")
+    return agg.period_rollup(m.orders(spark, d), None, {"size_bytes": size})
+
+
+query("period_rollup", _ROLLUP)(_orders_rollup)
+
+
+@query(
+    "period_summary",
+    """SELECT CASE WHEN srid % 2 = 0 THEN 'even' ELSE 'odd' END AS product, count(*)::BIGINT AS dataset_count,
+       list_sort(list(DISTINCT srid)) AS srids, sum(id)::BIGINT AS size_bytes, max(id) AS newest_creation_time
+       FROM """ + _BOXES + " WHERE srid IS NOT NULL GROUP BY 1",
+)
+def _(spark, d):
+    f = m.footprints(spark, d).where("srid IS NOT NULL")
+    return agg.period_summary(f.select(F.when(F.col("srid") % 2 == 0, "even").otherwise("odd").alias("product"), "srid", F.col("id").alias("size_bytes"), F.col("id").alias("creation_time")))
+
+
+@query("region_histogram", f"SELECT product, CASE WHEN region_code LIKE '%7' THEN NULL ELSE region_code END AS region_code, count(*)::BIGINT AS n FROM {_EVENTS} GROUP BY 1, 2")
+def _(spark, d):
+    return agg.region_histogram(m.events(spark, d).withColumn("region_code", F.when(~F.col("region_code").like("%7"), F.col("region_code"))))
+
+
+@query("product_extent", f"SELECT product, min(center_time) AS time_earliest, max(center_time) AS time_latest, count(*)::BIGINT AS dataset_count FROM {_EVENTS} GROUP BY 1")
+def _(spark, d):
+    return agg.product_extent(m.events(spark, d))
+
+
+@query("all_period_counts", f"SELECT product, year(nullif(start_day, DATE '1900-01-01')) AS year, CASE period_type WHEN 'month' THEN month(start_day) END AS month, dataset_count FROM ({_ROLLUP})")
+def _(spark, d):
+    r = _orders_rollup(spark, d)
+    year = F.when(F.col("period_type") != "all", F.year("start_day")).cast("long")
+    return r.select("product", year.alias("year"), F.when(F.col("period_type") == "month", F.month("start_day")).cast("long").alias("month"), "dataset_count")
+
+
+@query("total_dataset_count", f"SELECT sum(dataset_count)::BIGINT AS n FROM ({_ROLLUP}) WHERE period_type = 'all'")
+def _(spark, d):
+    return _orders_rollup(spark, d).where("period_type = 'all'").agg(F.sum("dataset_count").alias("n"))
+
+
+@query("common_period", "SELECT o_orderpriority AS product, CASE WHEN min(year(o_orderdate)) = max(year(o_orderdate)) THEN min(year(o_orderdate)) END AS year, CASE WHEN min(year(o_orderdate)) = max(year(o_orderdate)) AND min(month(o_orderdate)) = max(month(o_orderdate)) THEN min(month(o_orderdate)) END AS month, NULL::BIGINT AS day FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1")
+def _(spark, d):
+    days = m.orders(spark, d).where("year(center_time) = 1996").select("product", F.to_date("center_time").alias("day"))
+    out = agg.common_period(days)
+    return out.select("product", *[F.col(c).cast("long").alias(c) for c in ("year", "month", "day")])
+
+
+@query("bar_heights", f"SELECT product, day, n, round(100.0 * n / max(n) OVER (PARTITION BY product), 6)::DOUBLE AS height FROM (SELECT product, center_time::DATE AS day, count(*)::BIGINT AS n FROM {_EVENTS} GROUP BY 1, 2)")
+def _(spark, d):
+    out = agg.bar_heights(agg.day_histogram(m.events(spark, d), "UTC"))
+    return out.withColumn("height", F.round("height", 6).cast("double"))
+
+
+_REGION_COUNTS = f"(SELECT product, region_code, count(*)::BIGINT AS n FROM {_EVENTS} GROUP BY 1, 2)"
+
+
+@query("colour_bins", f"SELECT product, region_code, n, (CASE WHEN hi = lo THEN 0 ELSE least(floor((n - lo) * 5 / (hi - lo)::DOUBLE), 4) END)::INTEGER AS bin FROM (SELECT *, min(n) OVER (PARTITION BY product) AS lo, max(n) OVER (PARTITION BY product) AS hi FROM {_REGION_COUNTS})")
+def _(spark, d):
+    return agg.colour_bins(agg.region_histogram(m.events(spark, d)))
+
+
+@query("region_min_max", f"SELECT product, min(n) AS min_n, max(n) AS max_n FROM {_REGION_COUNTS} GROUP BY 1")
+def _(spark, d):
+    return agg.min_max(agg.region_histogram(m.events(spark, d)))
+
+
+@query("crs_set", "SELECT r_name AS product, list_sort(list(DISTINCT 'EPSG:' || (32600 + n_nationkey)::VARCHAR)) AS crs_list FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def _(spark, d):
+    nation, region = m.read(spark, d, "nation"), m.read(spark, d, "region")
+    datasets = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("product"), F.col("n_nationkey").alias("srid"))
+    names = nation.select(F.col("n_nationkey").alias("srid"), F.lit("EPSG").alias("auth_name"), (F.col("n_nationkey") + 32600).alias("auth_srid"))
+    return agg.crs_names(datasets, names)
+
+
+# --- searches
+
+
+_CONDITION = "center_time BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20' AND product IN ('click', 'purchase')"
+_PRODUCTS = ["click", "purchase"]
+
+
+@query("search_default_page", f"SELECT id, product, center_time FROM {_EVENTS} WHERE {_CONDITION} ORDER BY center_time NULLS LAST, id LIMIT 21 OFFSET 40")
+def _(spark, d):
+    return search.search(m.events(spark, d), search.Search(time=JAN, products=_PRODUCTS, limit=20, offset=40)).select("id", "product", "center_time")
+
+
+@query("search_after_key", f"SELECT id, center_time FROM {_EVENTS} WHERE (center_time > TIMESTAMP '2024-01-15' OR (center_time = TIMESTAMP '2024-01-15' AND id > '500')) ORDER BY center_time, id LIMIT 21")
+def _(spark, d):
+    rest = search.after(m.events(spark, d), dt.datetime(2024, 1, 15), "500")
+    return search.search(rest, search.Search(limit=20)).select("id", "center_time")
+
+
+@query("search_ids", f"SELECT id, product FROM {_EVENTS} WHERE id IN ('5', '77', '901', 'none')")
+def _(spark, d):
+    return search.search(m.events(spark, d), search.Search(ids=["5", "77", "901", "none"])).select("id", "product")
+
+
+@query("search_ids_empty", f"SELECT id, product FROM {_EVENTS} WHERE false")
+def _(spark, d):
+    return search.search(m.events(spark, d), search.Search(ids=[])).select("id", "product")
+
+
+@query("search_bbox", f"SELECT id, xmin, xmax FROM {_BOXES} WHERE xmin <= 0.05 AND xmax >= -0.05 AND ymin <= 0.02 AND ymax >= -0.1")
+def _(spark, d):
+    return search.apply_filters(m.footprints(spark, d), search.Search(bbox=(-0.05, -0.1, 0.05, 0.02))).select("id", "xmin", "xmax")
+
+
+@query("search_intersects", f"SELECT id FROM {_BOXES} WHERE xmin <= 0.3 AND xmax >= 0.1 AND ymin <= 0.4 AND ymax >= 0.0")
+def _(spark, d):
+    shape = {"type": "Polygon", "coordinates": [[[0.1, 0.0], [0.3, 0.1], [0.2, 0.4], [0.1, 0.0]]]}
+    return search.apply_filters(m.footprints(spark, d), search.Search(intersects=shape)).select("id")
+
+
+@query("search_count", f"SELECT count(*)::BIGINT AS n FROM {_EVENTS} WHERE {_CONDITION}")
+def _(spark, d):
+    return search.apply_filters(m.events(spark, d), search.Search(time=JAN, products=_PRODUCTS)).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("search_sortby_desc", f"SELECT id, size_bytes FROM {_EVENTS} ORDER BY size_bytes DESC NULLS FIRST, id LIMIT 51")
+def _(spark, d):
+    return search.search(m.events(spark, d), search.Search(sortby=search.parse_sortby("-size_bytes"), limit=50)).select("id", "size_bytes")
+
+
+@query("search_recent", f"SELECT id, added FROM {_EVENTS} ORDER BY added DESC NULLS FIRST, id LIMIT 21")
+def _(spark, d):
+    return search.search(m.events(spark, d), search.Search(order="recent")).select("id", "added")
+
+
+_REGION = "region_code = '3' AND center_time > TIMESTAMP '2024-01-10' AND center_time < TIMESTAMP '2024-01-20'"
+
+
+@query("search_region", f"SELECT id, center_time FROM {_EVENTS} WHERE product = 'click' AND {_REGION} ORDER BY center_time DESC NULLS LAST, id LIMIT 50")
+def _(spark, d):
+    return search.by_region(m.events(spark, d), "click", "3", *JAN).select("id", "center_time")
+
+
+@query("products_for_region", f"SELECT DISTINCT product FROM {_EVENTS} WHERE {_REGION} ORDER BY product LIMIT 50")
+def _(spark, d):
+    return search.products_for_region(m.events(spark, d), "3", *JAN)
+
+
+@query("range_completion", f"SELECT id FROM {_EVENTS} WHERE size_bytes >= 10 AND size_bytes <= 20 AND center_time >= (SELECT min(ts) FROM events) AND center_time <= TIMESTAMP '2024-01-08'")
+def _(spark, d):
+    e = m.events(spark, d)
+    first, last = e.agg(F.min("center_time"), F.max("center_time")).first()
+    begin, end = times.shift_open_range(None, dt.datetime(2024, 1, 8), first, last)
+    return e.where(search.field_predicate(F.col("size_bytes"), 20, 10) & search.time_filter(begin, end)).select("id")
+
+
+@query("union_limited", f"SELECT id, product FROM (SELECT id, product, row_number() OVER (PARTITION BY product ORDER BY center_time, id) AS k FROM {_EVENTS}) WHERE k <= 7")
+def _(spark, d):
+    return facts.first_rows(m.events(spark, d), "product", [F.col("center_time").asc(), F.col("id").asc()], 7).select("id", "product")
+
+
+# --- CQL2
+
+
+_CQL_SQL = f"SELECT id FROM {_EVENTS} WHERE (product = 'click' OR product LIKE 'pur%') AND size_bytes BETWEEN 5 AND 60.5 AND NOT region_code IN ('1', '2') AND region_code::DOUBLE * 2 > 9 AND center_time < TIMESTAMP '2024-01-25'"
+CQL_TEXT = "(collection = 'click' OR properties.product LIKE 'pur%') AND size_bytes BETWEEN 5 AND 60.5 AND region_code NOT IN ('1','2') AND region_code * 2 > 9 AND T_BEFORE(datetime, TIMESTAMP('2024-01-25T00:00:00Z'))"
+CQL_JSON = {
+    "op": "and",
+    "args": [
+        {"op": "or", "args": [{"op": "=", "args": [{"property": "collection"}, "click"]}, {"op": "like", "args": [{"property": "product"}, "pur%"]}]},
+        {"op": "between", "args": [{"property": "size_bytes"}, 5, 60.5]},
+        {"op": "not", "args": [{"op": "in", "args": [{"property": "region_code"}, ["1", "2"]]}]},
+        {"op": ">", "args": [{"op": "*", "args": [{"property": "region_code"}, 2]}, 9]},
+        {"op": "t_before", "args": [{"property": "datetime"}, {"timestamp": "2024-01-25T00:00:00Z"}]},
+    ],
+}
+
+
+@query("cql2_text", _CQL_SQL)
+def _(spark, d):
+    return search.apply_filters(m.events(spark, d), search.Search(filter=CQL_TEXT)).select("id")
+
+
+@query("cql2_json", _CQL_SQL)
+def _(spark, d):
+    return search.apply_filters(m.events(spark, d), search.Search(filter=CQL_JSON)).select("id")
+
+
+@query("cql2_undefined", f"SELECT id FROM {_EVENTS} WHERE product = 'click'")
+def _(spark, d):
+    return search.apply_filters(m.events(spark, d), search.Search(filter="collection = 'click' AND (no:such > 5 OR no:such IS NULL)")).select("id")
+
+
+@query("cql2_spatial", f"SELECT id FROM {_BOXES} WHERE srid > 2 AND xmin <= 0.2 AND xmax >= -0.1 AND ymin <= 0.1 AND ymax >= -0.1")
+def _(spark, d):
+    return search.apply_filters(m.footprints(spark, d), search.Search(filter="srid > 2 AND S_INTERSECTS(geometry, POLYGON((-0.1 -0.1, 0.2 -0.1, 0.2 0.1, -0.1 0.1, -0.1 -0.1)))")).select("id")
+
+
+# --- facts of products
+
+
+@query(
+    "arrivals",
+    f"""WITH r AS (SELECT added::DATE AS day, product, id FROM {_EVENTS} WHERE added::DATE > (SELECT max(added)::DATE - 14 FROM {_EVENTS}))
+        SELECT day, product, count(*)::BIGINT AS n, list_sort(list(id))[1:3] AS sample_ids FROM r GROUP BY 1, 2""",
+)
+def _(spark, d):
+    return facts.arrivals(m.events(spark, d))
+
+
+@query(
+    "quality_stats",
+    """SELECT source AS product, count(*)::BIGINT AS n, (count(*) FILTER (text IS NULL))::BIGINT AS missing_footprint, sum(strlen(text))::BIGINT AS footprint_size,
+       round(stddev_samp(strlen(text)), 4) AS footprint_stddev, (count(*) FILTER (quality IS NULL))::BIGINT AS missing_srid, count(n_chars)::BIGINT AS has_file_size, count(lang)::BIGINT AS has_region
+       FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""",
+)
+def _(spark, d):
+    docs = m.read(spark, d, "documents").join(m.read(spark, d, "labels"), "doc_id", "left")
+    out = facts.quality_stats(docs.select(F.col("source").alias("product"), F.col("text").alias("footprint"), F.col("quality").alias("srid"), F.col("n_chars").alias("size_bytes"), F.col("lang").alias("region_code")))
+    return out.withColumn("footprint_stddev", F.round("footprint_stddev", 4))
+
+
+_FIXED = ("lang", "toxic", "kind")
+
+
+@query(
+    "fixed_metadata",
+    """WITH r AS (SELECT source AS product, doc_id AS id, lang, toxic::VARCHAR AS toxic, left(source, 3) AS kind FROM documents LEFT JOIN labels USING (doc_id)),
+       f AS (SELECT product, min_by(lang, id) AS l, arg_min_null(toxic, id) AS t, min_by(kind, id) AS k FROM r GROUP BY 1),
+       j AS (SELECT r.*, l, t, k FROM r JOIN f USING (product))
+       SELECT product, 'lang' AS field, any_value(l) AS value, coalesce(bool_and(lang = l), false) AS is_fixed FROM j GROUP BY 1
+       UNION ALL SELECT product, 'toxic', any_value(t), coalesce(bool_and(CASE WHEN t IS NULL THEN toxic IS NULL ELSE toxic = t END), false) FROM j GROUP BY 1
+       UNION ALL SELECT product, 'kind', any_value(k), coalesce(bool_and(kind = k), false) FROM j GROUP BY 1""",
+)
+def _(spark, d):
+    docs = m.read(spark, d, "documents").join(m.read(spark, d, "labels"), "doc_id", "left")
+    rows = docs.select(F.col("source").alias("product"), F.col("doc_id").alias("id"), "lang", "toxic", F.left("source", F.lit(3)).alias("kind"))
+    return facts.fixed_fields(rows, list(_FIXED))
+
+
+@query(
+    "linked_products",
+    """SELECT p_brand AS product, coalesce(string_agg(DISTINCT n_name, ',' ORDER BY n_name), '') AS linked
+       FROM part LEFT JOIN lineitem ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey GROUP BY 1""",
+)
+def _(spark, d):
+    items = m.read(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("dataset_ref"), F.concat(F.lit("s"), "l_suppkey").alias("source_ref"))
+    parts = m.read(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_brand").alias("product"))
+    suppliers = m.read(spark, d, "supplier").join(m.read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("n_name").alias("product"))
+    linked = facts.linked_products(items, parts.unionByName(suppliers))
+    return parts.select("product").distinct().join(linked, "product").select("product", F.array_join("linked", ",").alias("linked"))
+
+
+@query("months_needing_update", f"SELECT product, date_trunc('month', center_time + {_DARWIN})::DATE AS month, count(*)::BIGINT AS n FROM {_EVENTS} WHERE added > TIMESTAMP '2024-01-20' GROUP BY 1, 2")
+def _(spark, d):
+    return facts.months_needing_update(m.events(spark, d), dt.datetime(2024, 1, 20), agg.GROUPING_TZ, "added")
+
+
+@query(
+    "years_needing_update",
+    """WITH o AS (SELECT o_custkey AS key, year(o_orderdate)::BIGINT AS year, o_totalprice AS p, o_orderstatus AS s FROM orders),
+       years AS (SELECT key, year, max(p) AS generated FROM o WHERE s = 'F' GROUP BY 1, 2), months AS (SELECT key, year, p AS generated FROM o WHERE s = 'O')
+       SELECT DISTINCT key, year FROM o WHERE NOT EXISTS (SELECT 1 FROM years y WHERE y.key = o.key AND y.year = o.year)
+       UNION SELECT key, year FROM years y WHERE EXISTS (SELECT 1 FROM months m WHERE m.key = y.key AND m.year = y.year AND m.generated > y.generated)""",
+)
+def _(spark, d):
+    o = m.orders(spark, d).select(F.col("region_code").alias("key"), F.year("center_time").cast("long").alias("year"), F.col("size_bytes").alias("generated"), "status")
+    years = o.where("status = 'F'").groupBy("key", "year").agg(F.max("generated").alias("generated"))
+    return facts.years_needing_update(o.select("key", "year").distinct(), years, o.where("status = 'O'").select("key", "year", "generated"))
+
+
+@query("needs_refresh", f"SELECT product, max(added) > TIMESTAMP '2024-01-29 12:00:00' AS needs_refresh FROM {_EVENTS} GROUP BY 1")
+def _(spark, d):
+    e = m.events(spark, d)
+    products = e.select("product").distinct().withColumn("last_refresh", F.lit(dt.datetime(2024, 1, 29, 12)).cast("timestamp_ntz"))
+    return facts.needs_refresh(facts.most_recent_change(e, "added"), products)
+
+
+@query("orphan_rows", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1995)")
+def _(spark, d):
+    c = m.read(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    return extents.delete_archived(c, m.orders(spark, d).where("year(center_time) = 1995").select(F.col("region_code").alias("id")))
+
+
+@query("upsert_extents", "SELECT c_custkey AS id, coalesce(n.bal, c_acctbal) AS bal FROM customer LEFT JOIN (SELECT c_custkey AS k, c_acctbal + 1 AS bal FROM customer WHERE c_nationkey < 5) n ON k = c_custkey UNION ALL SELECT -1, 0.5")
+def _(spark, d):
+    c = m.read(spark, d, "customer")
+    new = c.where("c_nationkey < 5").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") + 1).alias("bal"))
+    more = spark.createDataFrame([(-1, 0.5)], "id long, bal double")
+    return extents.upsert(c.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("bal")), new.unionByName(more))
+
+
+@query("changed_time", "SELECT l_orderkey AS id, l_linenumber AS line, greatest(l_shipdate, CASE WHEN l_returnflag <> 'N' THEN l_shipdate + INTERVAL 3 DAY END) AS changed FROM lineitem")
+def _(spark, d):
+    li = m.read(spark, d, "lineitem").withColumn("updated", F.when(F.col("l_returnflag") != "N", F.col("l_shipdate") + F.expr("INTERVAL 3 DAYS")))
+    return li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), facts.changed_time("l_shipdate", "updated").alias("changed"))
+
+
+@query("creation_time", f"SELECT id, coalesce(CASE WHEN id::BIGINT % 3 = 0 THEN center_time END, CASE WHEN id::BIGINT % 3 = 1 THEN center_time + INTERVAL 1 HOUR END, added + INTERVAL 1 DAY) AS created FROM {_EVENTS}")
+def _(spark, d):
+    kind = F.col("id").cast("long") % 3
+    text = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    doc = F.to_json(F.struct(F.when(kind == 0, text(F.col("center_time"))).alias("created"), F.when(kind == 1, text(F.col("center_time") + F.expr("INTERVAL 1 HOUR"))).alias("creation_dt")))
+    e = m.events(spark, d).select("id", doc.alias("doc"), (F.col("added") + F.expr("INTERVAL 1 DAY")).alias("added"))
+    md = {"dataset": {"creation_dt": ["creation_dt"], "search_fields": {"created": {"offset": ["created"], "type": "string"}}}}
+    from eocatalog.functions import fields
+
+    own = fields.compile_fields(F.col("doc"), md)
+    return e.select("id", extents.creation_time(F.col("doc"), md, own, F.col("added")).alias("created"))
+
+
+@query("center_time", "SELECT l_orderkey AS id, l_linenumber AS line, make_timestamp((epoch_us(o_orderdate) + epoch_us(l_shipdate)) // 2) AS center_time FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def _(spark, d):
+    j = m.read(spark, d, "lineitem").join(m.read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), times.midpoint(F.col("o_orderdate"), F.col("l_shipdate")).alias("center_time"))
+
+
+@query("json_field", f"SELECT id, (doc->>'$.k')::INTEGER AS k FROM {_EVENTS}")
+def _(spark, d):
+    from eocatalog.functions import fields
+
+    return m.events(spark, d).select("id", fields.field(F.col("doc"), {"offset": ["k"], "type": "integer"}).alias("k"))
+
+
+@query(
+    "srid_resolution",
+    """SELECT n_nationkey AS id, CASE n_nationkey % 4 WHEN 0 THEN 32600 + n_nationkey WHEN 1 THEN 3577 WHEN 2 THEN ('283' || (50 + n_nationkey % 6))::INTEGER ELSE 4326 END::INTEGER AS srid FROM nation""",
+)
+def _(spark, d):
+    key = F.col("n_nationkey")
+    reference = F.when(key % 4 == 0, F.concat(F.lit("EPSG:"), (key + 32600).cast("string"))).when(key % 4 == 1, F.lit('PROJCS["GDA94 / Australian Albers",AUTHORITY["EPSG","3577"]]'))
+    datum = F.when(key % 4 == 2, "GDA94")
+    return m.read(spark, d, "nation").select(key.alias("id"), crs.srid(reference, datum, (-(key % 6) - 50).cast("string"), 4326).alias("srid"))
+
+
+@query("tile_code", "SELECT p_partkey AS id, floor((p_retailprice - 1200) / 100.0)::BIGINT || '_' || floor((p_size - 25) / 7.0)::BIGINT AS region_code FROM part")
+def _(spark, d):
+    return m.read(spark, d, "part").select(F.col("p_partkey").alias("id"), regions.tile_code(F.col("p_retailprice"), F.col("p_size"), 100.0, 7.0, 1200.0, 25.0).alias("region_code"))
+
+
+@query("scene_code", "SELECT l_orderkey AS path, CASE WHEN min(l_linenumber) = max(l_linenumber) THEN l_orderkey || '_' || min(l_linenumber) ELSE l_orderkey::VARCHAR END AS region_code FROM lineitem GROUP BY 1")
+def _(spark, d):
+    rows = m.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("path")).agg(F.min("l_linenumber").alias("lo"), F.max("l_linenumber").alias("hi"))
+    return rows.select("path", regions.scene_code(F.col("path"), F.col("lo"), F.col("hi")).alias("region_code"))
+
+
+@query("equal_area_y", "WITH c AS (SELECT s_suppkey AS id, s_acctbal / 200.0 AS lat, sqrt((1 / 298.257223563) * (2 - 1 / 298.257223563)) AS e FROM supplier), k AS (SELECT *, sin(radians(lat)) AS s, cos(radians(30.0)) / sqrt(1 - (e * sin(radians(30.0))) ** 2) AS k0 FROM c) SELECT id, round(6378137.0 * (1 - e * e) * (s / (1 - (e * s) ** 2) - ln((1 - e * s) / (1 + e * s)) / (2 * e)) / (2 * k0), 3) AS y FROM k")
+def _(spark, d):
+    lat = F.col("s_acctbal") / 200.0
+    return m.read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.round(geometry.equal_area_xy(F.lit(0.0), lat)[1], 3).alias("y"))
+
+
+_LOCATIONS = "(SELECT CASE WHEN page_id % 2 = 0 THEN 'even' ELSE 'odd' END AS product, url AS uri FROM pages WHERE url IS NOT NULL)"
+
+
+def _locations(spark, d):
+    return m.read(spark, d, "pages").where("url IS NOT NULL").select(F.when(F.col("page_id") % 2 == 0, "even").otherwise("odd").alias("product"), F.col("url").alias("uri"))
+
+
+@query("location_samples", f"SELECT product, uri FROM (SELECT *, row_number() OVER (PARTITION BY product ORDER BY uri) AS k FROM {_LOCATIONS}) WHERE k <= 3")
+def _(spark, d):
+    return facts.location_samples(_locations(spark, d))
+
+
+@query(
+    "uri_common_prefix",
+    rf"""WITH g AS (SELECT product, regexp_extract(uri, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1) AS scheme, count(*)::BIGINT AS n, min(uri) AS first_uri, max(uri) AS last_uri FROM {_LOCATIONS} GROUP BY 1, 2)
+        SELECT *, regexp_extract(left(first_uri, len(list_filter(range(1, least(length(first_uri), length(last_uri)) + 1), lambda i: left(first_uri, i) = left(last_uri, i)))), '^(.*/)', 1) AS prefix FROM g""",
+)
+def _(spark, d):
+    return facts.uri_prefixes(_locations(spark, d))
+
+
+@query("file_label", r"SELECT page_id AS id, regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)/*$', 1), '(\.(odc-metadata|stac-item))?\.(ya?ml|json)$', '') AS label FROM pages")
+def _(spark, d):
+    return m.read(spark, d, "pages").select(F.col("page_id").alias("id"), texts.file_label(F.col("url")).alias("label"))
+
+
+@query(
+    "product_grouping",
+    """WITH p AS (SELECT DISTINCT p_type AS product FROM part),
+       g AS (SELECT product, CASE WHEN regexp_matches(product, '^STANDARD') THEN 'Standard' WHEN regexp_matches(product, 'BRASS|STEEL') THEN 'Metal' ELSE 'Other' END AS group_name FROM p)
+       SELECT product, group_name, count(*) OVER (PARTITION BY group_name)::BIGINT AS group_size,
+              (CASE WHEN group_name = 'Other' THEN (row_number() OVER (PARTITION BY group_name ORDER BY product) - 1) // 5 ELSE 0 END)::INTEGER AS chunk FROM g""",
+)
+def _(spark, d):
+    return facts.group_products(m.read(spark, d, "part").select(F.col("p_type").alias("product")).distinct(), [("Standard", "^STANDARD"), ("Metal", "BRASS|STEEL")])
+
+
+@query("lineage_overflow", "SELECT l_orderkey AS dataset_ref, array_to_string(list_sort(list(l_partkey))[1:3], ',') AS shown, greatest(count(*) - 3, 0)::BIGINT AS remaining FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) GROUP BY 1")
+def _(spark, d):
+    edges = m.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("dataset_ref"), F.col("l_partkey").alias("source_ref")).distinct()
+    return facts.overflow(edges, 3).withColumn("shown", F.array_join(F.transform("shown", lambda x: x.cast("string")), ","))
+
+
+@query("unsummarised_products", "SELECT p_brand AS product FROM (SELECT DISTINCT p_brand FROM part) WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 45)")
+def _(spark, d):
+    part = m.read(spark, d, "part")
+    cells = part.where("p_size > 45").select(F.col("p_brand").alias("product"), F.lit("all").alias("period_type")).distinct()
+    return facts.unsummarised(part.select(F.col("p_brand").alias("product")).distinct(), cells)
+
+
+@query("products_with_summaries", "SELECT p.product, n FROM (SELECT DISTINCT p_brand AS product FROM part) p LEFT JOIN (SELECT p_brand AS product, count(*)::BIGINT AS n FROM part WHERE p_size > 45 GROUP BY 1) s USING (product)")
+def _(spark, d):
+    part = m.read(spark, d, "part").withColumnRenamed("p_brand", "product")
+    return facts.with_summaries(part.select("product").distinct(), part.where("p_size > 45").groupBy("product").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("newest_indexed", "SELECT o_orderpriority AS product, max(l_shipdate) AS newest FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+def _(spark, d):
+    li = m.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_shipdate").alias("added"))
+    return facts.newest_indexed(m.orders(spark, d).select("id", "product"), li)
+
+
+@query("region_coverage_counts", f"SELECT product, region_code, n, box FROM (SELECT product, region_code, n FROM {_REGION_COUNTS}) c JOIN (SELECT n_nationkey::VARCHAR AS code, n_name AS box FROM nation) r ON r.code = c.region_code")
+def _(spark, d):
+    known = m.read(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("region_code"), F.col("n_name").alias("geometry"))
+    counts = agg.region_histogram(m.events(spark, d))
+    products = counts.select("product").distinct()
+    every = known.join(F.broadcast(products), F.lit(True))  # each product knows the same 25 regions
+    return stac.region_features(counts, every).withColumnRenamed("geometry", "box")
+
+
+@query("timeline_json", f"SELECT product, '{{' || string_agg('\"' || day::VARCHAR || '\":' || n::VARCHAR, ',' ORDER BY day) || '}}' AS timeline FROM (SELECT product, center_time::DATE AS day, count(*) AS n FROM {_EVENTS} GROUP BY 1, 2) GROUP BY 1")
+def _(spark, d):
+    return stac.timeline_json(agg.day_histogram(m.events(spark, d), "UTC"))
+
+
+# --- what SQL can't express
+
+
+@query("sample_fixed_metadata")
+def _(spark, d):
+    rows = m.read(spark, d, "documents").select(F.col("source").alias("product"), F.col("doc_id").alias("id"), "lang")
+    return facts.fixed_fields(facts.hash_sample(rows, 1000), ["lang"])
+
+
+def _rectangles(spark, d):
+    f = m.footprints(spark, d).where("srid IS NOT NULL")
+    ring = F.transform(geometry.bounds_polygon(*[F.col(c) * 10 + 135 if c[0] == "x" else F.col(c) * 10 - 25 for c in ("xmin", "ymin", "xmax", "ymax")]), lambda p: F.array(p["x"], p["y"]))
+    text = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")))
+    return f.select("id", (F.col("srid") % 3).alias("product"), F.lit(4326).alias("srid"), geometry.geojson_to_wkb(text).alias("footprint"))
+
+
+@query("footprint_union")
+def _(spark, d):
+    return geometry.union_by(_rectangles(spark, d), ["product"])
+
+
+@query("footprint_valid", f"SELECT id, xmin <> xmax AND ymin <> ymax AS valid, round(100 * (xmax - xmin) * (ymax - ymin), 6) AS area FROM {_BOXES} WHERE srid IS NOT NULL")
+def _(spark, d):
+    return _rectangles(spark, d).select("id", geometry.is_valid("footprint").alias("valid"), F.round(geometry.area("footprint"), 6).alias("area"))
+
+
+@query("footprint_transform")
+def _(spark, d):
+    return _rectangles(spark, d).select("id", geometry.transform(F.col("footprint"), F.col("srid"), 3577).alias("footprint"))
+
+
+@query("geojson_features")
+def _(spark, d):
+    f = m.footprints(spark, d).select(F.col("id").cast("string").alias("id"), F.lit("p").alias("product"), F.lit(dt.datetime(2024, 1, 1)).alias("center_time"), F.col("srid").cast("string").alias("region_code"), "xmin", "ymin", "xmax", "ymax")
+    return stac.features(f)
+
+
+@query("stac_items")
+def _(spark, d):
+    e = m.events(spark, d)
+    nowhere = [F.lit(None).cast("double").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")]
+    return stac.items(e.select("*", *nowhere), {"k": F.get_json_object("doc", "$.k")})
+
+
+@query("incremental_refresh", f"SELECT product, 'month' AS period_type, date_trunc('month', center_time + {_DARWIN})::DATE AS start_day, count(*)::BIGINT AS dataset_count FROM {_EVENTS} WHERE NOT (id::BIGINT % 10 = 0 AND center_time > TIMESTAMP '2024-01-20') GROUP BY 1, 3")
+def _(spark, d):
+    """A refresh of all but the last days, then of the changes of these days, a tenth of them archivals."""
+    cut = F.lit(dt.datetime(2024, 1, 20)).cast("timestamp_ntz")
+    e = m.events(spark, d)
+    old = e.where(F.col("center_time") <= cut)
+    archived = F.when(F.col("id").cast("long") % 10 == 0, F.col("added"))
+    changes = refresh.changes_since(e.withColumn("updated", F.lit(None).cast("timestamp_ntz")).withColumn("archived", archived), dt.datetime(2024, 1, 20))
+    affected = refresh.affected_months(old, changes, agg.GROUPING_TZ)
+    new = refresh.apply_changes(old, changes)
+    cells = refresh.refresh_months(refresh.month_cells(old, agg.GROUPING_TZ), new, affected, agg.GROUPING_TZ)
+    return refresh.roll_up(cells).where("period_type = 'month'").select("product", "period_type", "start_day", "dataset_count")
+
+
+@query("fields_projection", f"""SELECT id, '{{"id":"' || id || '","properties":{{"odc:product":"' || product || '","odc:region_code":"' || region_code || '"}}}}' AS item FROM {_EVENTS}""")
+def _(spark, d):
+    return stac.projected(m.events(spark, d), ["id", "no.such", "properties.odc:product", "properties.odc:region_code"])
+
+
+@query("stream_refresh", f"SELECT product, date_trunc('month', center_time + {_DARWIN})::DATE AS month, count(*)::BIGINT AS dataset_count FROM {_EVENTS} GROUP BY 1, 2")
+def _(spark, d):
+    """Month cells kept by a stream that reads the events as dataset changes."""
+    from eocatalog.sources import tables
+    from eocatalog.streaming.refresh import StreamingRefresh
+
+    raw = spark.readStream.schema(m.read(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    none = F.lit(None).cast("timestamp_ntz")
+    changes = raw.select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("product"), F.col("ts").alias("center_time"), F.col("ts").alias("creation_time"), F.col("value").alias("size_bytes"), F.col("ts").alias("added"), none.alias("updated"), none.alias("archived"))
+    path = tables.work_path(spark, "stream")
+    stream = StreamingRefresh(spark, path)
+    stream.start(changes, f"{path}/progress").awaitTermination()
+    return stream.cells.read().select("product", "month", "dataset_count")
+
+
+@query("cell_lookup", f"SELECT dataset_count, size_bytes FROM ({_ROLLUP}) WHERE product = '1-URGENT' AND period_type = 'month' AND start_day = DATE '1996-03-01'")
+def _(spark, d):
+    kind, start = times.encode_period(1996, 3)
+    cells = _orders_rollup(spark, d)
+    return cells.where((F.col("product") == "1-URGENT") & (F.col("period_type") == kind) & (F.col("start_day") == F.lit(start))).select("dataset_count", "size_bytes")
+
+
+@query("complete_products", "SELECT DISTINCT p_brand AS product FROM part WHERE p_size > 45")
+def _(spark, d):
+    part = m.read(spark, d, "part")
+    cells = part.where("p_size > 45").select(F.col("p_brand").alias("product"), F.lit("all").alias("period_type"))
+    return facts.complete_products(part.select(F.col("p_brand").alias("product")).distinct(), cells)
+
+
+@query("active_scan", f"SELECT id, product FROM {_EVENTS} WHERE product = 'view' AND NOT (id::BIGINT % 4 = 0)")
+def _(spark, d):
+    e = m.events(spark, d).withColumn("archived", F.when(F.col("id").cast("long") % 4 == 0, F.col("added")))
+    return e.where((F.col("product") == "view") & F.col("archived").isNull()).select("id", "product")
+
+
+@query("data_sizes", "SELECT doc_id AS id, CASE WHEN n_chars >= 1024 THEN printf('%.1f KiB', n_chars / 1024.0) ELSE printf('%d B', n_chars) END AS size FROM documents WHERE n_chars < 1048576")
+def _(spark, d):
+    docs = m.read(spark, d, "documents").where("n_chars < 1048576")
+    return docs.select(F.col("doc_id").alias("id"), texts.data_size(F.col("n_chars")).alias("size"))
