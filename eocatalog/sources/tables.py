@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def work_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder that driver and executors share; on this machine only where the session names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     return f"{named or 'file://' + tempfile.mkdtemp(prefix='eocatalog-')}/{label}-{uuid.uuid4().hex}"
 
 
