@@ -56,3 +56,15 @@ def merged(by_product: dict[str, dict[str, Column]]) -> dict[str, Column]:
     """Names over several products: each row reads them as its own product does."""
     names = {n for fields in by_product.values() for n in fields}
     return {n: F.coalesce(*[F.when(F.col("product") == p, fields[n]) for p, fields in by_product.items() if n in fields]) for n in names}
+
+
+def file_paths(doc: Column) -> Column:
+    """name to path of a document's measurements and accessories."""
+    parts = [F.from_json(json_path(doc, [k]), "map<string,struct<path:string>>") for k in ("measurements", "accessories")]
+    entries = [F.coalesce(F.map_entries(p), F.array().cast("array<struct<key:string,value:struct<path:string>>>")) for p in parts]
+    return F.map_from_entries(F.transform(F.concat(*entries), lambda e: F.struct(e["key"], e["value"]["path"])))
+
+
+def thumbnail(doc: Column) -> Column:
+    paths = file_paths(doc)
+    return F.coalesce(F.try_element_at(paths, F.lit("thumbnail:nbart")), F.try_element_at(paths, F.lit("thumbnail")))

@@ -58,3 +58,12 @@ def web_url(uri: Column) -> Column:
 def resolve(base: Column, relative: Column) -> Column:
     """A relative path against the folder of base; full addresses stay."""
     return F.when(relative.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), relative).otherwise(F.concat(directory_prefix(base), relative))
+
+
+def area_km2(square_metres: Column) -> Column:
+    """Square metres as whole square kilometres with separators."""
+    return F.concat(F.format_number(F.bround(square_metres / 1e6), 0), F.lit(" km2"))
+
+
+def percent(part: Column, whole: Column) -> Column:
+    return F.when(whole == 0, None).otherwise(F.format_string("%.2f%%", F.bround(100.0 * part / whole, 2)))

@@ -508,6 +508,44 @@ def _(spark, d):
     return stac.timeline_json(agg.day_histogram(m.events(spark, d), "UTC"))
 
 
+@query("largest_footprints", "SELECT doc_id AS id, strlen(text)::INTEGER AS size FROM documents ORDER BY size DESC, id LIMIT 15")
+def _(spark, d):
+    docs = m.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.octet_length("text").alias("size"))
+    return docs.orderBy(F.col("size").desc(), F.col("id")).limit(15)
+
+
+@query("item_by_id", f"SELECT id, product, center_time FROM {_EVENTS} WHERE id = '1234'")
+def _(spark, d):
+    return search.item(m.events(spark, d), "1234").select("id", "product", "center_time")
+
+
+@query("sample_row_per_product", f"SELECT product, min(id) AS id FROM {_EVENTS} GROUP BY 1")
+def _(spark, d):
+    return facts.first_rows(m.events(spark, d), "product", [F.col("id").asc()], 1).select("product", "id")
+
+
+@query("derived_products", "SELECT p_mfgr AS product, linked FROM (SELECT n_name AS p_mfgr, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS linked FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)")
+def _(spark, d):
+    items = m.read(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("dataset_ref"), F.concat(F.lit("s"), "l_suppkey").alias("source_ref"))
+    parts = m.read(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_brand").alias("product"))
+    suppliers = m.read(spark, d, "supplier").join(m.read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("n_name").alias("product"))
+    linked = facts.linked_products(items, parts.unionByName(suppliers), "derived").where(F.size("linked") > 0)
+    return linked.select("product", F.array_join("linked", ",").alias("linked"))
+
+
+@query("region_codes_split", "SELECT p_partkey AS id, floor((p_retailprice - 1200) / 100.0)::INTEGER AS x, floor((p_size - 25) / 7.0)::INTEGER AS y FROM part")
+def _(spark, d):
+    code = regions.tile_code(F.col("p_retailprice"), F.col("p_size"), 100.0, 7.0, 1200.0, 25.0)
+    x, y = regions.split_code(code)
+    return m.read(spark, d, "part").select(F.col("p_partkey").alias("id"), x.alias("x"), y.alias("y"))
+
+
+@query("period_cells_by_size", f"SELECT product, start_day, dataset_count FROM ({_ROLLUP}) WHERE period_type = 'month' QUALIFY row_number() OVER (PARTITION BY product ORDER BY dataset_count DESC, start_day) <= 3")
+def _(spark, d):
+    months = _orders_rollup(spark, d).where("period_type = 'month'")
+    return facts.first_rows(months, "product", [F.col("dataset_count").desc(), F.col("start_day").asc()], 3).select("product", "start_day", "dataset_count")
+
+
 # --- what SQL can't express
 
 

@@ -7,10 +7,12 @@ twice gives the same tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window as W
-from pyspark.sql import functions as F
 
 from eocatalog.operators import refresh
 from eocatalog.sources import tables
@@ -19,8 +21,9 @@ from eocatalog.sources import tables
 class StreamingRefresh:
     """Extents and month cells below a folder, kept current by a stream of changes."""
 
-    def __init__(self, spark: SparkSession, path: str, tz: str = "Australia/Darwin"):
-        self.spark, self.tz = spark, tz
+    def __init__(self, spark: SparkSession, path: str, tz: str = "Australia/Darwin", listeners: tuple[Callable[[DataFrame], None], ...] = ()):
+        """listeners are called with the cells that a batch has made again."""
+        self.spark, self.tz, self.listeners = spark, tz, listeners
         self.extents = tables.Versioned(spark, f"{path}/extents")
         self.cells = tables.Versioned(spark, f"{path}/month_cells")
 
@@ -38,7 +41,9 @@ class StreamingRefresh:
             cells = self.cells.read()
             if cells is None:
                 cells = refresh.month_cells(new, self.tz).limit(0)
-            self.cells.write(refresh.refresh_months(cells, new, affected, self.tz), f"epoch-{epoch}")
+            made = self.cells.write(refresh.refresh_months(cells, new, affected, self.tz), f"epoch-{epoch}")
+            for tell in self.listeners:
+                tell(made.join(affected, ["product", "month"], "left_semi"))
             affected.unpersist()
         finally:
             changes.unpersist()

@@ -229,13 +229,15 @@ def test_streaming_refresh(spark, tmp_path):
     feed = str(tmp_path / "feed")
     first = [("a", "p", t, t, None), ("b", "p", t, t, None), ("c", "q", t, t, None)]
     second = [("a", "p", t, t, t + dt.timedelta(days=9)), ("b", "q", t.replace(month=6), t + dt.timedelta(days=8), None)]
-    stream = StreamingRefresh(spark, f"file://{tmp_path}/store")
+    told = []
+    stream = StreamingRefresh(spark, f"file://{tmp_path}/store", listeners=(lambda cells: told.append(cells.count()),))
     for rows in (first, second):
         spark.createDataFrame(change_rows(rows), CHANGES).write.mode("append").parquet(feed)
         changes = spark.readStream.schema(CHANGES).parquet(feed)
         stream.start(changes, str(tmp_path / "checkpoint")).awaitTermination(120)
     assert {(r["product"], r.month.month, r.dataset_count) for r in stream.cells.read().collect()} == {("q", 5, 1), ("q", 6, 1)}
     assert {r.id for r in stream.extents.read().collect()} == {"b", "c"}
+    assert told == [2, 1]
 
 
 def test_watermarks():
@@ -290,6 +292,15 @@ def test_texts(spark):
     assert got[1].w == "https://x.s3.amazonaws.com/y/scene.odc-metadata.yaml"
 
 
+def test_file_paths_and_formats(spark):
+    doc = {"measurements": {"red": {"path": "r.tif", "band": 1}}, "accessories": {"thumbnail": {"path": "t.jpg"}}}
+    df = spark.createDataFrame([(json.dumps(doc), 2_500_000.0), ("{}", 0.0)], "doc string, a double")
+    got = df.select(fields.file_paths(F.col("doc")).alias("p"), fields.thumbnail(F.col("doc")).alias("t"), texts.area_km2(F.col("a")).alias("k"), texts.percent(F.col("a"), F.lit(1e7)).alias("s")).collect()
+    assert got[0].p == {"red": "r.tif", "thumbnail": "t.jpg"} and got[0].t == "t.jpg"
+    assert got[1].p == {} and got[1].t is None
+    assert (got[0].k, got[0].s) == ("2 km2", "25.00%")
+
+
 def test_regions_and_crs():
     assert regions.label("95_-3", "tile") == "Tile +95, -3"
     assert regions.label("95_3", "scene") == "Path 95, Row 3"
