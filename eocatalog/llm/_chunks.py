@@ -1,33 +1,38 @@
 """Ids of whole texts from the tokenizers library, with each distinct chunk encoded once.
 
-A text is cut only where the tokenizer itself always starts a new pre-token, so the ids of the
-chunks one after another are the ids of the text. Texts that hold a character or a special token
-for which this can't be said in general are one chunk. Chunks repeat, so most are table lookups.
+A text is cut only where the tokenizer itself always starts a new pre-token: before a space between two
+characters that aren't white space, and around a newline between two such. So the ids of the chunks one
+after another are the ids of the text. Texts with other runs of white space are cut by a pattern, and
+texts for which this can't be said in general are one chunk. Most chunks are table lookups.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from itertools import chain
 
 import numpy as np
 
-#: Chunks in memory per worker process; past that the table starts anew (a cache, not a limit).
-CACHED_CHUNKS = 500_000
+#: Chunks and their characters kept per worker process; past that the rarest go (a cache, not a limit).
+KEPT_CHUNKS, KEPT_CHARS = 300_000, 20_000_000
 
 #: Byte-level pre-tokens: a word with the space before it, a run of white space but for its last
 #: character, or one white space character.
 BYTE_LEVEL = re.compile(r" ?\S+|\s+(?!\S)|\s")
-#: Pre-tokens that drop white space never reach across it.
-WORD_LEVEL = re.compile(r"\S+")
 #: White space for Python's re or for the library, but not for both.
-_ODD = re.compile("[\x1c-\x1f\x85᠎]")
+_ODD = "\x1c\x1d\x1e\x1f\x85\u180e"
+#: Two white space characters in a row, or one that is neither a space nor a newline.
+_RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\x0b", "\x0c", "\r")
+_WIDE_SPACE = re.compile("[\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 _encoders: dict = {}
 
 
 class _Slots(dict):
+    """Numbers of chunks; new ones are listed."""
+
     def __init__(self):
         super().__init__()
         self.new: list[str] = []
@@ -38,6 +43,10 @@ class _Slots(dict):
         return slot
 
 
+class _Whole(str):
+    """A text that can't be cut."""
+
+
 class ChunkEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,71 +54,123 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab_size = self.tokenizer.get_vocab_size()
-        specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._special = re.compile("|".join(map(re.escape, specials))) if specials else None
-        kind = type(self.tokenizer.pre_tokenizer).__name__
-        self._cut = BYTE_LEVEL if kind == "ByteLevel" else WORD_LEVEL
-        self._clear()
-
-    def _clear(self) -> None:
+        self._specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
+        #: How many bytes of text an id stands for; the end-of-word mark is none.
+        self._bytes = np.zeros(self.vocab_size, np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self._bytes[i] = len(token.removesuffix("</w>"))
         self._slots = _Slots()
-        self._pool = np.empty(1 << 16, np.int32)
-        self._starts = np.zeros(1 << 12, np.int64)
-        self._lens = np.zeros(1 << 12, np.int32)
-        self._used = 0
-        self._known = 0
-
-    def _chunks(self, text: str) -> list[str]:
-        if _ODD.search(text) or (self._special and self._special.search(text)):
-            return [text]
-        return self._cut.findall(text)
-
-    def _learn(self) -> None:
-        """Encodes the new chunks and puts their ids into the pool."""
-        new = self._slots.new
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(lens.sum()))
-            while self._used + len(flat) > len(self._pool):
-                self._pool = np.concatenate([self._pool, np.empty_like(self._pool)])
-            while self._known + len(part) > len(self._lens):
-                self._starts = np.concatenate([self._starts, np.zeros_like(self._starts)])
-                self._lens = np.concatenate([self._lens, np.zeros_like(self._lens)])
-            self._pool[self._used : self._used + len(flat)] = flat
-            self._starts[self._known : self._known + len(part)] = self._used + np.cumsum(lens) - lens
-            self._lens[self._known : self._known + len(part)] = lens
-            self._used += len(flat)
-            self._known += len(part)
-        new.clear()
-
-    def _look_up(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The slots of all chunks, and the chunks of each text."""
-        if len(self._slots) > CACHED_CHUNKS:
-            self._clear()
-        cut = [self._chunks(t) if t else [] for t in texts]
+        self._pool = np.empty(0, np.int32)
+        self._starts, self._lens, self._hits = (np.empty(0, np.int64) for _ in range(3))
+        self._chars = 0
+
+    def _is_plain(self, text: str) -> bool:
+        """Only single spaces and newlines between other characters, no special token, nothing odd."""
+        if any(x in text for x in self._specials) or any(x in text for x in _ODD):
+            return False
+        if not self._byte_level:
+            return True
+        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _RUNS):
+            return False
+        return text.isascii() or not _WIDE_SPACE.search(text)
+
+    def _cut(self, text: str) -> list[str]:
+        """Chunks; for a byte-level tokenizer a word that stands after a space begins with it."""
+        if self._is_plain(text):
+            if not self._byte_level:
+                return text.split()
+            return text.replace("\n", "\x1e\n\x1e").replace(" ", "\x1e ").split("\x1e")  # \x1e is in no plain text
+        odd = any(x in text for x in self._specials) or any(x in text for x in _ODD)
+        return [_Whole(text)] if odd else BYTE_LEVEL.findall(text)
+
+    def _alone(self, new: list[str]) -> list[int]:
+        """Which chunks have the same ids beside other such chunks: words, for a byte-level tokenizer after a space."""
+        if self._byte_level:
+            return [k for k, x in enumerate(new) if x[0] == " " and len(x) > 1 and not x[1].isspace() and type(x) is str]
+        return [k for k, x in enumerate(new) if (x.isascii() or unicodedata.is_normalized("NFC", x)) and type(x) is str]
+
+    def _encode_new(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids, and where each chunk's start and how many they are; chunks that can stand together are one text.
+
+        Which ids are whose is told by the bytes that each stands for; where these don't add up, and for
+        other chunks, each chunk is encoded by itself.
+        """
+        starts, lens = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        together = self._alone(new)
+        done, pool, used = np.zeros(len(new), bool), [], 0
+        for at in range(0, len(together), 4000):
+            some = together[at : at + 4000]
+            text = ("" if self._byte_level else " ").join([new[k] for k in some])
+            flat = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            raw = np.frombuffer((text if self._byte_level else text.lower()).encode(), np.uint8)
+            spaces = np.flatnonzero(raw == 32)  # one before each word, or one between each two
+            if self._byte_level:
+                stops = np.append(spaces[1:], len(raw))
+            else:
+                stops = np.append(spaces, len(raw)) - np.arange(len(spaces) + 1)
+            ends = np.cumsum(self._bytes[flat])
+            last = np.searchsorted(ends, stops)
+            if len(stops) != len(some) or not len(ends):
+                continue
+            if ends[-1] == stops[-1] and (ends[last] == stops).all():
+                after = np.concatenate([[0], last + 1])
+                starts[some], lens[some], done[some] = used + after[:-1], np.diff(after), True
+                pool.append(flat)
+                used += len(flat)
+        rest = np.flatnonzero(~done).tolist()
+        for at in range(0, len(rest), 2000):
+            for k, e in zip(rest[at : at + 2000], self.tokenizer.encode_batch_fast([new[k] for k in rest[at : at + 2000]], add_special_tokens=False), strict=True):
+                pool.append(np.array(e.ids, np.int32))
+                starts[k], lens[k] = used, len(pool[-1])
+                used += len(pool[-1])
+        return (np.concatenate(pool) if pool else np.empty(0, np.int32)), starts, lens
+
+    def _look_up(self, texts: list[str | None]):
+        """Slots of all chunks, chunks of each text; the ids of all slots, their starts and lengths."""
+        cut = [self._cut(t) if t else [] for t in texts]
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
         slots = np.fromiter(map(self._slots.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
-        self._learn()
-        return slots, counts
+        new = self._slots.new
+        ids, starts, lens = self._encode_new(new)
+        starts, lens = np.concatenate([self._starts, starts + len(self._pool)]), np.concatenate([self._lens, lens])
+        pool = np.concatenate([self._pool, ids])
+        hits = np.bincount(slots, minlength=len(lens))
+        hits[: len(self._hits)] += self._hits
+        self._chars += sum(map(len, new))
+        self._pool, self._starts, self._lens, self._hits = pool, starts, lens, hits
+        new.clear()
+        if len(lens) > KEPT_CHUNKS or self._chars > KEPT_CHARS:
+            self._forget()
+        return slots, counts, pool, starts, lens
+
+    def _forget(self) -> None:
+        """Leaves the chunks that were met most often, at most three fifths of what may be kept."""
+        least = 1
+        while (self._hits > least).sum() > 0.6 * KEPT_CHUNKS:
+            least *= 2
+        stay = np.flatnonzero(self._hits > least)
+        chunks = list(self._slots)
+        names = [chunks[k] for k in stay.tolist()]
+        self._slots = _Slots()
+        self._slots.update(zip(names, range(len(names)), strict=True))
+        self._chars = sum(map(len, names))
+        if self._chars > KEPT_CHARS // 2:  # few but very long
+            self._slots, stay, self._chars = _Slots(), stay[:0], 0
+        lens = self._lens[stay]
+        starts = np.cumsum(lens) - lens
+        take = np.arange(int(lens.sum())) + np.repeat(self._starts[stay] - starts, lens)
+        self._pool, self._starts, self._lens, self._hits = self._pool[take], starts, lens, self._hits[stay]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each text has."""
-        slots, counts = self._look_up(texts)
-        lens = self._lens[slots].astype(np.int64)
+        slots, counts, pool, starts, lens = self._look_up(texts)
+        lens = lens[slots]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
-        take = np.arange(total) + np.repeat(self._starts[slots] - (ends - lens), lens)
+        take = np.arange(total) + np.repeat(starts[slots] - (ends - lens), lens)
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return self._pool[take], np.diff(bounds)
-
-    def count_ids(self, texts: list[str | None]) -> np.ndarray:
-        """How often each id occurs in the texts."""
-        slots, _ = self._look_up(texts)
-        times = np.bincount(slots, minlength=self._known)
-        out = np.bincount(self._pool[: self._used], np.repeat(times, self._lens[: self._known]), self.vocab_size)
-        return out.astype(np.int64)
+        return pool[take], np.diff(bounds)
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -119,7 +180,7 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
-def in_parts(batches, rows: int = 1024, chars: int = 4_000_000):
+def in_parts(batches, rows: int = 1024, chars: int = 2_000_000):
     """Arrow batches cut into parts of bounded rows and text, so that memory is bounded."""
     import pyarrow as pa
     import pyarrow.compute as pc
