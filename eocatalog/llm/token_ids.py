@@ -1,12 +1,13 @@
 """Token ids as binary files: frequency-ranked, in byte-aligned variable-length coding.
 
-All documents are encoded once to count ids, the ids are ranked by count over the whole corpus, and
-each document's ranks are written in one to four bytes with the byte lengths apart, two bits each,
-in control bytes. Frequent ids take one byte. A shard file holds a range of document ids in ascending
-order, as blocks that decode alone; numpy decodes a block by looking lengths up for each control byte.
-
-A block: the magic bytes, three little-endian 64-bit numbers (documents, ids, data bytes), then for all
-documents their ids (64 bits), null flags (8 bits) and lengths (32 bits), the control bytes, the data bytes.
+A shard file holds a range of document ids in ascending order, as blocks that decode alone. A block ranks its
+ids by how often it holds them and writes each rank in one to four bytes, with the byte lengths apart, two bits
+each, in control bytes; so frequent ids take one byte. numpy decodes a block by looking lengths up for
+each control byte. Each text is encoded once: a block's ranks need no counts from elsewhere.
+
+A block: the magic bytes, four little-endian 64-bit numbers (documents, ids, different ids, data bytes); the
+different ids by rank (32 bits); for all documents their ids (64 bits), null flags (8 bits) and lengths
+(64 bits); the control bytes; the data bytes.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from eocatalog.llm import _common as c
 from eocatalog.llm._chunks import encoder, in_parts
 
 MAGIC = b"RVB1"
-_HEAD = struct.Struct("<4sQQQ")
+_HEAD = struct.Struct("<4sQQQQ")
+#: Ids of a block before the next one begins.
+BLOCK_IDS = 1_000_000
 #: For each control byte, the lengths of its four numbers.
 _LENGTHS = np.array([[1 + (b >> s & 3) for s in (0, 2, 4, 6)] for b in range(256)], np.uint8)
 
@@ -51,57 +54,44 @@ def decode_numbers(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def write_block(out, doc_ids: list, lens: np.ndarray, ranks: np.ndarray) -> None:
+def rank_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids, the most frequent first (ties by id), and for each id its place among them."""
+    times = np.bincount(ids)
+    seen = np.flatnonzero(times)
+    by_rank = seen[np.lexsort((seen, -times[seen]))]
+    place = np.zeros(len(times), np.uint32)
+    place[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
+    return by_rank, place[ids]
+
+
+def write_block(out, doc_ids: list, lens: np.ndarray, ids: np.ndarray) -> None:
+    by_rank, ranks = rank_ids(ids)
     control, data = encode_numbers(ranks)
-    out.write(_HEAD.pack(MAGIC, len(doc_ids), len(ranks), len(data)))
+    out.write(_HEAD.pack(MAGIC, len(doc_ids), len(ids), len(by_rank), len(data)))
+    out.write(by_rank.astype("<u4").tobytes())
     out.write(np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes())
     out.write(np.array([d is None for d in doc_ids], np.uint8).tobytes())
-    out.write(lens.astype("<u4").tobytes())
+    out.write(lens.astype("<u8").tobytes())
     out.write(control.tobytes())
     out.write(data.tobytes())
 
 
 def read_blocks(source):
-    """doc_ids, lengths and ranks of each block of an open file."""
+    """doc_ids, lengths and ids of each block of an open file."""
     while head := source.read(_HEAD.size):
-        magic, n_docs, n_ids, n_data = _HEAD.unpack(head)
+        magic, n_docs, n_ids, n_ranks, n_data = _HEAD.unpack(head)
         if magic != MAGIC:
             raise ValueError("not a block of token ids")
-        ids = np.frombuffer(source.read(8 * n_docs), "<i8")
+        by_rank = np.frombuffer(source.read(4 * n_ranks), "<u4")
+        doc_ids = np.frombuffer(source.read(8 * n_docs), "<i8")
         nulls = np.frombuffer(source.read(n_docs), np.uint8)
-        lens = np.frombuffer(source.read(4 * n_docs), "<u4").astype(np.int64)
+        lens = np.frombuffer(source.read(8 * n_docs), "<u8").astype(np.int64)
         control = np.frombuffer(source.read(-(-n_ids // 4)), np.uint8)
         data = np.frombuffer(source.read(n_data), np.uint8)
-        yield [None if x else int(d) for d, x in zip(ids, nulls, strict=True)], lens, decode_numbers(control, data, n_ids)
-
+        yield [None if x else int(d) for d, x in zip(doc_ids, nulls, strict=True)], lens, by_rank[decode_numbers(control, data, n_ids)]
 
-def count_ids(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
-    """id, n over all texts; each task sends one row for each id that it saw."""
 
-    def count(batches):
-        import pyarrow as pa
-
-        e = encoder(tokenizer)
-        total = np.zeros(e.vocab_size, np.int64)
-        for part in in_parts(batches):
-            total += e.count_ids(part.column(0).to_pylist())
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["id", "n"])
-
-    return docs.select(text_col).mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
-
-
-def rank_ids(docs: DataFrame, tokenizer: str, end_id: int, text_col: str = "text") -> np.ndarray:
-    """All ids of the vocabulary, the most frequent first; ties by id. Bounded by the vocabulary."""
-    found = count_ids(docs, tokenizer, text_col).toPandas()
-    size = max(encoder(tokenizer).vocab_size, end_id + 1)
-    times = np.zeros(size, np.int64)
-    times[found["id"].to_numpy()] = found["n"].to_numpy()
-    times[end_id] += docs.count()
-    return np.lexsort((np.arange(size), -times)).astype(np.int32)
-
-
-def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, shard_docs: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, shard_docs: int = 6_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the ids of all texts, each with end_id after it, below path; returns the list of shards.
 
     Columns: shard, file, n_docs, n_ids, start (ids in all shards before). Shards ascend by document
@@ -112,37 +102,41 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, shard
     import pyarrow.fs as pfs
 
     spark = docs.sparkSession
-    rank = rank_ids(docs, tokenizer, end_id, text_col)
-    inverse = np.empty_like(rank)
-    inverse[rank] = np.arange(len(rank), dtype=np.int32)
     fs, root = pfs.FileSystem.from_uri(path)
     fs.create_dir(root, recursive=True)
-    with fs.open_output_stream(f"{root}/ranks") as out:
-        out.write(rank.astype("<i4").tobytes())
-    shipped = spark.sparkContext.broadcast(inverse)
 
     def write(batches):
         import pyarrow as pa
 
         fs, root = pfs.FileSystem.from_uri(path)
-        e, to_rank = encoder(tokenizer), shipped.value
+        e = encoder(tokenizer)
         name, n_docs, n_ids, out = f"{uuid.uuid4().hex}.ids", 0, 0, None
-        for part in in_parts(batches):
+        names, lengths, ids, size = [], [], [], 0
+        for part in in_parts(batches, chars=1_000_000):
             out = out or fs.open_output_stream(f"{root}/{name}")
             flat, lens = e.encode(part.column(1).to_pylist())
-            ends = np.cumsum(lens)
-            with_ends = np.insert(flat, ends, end_id)
-            write_block(out, part.column(0).to_pylist(), lens + 1, to_rank[with_ends])
-            n_docs, n_ids = n_docs + part.num_rows, n_ids + len(with_ends)
+            ids.append(np.insert(flat, np.cumsum(lens), end_id))
+            names += part.column(0).to_pylist()
+            lengths.append(lens + 1)
+            size += len(ids[-1])
+            n_docs, n_ids = n_docs + part.num_rows, n_ids + len(ids[-1])
+            if size > BLOCK_IDS:
+                write_block(out, names, np.concatenate(lengths), np.concatenate(ids))
+                names, lengths, ids, size = [], [], [], 0
+        if names:
+            write_block(out, names, np.concatenate(lengths), np.concatenate(ids))
         if out:
             out.close()
+            c.release_memory()
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name]), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], ["shard", "file", "n_docs", "n_ids"])
 
     pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     n_shards = max(1, -(-docs.count() // shard_docs))
     tie = F.xxhash64("text")
     ordered = pair.repartitionByRange(n_shards, F.col("id").asc_nulls_first(), tie).sortWithinPartitions(F.col("id").asc_nulls_first(), tie)
-    shards = c.materialise(ordered.mapInArrow(write, "shard int, file string, n_docs long, n_ids long"), "shards").toPandas().sort_values("shard")
+    with c.small_batches(spark):
+        written = c.materialise(ordered.mapInArrow(write, "shard int, file string, n_docs long, n_ids long"), "shards")
+    shards = written.toPandas().sort_values("shard")
     shards["start"] = shards["n_ids"].cumsum() - shards["n_ids"]
     return spark.createDataFrame([tuple(r) for r in shards.itertuples(index=False)], "shard int, file string, n_docs long, n_ids long, start long")
 
@@ -155,13 +149,11 @@ def read_ids(shards: DataFrame, path: str) -> DataFrame:
         import pyarrow as pa
 
         fs, root = pfs.FileSystem.from_uri(path)
-        with fs.open_input_stream(f"{root}/ranks") as source:
-            rank = np.frombuffer(source.read(), "<i4")
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with fs.open_input_stream(f"{root}/{name}") as source:
-                    for doc_ids, lens, ranks in read_blocks(source):
-                        ids, ends = rank[ranks].astype("<u4"), np.cumsum(lens)
+                    for doc_ids, lens, ids in read_blocks(source):
+                        ids, ends = ids.astype("<u4"), np.cumsum(lens)
                         raw = [x.tobytes() for x in np.split(ids, ends[:-1])]
                         yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + ends - lens), pa.array(lens), pa.array(raw, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
                         start += int(ends[-1])

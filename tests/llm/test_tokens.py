@@ -51,10 +51,24 @@ def test_token_ids_files(spark, docs, rows):
     assert not got
 
 
-def test_token_ids_frequent_ids_take_one_byte(spark, docs):
-    rank = token_ids.rank_ids(docs, BYTE, 0)
-    counts = {r.id: r.n for r in token_ids.count_ids(docs, BYTE).collect()}
-    assert counts[int(rank[1])] >= counts[int(rank[200])] >= counts.get(int(rank[400]), 0)
+def test_token_ids_frequent_ids_take_one_byte():
+    rng = np.random.default_rng(3)
+    ids = np.concatenate([np.full(900, 40_000), rng.integers(0, 50_000, 2000), np.full(500, 7)]).astype(np.int32)
+    by_rank, ranks = token_ids.rank_ids(ids)
+    assert by_rank[:2].tolist() == [40_000, 7]
+    assert by_rank[ranks].tolist() == ids.tolist()
+    control, data = token_ids.encode_numbers(ranks)
+    assert len(data) <= 1400 + 2 * 2000
+
+
+def test_chunks_stay_right_when_the_cache_is_small(monkeypatch, rows):
+    from eocatalog.llm import _chunks
+
+    monkeypatch.setattr(_chunks, "KEPT_CHUNKS", 50)
+    texts, t, e = [r[1] for r in rows if r[1]], Tokenizer.from_file(BYTE), ChunkEncoder(BYTE)
+    for at in range(0, len(texts), 5):
+        flat, _ = e.encode(texts[at : at + 5])
+        assert flat.tolist() == [i for x in texts[at : at + 5] for i in t.encode(x, add_special_tokens=False).ids]
 
 
 def test_token_ids_odd_rows(spark, odd, empty):
