@@ -32,14 +32,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     added column are replaced.
     """
     names = c.carried(docs, ["_n_lines", "_n_dropped"])
-    rows = docs.select(F.struct(*[docs[n] for n in names]).alias("row"), F.col(id_col).alias("id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("lines"))
+    split = lambda text: F.split(F.coalesce(text, F.lit("")), "\n")
+    rows = docs.select(F.struct(*[docs[n] for n in names]).alias("row"), F.col(id_col).alias("id"))
+    lines = rows.where(F.col("id").isNotNull()).select("id", split(F.col("row").getField(text_col)).alias("lines"))
     long_keys = F.filter(F.transform("lines", _key), lambda k: F.char_length(k) >= min_chars)
     hashes = F.array_distinct(F.transform(long_keys, _key_hash))
-    spread = rows.where(F.col("id").isNotNull()).select("id", F.explode(hashes).alias("h"))
+    spread = lines.select("id", F.explode(hashes).alias("h"))
     shared = spread.groupBy("h", "id").agg(F.lit(1).alias("_")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
     shared = c.materialise(shared.where(F.col("n") >= min_docs).select("h", "last"), "shared-lines")
     lost = spread.join(shared, "h").where(F.col("id") < F.col("last")).groupBy("id").agg(F.collect_set("h").alias("lost"))
-    joined = rows.join(lost, "id", "left")
+    # whole texts go through this join once, and are split again after it
+    joined = rows.join(lost, "id", "left").withColumn("lines", split(F.col("row").getField(text_col)))
     gone = lambda line: (F.char_length(_key(line)) >= min_chars) & F.array_contains("lost", _key_hash(_key(line)))
     kept = F.when(F.col("lost").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda line: ~gone(line)))
     out = joined.select("row", F.col("lines").alias("_lines"), kept.alias("_kept"))
