@@ -24,6 +24,21 @@ ROUNDS = 10
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 KINDS = ("email", "secret", "iban", "date", "ssn", "phone", "ip", "card")
 
+#: Country calling codes of one and two digits; all others have three.
+CALLING_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: Lengths of national numbers, where they are fixed: digits past these are another number's.
+NATIONAL_DIGITS = {"7": (10,), "31": (9,), "32": (8, 9), "33": (9,), "34": (9,), "41": (9,), "44": (9, 10), "45": (8,), "47": (8,), "48": (9,), "52": (10,), "55": (10, 11), "61": (9,), "65": (8,), "81": (9, 10), "86": (10, 11), "90": (10,), "91": (10,), "351": (9,), "353": (7, 8, 9), "420": (9,)}
+#: Country code 1: with brackets, after +1, after 1 with separators; without such marks only by its ranges.
+_AMERICAN = (
+    r"(?:(?:\+|00)?1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}",
+    r"\+1[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}",
+    r"(?:00)?1[ .-]?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}",
+    r"[2-9][0-9]{2}[ .-][2-9][0-9]{2}[ .-][0-9]{4}",
+)
+_ABROAD = r"(?:\+|00(?=[2-9][0-9]{0,2}[ ./-]))[2-9][0-9]{0,2}(?:[ ./-]?\(0\))?(?:[ ./-]?\([0-9]{1,5}\))?(?:[ ./-]?[0-9]){4,14}"
+#: Ten digits in a row are a telephone number after a word that says so.
+_NAMED = r"(?P<says>\b(?i:tel|telephone|phone|mobile|cell|fax|call)[.:]{0,2} ?)(?P<bare>[0-9]{10})"
+
 
 class Feistel:
     """A permutation of 0..n-1 for each kind and n."""
@@ -85,7 +100,7 @@ class Pseudonyms:
         ("iban", r"\b(?P<country>[A-Z]{2})(?P<check>[0-9]{2})(?P<bban>(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b"),
         ("date", r"(?<![0-9./-])(?:(?P<y>(?:19|20)[0-9]{2})(?P<s1>[-/.])(?P<m>[0-9]{2})(?P=s1)(?P<d>[0-9]{2})|(?P<p>[0-9]{2})(?P<s2>[-/.])(?P<q>[0-9]{2})(?P=s2)(?P<y2>(?:19|20)[0-9]{2}))(?![0-9])(?![./-][0-9])"),
         ("ssn", r"(?<![0-9-])(?P<area>[0-9]{3})-(?P<group>[0-9]{2})-(?P<serial>[0-9]{4})(?![0-9])(?!-[0-9])"),
-        ("phone", r"(?<![0-9+])(?P<cc>\+?1[ .-]?)?(?P<ac>\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])(?P<ex>[2-9][0-9]{2})(?P<sep>[ .-])(?P<line>[0-9]{4})(?![0-9])"),
+        ("phone", rf"(?<![0-9+])(?:(?P<us>{'|'.join(_AMERICAN)})|(?P<abroad>{_ABROAD})|{_NAMED})(?![0-9])"),
         ("ip", r"(?<![0-9.])(?P<o1>[0-9]{1,3})\.(?P<o2>[0-9]{1,3})\.(?P<o3>[0-9]{1,3})\.(?P<o4>[0-9]{1,3})(?![0-9])(?!\.[0-9])"),
         ("card", r"(?<![0-9])(?P<digits>[0-9](?:[ -]?[0-9]){12,18})(?![0-9])"),
     )
@@ -159,12 +174,47 @@ class Pseudonyms:
         area, group = divmod(x, 99)
         return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
-    def _phone(self, m: re.Match) -> str:
-        area = re.sub("[^0-9]", "", m["ac"])
-        x = ((int(area) - 200) * 800 + int(m["ex"]) - 200) * 10_000 + int(m["line"])
-        x, line = divmod(self._feistel.permute("phone", x, 800 * 800 * 10_000), 10_000)
-        new_area, exchange = divmod(x, 800)
-        return f"{m['cc'] or ''}{m['ac'].replace(area, str(new_area + 200))}{exchange + 200}{m['sep']}{line:04d}"
+    def _american(self, number: str) -> str:
+        """Ten digits permuted among those in the ranges of area code and exchange, or among those out of them."""
+        area, exchange, line = int(number[:3]), int(number[3:6]), int(number[6:])
+        if area >= 200 and exchange >= 200:
+            x = ((area - 200) * 800 + exchange - 200) * 10_000 + line
+            x, line = divmod(self._feistel.permute("phone", x, 800 * 800 * 10_000), 10_000)
+            area, exchange = divmod(x, 800)
+            return f"{area + 200}{exchange + 200}{line:04d}"
+        while True:
+            number = f"{self._feistel.permute('phone out of range', int(number), 10**10):010d}"
+            if number[0] < "2" or number[3] < "2":
+                return number
+
+    def _phone(self, m: re.Match) -> str | tuple[str, int] | None:
+        if m["bare"]:
+            return m["says"] + self._american(m["bare"])
+        if m["us"]:
+            digits = re.sub("[^0-9]", "", m["us"])
+            return _refill(m["us"], digits[:-10] + self._american(digits[-10:]))
+        return self._abroad(m["abroad"], m.start())
+
+    def _abroad(self, found: str, start: int) -> tuple[str, int] | None:
+        """The digits after the country code and a bracketed 0 permuted; a leading 0 stays one."""
+        head = re.match(r"(?:\+|00)([0-9]+)", found)
+        code = next((head[1][:k] for k in (1, 2) if head[1][:k] in CALLING_CODES), head[1][:3])
+        if code not in CALLING_CODES and len(code) < 3:  # it goes on after a separator
+            return None
+        at = head.start(1) + len(code)
+        at += len(re.match(r"(?:[ ./-]?\(0\))?", found[at:])[0])
+        ends = [k for k in range(at + 1, len(found) + 1) if found[k - 1].isdigit() and not found[k : k + 1].isdigit()]
+        lengths = {k: sum(ch.isdigit() for ch in found[at:k]) for k in ends}
+        own = [k for k in ends if lengths[k] in NATIONAL_DIGITS.get(code, ())]
+        end = max(own or [k for k in ends if 8 <= lengths[k] + len(code) <= 15], default=None)
+        if end is None:
+            return None
+        number = re.sub("[^0-9]", "", found[at:end])
+        led = number[0] == "0"
+        while True:
+            number = str(self._feistel.permute(f"phone {code}", int(number), 10 ** len(number))).zfill(len(number))
+            if (number[0] == "0") == led:
+                return found[:at] + _refill(found[at:end], number), start + end
 
     def _ip(self, m: re.Match) -> str | None:
         octets = [m[f"o{i}"] for i in range(1, 5)]
@@ -195,8 +245,9 @@ class Pseudonyms:
                 out.append(text[at:skip])
                 at = skip
                 continue
+            new, end = new if isinstance(new, tuple) else (new, m.end())  # a match may hold more than the value
             out += text[at : m.start()], new
-            at = m.end()
+            at = end
             found[kind] += 1
         out.append(text[at:])
         return "".join(out), found
@@ -208,7 +259,8 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     A null text stays null with counts 0. Rows are looked at one by one, so null and repeated ids change
     nothing. What no pattern finds, or its rule rejects, stays as it is: emails; passwords, tokens and access
     keys; IBANs (mod 97); dates from 1900 to 2099 (calendar); social security numbers (ranges); telephone
-    numbers (ranges); IPv4 addresses (octets); card numbers (Luhn).
+    numbers (any digits after a country code or with brackets, or ten digits after a word like "tel"; ranges where
+    only separators show them; ten digits without any mark stay); IPv4 addresses (octets); card numbers (Luhn).
     """
 
     def run(batches):

@@ -106,6 +106,22 @@ def test_pseudonyms_leave_the_rest_alone():
         assert p.replace(text) == (text, Counter())
 
 
+def test_pseudonyms_of_telephone_numbers():
+    p = pii.Pseudonyms(b"key")
+    shape = lambda s: re.sub("[0-9]", "9", s)
+    for number in ("+1 (017) 555-7713", "(117) 055-7713", "+1 415 055 0132", "+14155550132", "1-017-155-7713", "+44 20 7946 0958", "+44 (0)20 7946 0958", "+442079460958", "0044 20 7946 0958", "+49 30/1234567", "+39 06 6982 1234", "+353 1 234 5678"):
+        new, found = p.replace(f"at {number}, or")
+        assert found == Counter(phone=1) and number[-8:] not in new, number
+        assert shape(new) == shape(f"at {number}, or") and new[3:5] == f"at {number}"[3:5]
+    assert p.replace("tel: 4155550132")[0][5:] == p.replace("+14155550132")[0][2:]
+    digits = lambda s: re.sub("[^0-9]", "", p.replace(s)[0])
+    assert digits("+44 20 7946 0958") == digits("+442079460958") == digits("+44 (0)20 7946 0958").replace("440", "44", 1)
+    assert p.replace("+44 20 7946 0958 10 days")[0].endswith(" 10 days")
+    assert len({p.replace(f"(0{k:02d}) 555-0132")[0] for k in range(100)}) == 100
+    for text in ("+3.14159265358", "4155550132 bytes", "+12 345", "1 + 4155550132"):
+        assert p.replace(text) == (text, Counter())
+
+
 def test_pii_rows(docs, rows, odd, empty):
     got = {r.doc_id: r for r in pii.pseudonymise(docs, b"k").collect()}
     own = pii.Pseudonyms(b"k")
