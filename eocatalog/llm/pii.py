@@ -24,6 +24,10 @@ ROUNDS = 10
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 KINDS = ("email", "secret", "iban", "date", "ssn", "phone", "ip", "card")
 
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {pair[:2]: int(pair[2:]) for pair in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+).split()}
 #: Country calling codes of one and two digits; all others have three.
 CALLING_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 #: Lengths of national numbers, where they are fixed: digits past these are another number's.
@@ -86,6 +90,15 @@ def _refill(shape: str, values: str) -> str:
     return "".join(next(it) if ch.isalnum() else ch for ch in shape)
 
 
+def _group_ends(found: str) -> list[int]:
+    """Where runs of letters and digits end."""
+    return [m.end() for m in re.finditer("[A-Za-z0-9]+", found)]
+
+
+def _length(found: str) -> int:
+    return sum(ch.isalnum() for ch in found)
+
+
 def _radix(ch: str) -> int:
     return 10 if ch.isdigit() else 26
 
@@ -135,12 +148,16 @@ class Pseudonyms:
             return None
         return m["name"] + self._letters("secret", m["value"])
 
-    def _iban(self, m: re.Match) -> str | None:
-        bban = m["bban"].replace(" ", "")
-        if not 11 <= len(bban) <= 30 or iban_check(m["country"], bban) != m["check"]:
-            return None
-        new = self._letters("iban", bban)
-        return m["country"] + iban_check(m["country"], new) + _refill(m["bban"], new)
+    def _iban(self, m: re.Match) -> tuple[str, int] | None:
+        """The country's length first, then the longest that is valid and ends with a group."""
+        found, country = m["bban"], m["country"]
+        ends = sorted(_group_ends(found), key=lambda k: (_length(found[:k]) + 4 != IBAN_LENGTHS.get(country), -k))
+        for end in ends:
+            bban = found[:end].replace(" ", "")
+            if 11 <= len(bban) <= 30 and iban_check(country, bban) == m["check"]:
+                new = self._letters("iban", bban)
+                return country + iban_check(country, new) + _refill(found[:end], new), m.start("bban") + end
+        return None
 
     def _date(self, m: re.Match) -> str | None:
         def day(y, mo, d):
@@ -203,8 +220,8 @@ class Pseudonyms:
             return None
         at = head.start(1) + len(code)
         at += len(re.match(r"(?:[ ./-]?\(0\))?", found[at:])[0])
-        ends = [k for k in range(at + 1, len(found) + 1) if found[k - 1].isdigit() and not found[k : k + 1].isdigit()]
-        lengths = {k: sum(ch.isdigit() for ch in found[at:k]) for k in ends}
+        ends = [k for k in _group_ends(found) if k > at]
+        lengths = {k: _length(found[at:k]) for k in ends}
         own = [k for k in ends if lengths[k] in NATIONAL_DIGITS.get(code, ())]
         end = max(own or [k for k in ends if 8 <= lengths[k] + len(code) <= 15], default=None)
         if end is None:
@@ -223,14 +240,17 @@ class Pseudonyms:
         x = self._feistel.permute("ip", int.from_bytes(bytes(map(int, octets)), "big"), 1 << 32)
         return ".".join(map(str, x.to_bytes(4, "big")))
 
-    def _card(self, m: re.Match) -> str | None:
-        digits = re.sub("[^0-9]", "", m["digits"])
-        body = digits[:-1]
-        if digits[0] == "0" or luhn_digit(body) != digits[-1]:
-            return None
-        n = 10 ** (len(body) - 1)  # the issuer's first digit stays
-        new = body[0] + str(self._feistel.permute(f"card {len(digits)}", int(body[1:]), n)).zfill(len(body) - 1)
-        return _refill(m["digits"], new + luhn_digit(new))
+    def _card(self, m: re.Match) -> tuple[str, int] | None:
+        """The longest valid number that ends with a group; digits after it are looked at again."""
+        for end in reversed(_group_ends(m["digits"])):
+            digits = re.sub("[^0-9]", "", m["digits"][:end])
+            body = digits[:-1]
+            if len(digits) < 13 or digits[0] == "0" or luhn_digit(body) != digits[-1]:
+                continue
+            n = 10 ** (len(body) - 1)  # the issuer's first digit stays
+            new = body[0] + str(self._feistel.permute(f"card {len(digits)}", int(body[1:]), n)).zfill(len(body) - 1)
+            return _refill(m["digits"][:end], new + luhn_digit(new)), m.start() + end
+        return None
 
     def replace(self, text: str | None) -> tuple[str | None, Counter]:
         found: Counter = Counter()

@@ -122,6 +122,18 @@ def test_pseudonyms_of_telephone_numbers():
         assert p.replace(text) == (text, Counter())
 
 
+def test_pseudonyms_of_numbers_before_others():
+    p = pii.Pseudonyms(b"key")
+    for text, own in (("4111 1111 1111 1111 12/25", 19), ("4111111111111111 123", 16), ("5500 0000 0000 0004 10 days", 19), ("4111-1111-1111-1111 7", 19)):
+        new, found = p.replace(text)
+        assert found == Counter(card=1) and new[own:] == text[own:] and new[:own] == p.replace(text[:own])[0] != text[:own]
+    assert p.replace("4111111111111111 5500000000000004")[1] == Counter(card=2)
+    assert p.replace("4111 1111 1111 1111 5500 0000 0000 0004")[1] == Counter(card=2)
+    for text, own in (("BE68 5390 0754 7034 AND", 19), ("BE68539007547034 ACCT NO", 16), ("GB82 WEST 1234 5698 7654 32 EUR", 27)):
+        new, found = p.replace(text)
+        assert found == Counter(iban=1) and new[own:] == text[own:] and new[:own] == p.replace(text[:own])[0] != text[:own]
+
+
 def test_pii_rows(docs, rows, odd, empty):
     got = {r.doc_id: r for r in pii.pseudonymise(docs, b"k").collect()}
     own = pii.Pseudonyms(b"k")
