@@ -7,6 +7,8 @@ is exploded by the count, and a hash of seed, id and copy number deals all copie
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from eocatalog.llm import _common as c
 
 #: 13 hexadecimal digits make 52 bits, which a double holds exactly.
 _DIGITS, _SPAN = 13, 2.0**52
+#: Rates up to this are summed from 0.
+_FROM_ZERO = 700.0
 
 
 def _digest(*parts: Column) -> Column:
@@ -27,19 +31,26 @@ def _uniform(seed: int, id_: Column) -> Column:
 
 
 def poisson_quantile(u: Column, rate: Column) -> Column:
-    """The smallest k with P(X <= k) >= u for a Poisson X of mean rate (below 700).
+    """The smallest k with P(X <= k) >= u for a Poisson X of mean rate.
 
-    The sum stops at rate + 12 * sqrt(rate) + 40, past which no double below 1 - 2**-53 lies.
+    The sum starts at 0, or, for a rate past _FROM_ZERO, for which exp(-rate) nears the smallest double, at
+    rate - 12 * sqrt(rate) - 40: what lies below is less than 1e-30. It stops at rate + 12 * sqrt(rate) + 40, past
+    which no double below 1 - 2**-53 lies.
     """
-    top = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
-    zero = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.lit(0).alias("k"))
+    reach = 12 * F.sqrt(rate) + 40
+    low, top = F.when(rate > _FROM_ZERO, F.floor(rate - reach)).otherwise(0).cast("int"), F.ceil(rate + reach).cast("int")
+    # ln P(X = k) by Stirling's series, with the large terms taken together
+    k = low.cast("double")
+    log_p = (k - rate) - k * F.log1p((k - rate) / rate) - F.log(2 * math.pi * k) / 2 - 1 / (12 * k) + 1 / (360 * k * k * k)
+    first = F.when(rate > _FROM_ZERO, F.exp(log_p)).otherwise(F.exp(-rate))
+    zero = F.struct(first.alias("p"), first.alias("cdf"), low.alias("k"))
 
     def step(acc: Column, i: Column) -> Column:
         p = acc["p"] * rate / i
         more = acc["cdf"] < u
         return F.struct(F.when(more, p).otherwise(acc["p"]).alias("p"), F.when(more, acc["cdf"] + p).otherwise(acc["cdf"]).alias("cdf"), F.when(more, i).otherwise(acc["k"]).alias("k"))
 
-    return F.aggregate(F.sequence(F.lit(1), top), zero, step, lambda acc: acc["k"])
+    return F.aggregate(F.sequence(low + 1, top), zero, step, lambda acc: acc["k"])
 
 
 def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = 0.5, source_col: str = "source", text_col: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from eocatalog.llm import _common, lm_score, mixing, pii, quality
@@ -168,6 +169,28 @@ def test_mixing_equals_brute_force(docs, rows):
     assert got == want
 
 
+def test_poisson_quantile_of_large_rates(spark):
+    def wanted(rate):
+        """The distribution from ratios of neighbours, which need no exponential, made to add up to 1."""
+        mode, reach = int(rate), int(20 * rate**0.5) + 60
+        k = np.arange(max(0, mode - reach), mode + reach)
+        up, down = np.cumprod(rate / k[k > mode]), np.cumprod(k[(k > 0) & (k <= mode)][::-1] / rate)[: mode - k[0]][::-1]
+        cdf = np.cumsum(np.concatenate([down, [1.0], up]))
+        return lambda u: int(k[np.searchsorted(cdf / cdf[-1], u)])
+
+    cases = [(u, rate) for rate in (0.5, 699.0, 701.0, 746.0, 1000.0, 54_321.5, 1e6) for u in (1e-12, 0.003, 0.31, 0.5, 0.77, 0.9991, 0.999999)]
+    got = spark.createDataFrame(cases, "u double, rate double").select("u", "rate", mixing.poisson_quantile(F.col("u"), F.col("rate")).alias("k")).collect()
+    assert [r.k for r in got] == [wanted(rate)(u) for u, rate in cases]
+
+
+def test_mixing_short_source(spark):
+    rows = [(i, "x" * 5000, None, "long", 5000) for i in range(2000)] + [(2000, "yy", None, "short", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    n = mixing.mix(df).where("source = 'short'").count()
+    rate = 2**0.5 / (2**0.5 + 1e7**0.5) * (1e7 + 2) / 2
+    assert abs(n - rate) < 6 * rate**0.5 < 420
+
+
 def test_mixing_weights_and_order(spark):
     rows = [(i, "x" * 100, None, "big" if i % 10 else "small", 100) for i in range(4000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
