@@ -646,5 +646,5 @@ def _(spark, d):
 
 @query("data_sizes", "SELECT doc_id AS id, CASE WHEN n_chars >= 1024 THEN printf('%.1f KiB', n_chars / 1024.0) ELSE printf('%d B', n_chars) END AS size FROM documents WHERE n_chars < 1048576")
 def _(spark, d):
-    docs = m.read(spark, d, "documents").where("n_chars < 1048576")
+    docs = m.read(spark, d, "documents")
     return docs.select(F.col("doc_id").alias("id"), texts.data_size(F.col("n_chars")).alias("size"))

@@ -362,3 +362,10 @@ def test_versioned_table(spark, tmp_path):
     table.write(spark.range(3), "one")
     table.write(table.read().where("id > 0"), "one")
     assert table.read().count() == 2
+
+
+def test_data_sizes_of_every_row(spark, tmp_path):
+    rows = [(1, 5), (2, 2048), (3, 1 << 20), (4, 5 << 30), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.id: r.size for r in registry.queries()["data_sizes"](spark, str(tmp_path)).collect()}
+    assert got == {1: "5 B", 2: "2.0 KiB", 3: "1.0 MiB", 4: "5.0 GiB", 5: None}
