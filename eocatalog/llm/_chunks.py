@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
-from itertools import chain
 
 import numpy as np
 
@@ -26,6 +25,10 @@ _ODD = "\x1c\x1d\x1e\x1f\x85\u180e"
 #: Two white space characters in a row, or one that is neither a space nor a newline.
 _RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\x0b", "\x0c", "\r")
 _WIDE_SPACE = re.compile("[\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Between chunks; no plain text holds it.
+_CUT = "\x1e"
+#: A comma or stop after a letter begins a pre-token of its own, which ends where the chunk does.
+_COMMA, _STOP = (re.compile(x + "(?<=[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff].)(?=\x1e|$)") for x in (",", "\\."))
 
 _encoders: dict = {}
 
@@ -43,10 +46,6 @@ class _Slots(dict):
         return slot
 
 
-class _Whole(str):
-    """A text that can't be cut."""
-
-
 class ChunkEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -75,30 +74,64 @@ class ChunkEncoder:
             return False
         return text.isascii() or not _WIDE_SPACE.search(text)
 
-    def _cut(self, text: str) -> list[str]:
-        """Chunks; for a byte-level tokenizer a word that stands after a space begins with it."""
-        if self._is_plain(text):
-            if not self._byte_level:
-                return text.split()
-            return text.replace("\n", "\x1e\n\x1e").replace(" ", "\x1e ").split("\x1e")  # \x1e is in no plain text
-        odd = any(x in text for x in self._specials) or any(x in text for x in _ODD)
-        return [_Whole(text)] if odd else BYTE_LEVEL.findall(text)
+    def _cut(self, texts: list[str]):
+        """The chunks of all texts one after another as an Arrow array, how many each text has, and texts that are one chunk.
 
-    def _alone(self, new: list[str]) -> list[int]:
+        For a byte-level tokenizer a word that stands after a space begins with it, and a comma or stop at its
+        end is a chunk of its own.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        plain, others, whole = [], {}, set()
+        for k, text in enumerate(texts):
+            if self._is_plain(text):
+                if self._byte_level:
+                    text = text.replace("\n", "\x1e\n\x1e").replace(" ", "\x1e ")
+                    plain.append(_STOP.sub("\x1e.", _COMMA.sub("\x1e,", text)))
+                else:
+                    plain.append(_CUT.join(text.split()))
+            elif any(x in text for x in self._specials) or any(x in text for x in _ODD):
+                others[k] = [text]
+                whole.add(text)
+            else:
+                others[k] = BYTE_LEVEL.findall(text)
+        lists = pc.split_pattern(pa.array(plain, pa.large_string()), _CUT)
+        counts = np.asarray(lists.value_lengths(), np.int64)
+        chunks = lists.flatten()
+        if not others:
+            return chunks, counts, whole
+        rest = pa.array([x for parts in others.values() for x in parts], pa.large_string())
+        own, sizes = np.array(list(others)), np.fromiter(map(len, others.values()), np.int64, len(others))
+        # chunks of other texts lie behind those of plain ones; they are taken in the order of the texts
+        all_counts = np.zeros(len(texts), np.int64)
+        is_plain = np.ones(len(texts), bool)
+        is_plain[own] = False
+        all_counts[is_plain], all_counts[own] = counts, sizes
+        starts = np.zeros(len(texts), np.int64)
+        starts[is_plain] = np.cumsum(counts) - counts
+        starts[own] = len(chunks) + np.cumsum(sizes) - sizes
+        ends = np.cumsum(all_counts)
+        take = np.arange(int(ends[-1])) + np.repeat(starts - (ends - all_counts), all_counts)
+        return pa.concat_arrays([chunks, rest]).take(pa.array(take)), all_counts, whole
+
+    def _alone(self, new: list[str], whole: set[str]) -> list[int]:
         """Which chunks have the same ids beside other such chunks: words, for a byte-level tokenizer after a space."""
         if self._byte_level:
-            return [k for k, x in enumerate(new) if x[0] == " " and len(x) > 1 and not x[1].isspace() and type(x) is str]
-        return [k for k, x in enumerate(new) if (x.isascii() or unicodedata.is_normalized("NFC", x)) and type(x) is str]
+            found = [k for k, x in enumerate(new) if x[0] == " " and len(x) > 1 and not x[1].isspace()]
+        else:
+            found = [k for k, x in enumerate(new) if x.isascii() or unicodedata.is_normalized("NFC", x)]
+        return [k for k in found if new[k] not in whole] if whole else found
 
-    def _encode_new(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _encode_new(self, new: list[str], whole: set[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids, and where each chunk's start and how many they are; chunks that can stand together are one text.
 
         Which ids are whose is told by the bytes that each stands for; where these don't add up, and for
         other chunks, each chunk is encoded by itself.
         """
         starts, lens = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
-        together = self._alone(new)
         done, pool, used = np.zeros(len(new), bool), [], 0
+        together = self._alone(new, whole)
         for at in range(0, len(together), 4000):
             some = together[at : at + 4000]
             text = ("" if self._byte_level else " ").join([new[k] for k in some])
@@ -128,11 +161,15 @@ class ChunkEncoder:
 
     def _look_up(self, texts: list[str | None]):
         """Slots of all chunks, chunks of each text; the ids of all slots, their starts and lengths."""
-        cut = [self._cut(t) if t else [] for t in texts]
-        counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        slots = np.fromiter(map(self._slots.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        full = [k for k, t in enumerate(texts) if t]
+        chunks, in_full, whole = self._cut([texts[k] for k in full])
+        counts = np.zeros(len(texts), np.int64)
+        counts[full] = in_full
+        coded = chunks.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        slots = np.fromiter(map(self._slots.__getitem__, distinct), np.int64, len(distinct))[np.asarray(coded.indices)]
         new = self._slots.new
-        ids, starts, lens = self._encode_new(new)
+        ids, starts, lens = self._encode_new(new, whole)
         starts, lens = np.concatenate([self._starts, starts + len(self._pool)]), np.concatenate([self._lens, lens])
         pool = np.concatenate([self._pool, ids])
         hits = np.bincount(slots, minlength=len(lens))

@@ -112,7 +112,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, shard
         e = encoder(tokenizer)
         name, n_docs, n_ids, out = f"{uuid.uuid4().hex}.ids", 0, 0, None
         names, lengths, ids, size = [], [], [], 0
-        for part in in_parts(batches, chars=1_000_000):
+        for part in in_parts(batches, chars=2_000_000):
             out = out or fs.open_output_stream(f"{root}/{name}")
             flat, lens = e.encode(part.column(1).to_pylist())
             ids.append(np.insert(flat, np.cumsum(lens), end_id))
