@@ -25,11 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as the session names it.
 
-    Only where the session names none, as in local tests, is one made on this machine.
+    Only where the session names none and everything runs on this machine, as in local tests, is one made
+    here; on a cluster that is an error, for executors don't share the driver's disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="eocatalog-")
@@ -41,13 +44,28 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """The rows of df, written to the shared folder and read from there.
+    """The rows of df, written to the shared folder and read from there; drop() takes the table away.
 
     This cuts lineage: a lost executor costs the tasks that it ran, not the plan before.
     """
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that materialise() wrote and that nothing will read again."""
+    for t in tables:
+        delete(t.sparkSession, t._scratch_path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder by Hadoop's file system, whatever the scheme of its path."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @contextlib.contextmanager

@@ -22,14 +22,16 @@ def components(links: DataFrame) -> DataFrame:
     sign = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = c.materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         # large star: every larger neighbour goes to the smallest node around
-        large = both.where("v > u").join(c.materialise(low, "low"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = c.materialise(pairs(large), "large-star")
+        c.drop(links, low)
         # small star: the node and its smaller neighbours go to the smallest of these
         low = c.materialise(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         links = c.materialise(pairs(small), "small-star")
+        c.drop(large, low)
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == sign or not now[0]:
             break

@@ -19,17 +19,20 @@ from eocatalog.llm import _common as c
 from eocatalog.llm._chunks import in_parts
 from eocatalog.llm._links import components, star_links
 
-#: Words in memory per worker process; past that the table starts anew (a cache, not a limit).
-CACHED_WORDS = 500_000
+#: Words and their bytes in memory per worker process; past that the table starts anew (a cache, not a limit).
+CACHED_WORDS, CACHED_BYTES = 500_000, 30_000_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _word_hashes: dict | None = None
 
 
 class _WordHashes(dict):
+    size = 0
+
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
         self[word] = h = xxhash.xxh3_64_intdigest(word)
+        self.size += len(word)
         return h
 
 
@@ -48,10 +51,10 @@ def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
     different shingles fall together about once in 2**64 pairs.
     """
     global _word_hashes
-    if _word_hashes is None or len(_word_hashes) > CACHED_WORDS:
-        _word_hashes = _WordHashes()
     out = []
     for text in texts:
+        if _word_hashes is None or len(_word_hashes) > CACHED_WORDS or _word_hashes.size > CACHED_BYTES:
+            _word_hashes = _WordHashes()
         ws = text.lower().split() if text else []  # of bytes: A-Z, and \x20 \x09-\x0D
         h = np.fromiter(map(_word_hashes.__getitem__, ws), np.uint64, len(ws))
         n = len(h) - width + 1
@@ -159,7 +162,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves:
     Rows link when 100 times the intersection of their shingle sets is at least percent times the union;
     component_id is the smallest id reachable, and kept says that it is the row's own. Rows without
     words have an empty set and link with nothing. A row with a null id links with nothing, has no
-    component_id and is kept. Rows that share an id count as one document, linked if any of them is.
+    component_id and is kept. Rows that share an id count as one document, which links with all that any of
+    them links with, so they have one component_id; keep_one tells rows apart.
     The defaults miss a pair at the threshold about once in 2700 and copies never. A group of n different
     near copies takes n * n / 2 comparisons, spread over tasks by blocks of about
     block_shingles shingles or block_sets sets.
@@ -209,7 +213,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves:
         return pa.table({"u": pa.array([u for u, _ in stars], pa.int64()), "v": pa.array([v for _, v in stars], pa.int64())})
 
     tiled = tiles.join(sets, "rep").groupBy("group", "i", "j").applyInArrow(compare, "u long, v long")
-    roots = components(tiled)
+    # an id with several sets links their classes
+    shared_ids = c.materialise(full.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "shared-ids")
+    of_shared = full.join(shared_ids, "doc_id", "left_semi").join(reps.select(*set_key, "rep"), set_key).select("doc_id", "rep").distinct()
+    lowest = of_shared.groupBy("doc_id").agg(F.min("rep").alias("v"))
+    roots = components(tiled.unionByName(of_shared.join(lowest, "doc_id").select(F.col("rep").alias("u"), "v")))
 
     classes = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*set_key, F.coalesce("component", "rep").alias("component"))
     in_class = full.select("doc_id", *set_key).join(c.materialise(classes, "class-components"), set_key)
@@ -219,5 +227,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **tuning) -> DataFrame:
+    """The rows of docs but for near copies: of each group the row with the smallest id stays (nulls first).
+
+    Rows are nodes of their own here: those that share an id are linked only if their texts are near copies,
+    an exactly repeated row stays once, and rows with a null id take part. Rows without words all stay.
+    The columns are those of docs; one named ``_row`` is lost.
+    """
+    names = c.carried(docs, ["_row"])
+    keyed = c.materialise(docs.select(*names, F.monotonically_increasing_id().alias("_row")), "rows")
+    found = near_duplicates(keyed, width, percent, id_col="_row", text_col=text_col, **tuning)
+    copies = found.where("NOT kept").select(F.col("doc_id").alias("_row"), "component_id")
+    copies = c.materialise(copies.unionByName(copies.select(F.col("component_id").alias("_row"), "component_id").distinct()), "copies")
+    named = copies.join(keyed.select("_row", F.col(id_col).alias("id")), "_row")
+    best = named.groupBy("component_id").agg(F.min(F.struct("id", "_row"))["_row"].alias("_row"))
+    gone = c.materialise(copies.select("_row").join(best, "_row", "left_anti"), "near-copies")
+    c.drop(copies)
+    return keyed.join(gone, "_row", "left_anti").select(*names)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(c.table(spark, sf_dir, "documents"), width=3, percent=85, halves=10, per_half=3)

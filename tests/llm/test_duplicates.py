@@ -155,3 +155,22 @@ def test_line_dedup_odd_rows(odd, empty):
     assert out.columns == [*odd.columns, "_n_lines", "_n_dropped"]
     assert [r._n_dropped for r in out.collect()] == [0] * 7
     assert line_dedup.dedup_lines(empty).count() == 0
+
+
+SHARED_IDS = [(3, "A"), (5, "A"), (5, "B"), (9, "B"), (11, "C"), (12, "D"), (12, "C"), (20, "E"), (20, "E"), (None, "A"), (30, ""), (30, "")]
+
+
+def _spelled(letter):
+    return " ".join(f"{letter.lower()}{k}" for k in range(30)) if letter else ""
+
+
+def test_minhash_ids_shared_by_different_texts(spark):
+    df = spark.createDataFrame([(i, _spelled(x)) for i, x in SHARED_IDS], "doc_id long, text string").repartition(3)
+    got = sorted({(r.doc_id, r.component_id) for r in minhash.near_duplicates(df).collect() if r.doc_id})
+    assert got == [(3, 3), (5, 3), (9, 3), (11, 11), (12, 11), (20, 20), (30, 30)]
+
+
+def test_keep_one_loses_no_text(spark):
+    df = spark.createDataFrame([(i, _spelled(x)) for i, x in SHARED_IDS if i], "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.text) for r in minhash.keep_one(df).collect())
+    assert got == [(3, _spelled("A")), (5, _spelled("B")), (11, _spelled("C")), (12, _spelled("D")), (20, _spelled("E")), (30, ""), (30, "")]
