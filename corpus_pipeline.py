@@ -31,10 +31,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five words, a similarity of 0.8 or more."""
-    docs = docs.select(*COLUMNS)
-    gone = minhash.near_duplicates(docs, width=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    return docs.join(_common.materialise(gone, "near-copies"), "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near duplicates: five words, a similarity of 0.8 or more.
+
+    Rows are judged one by one, so rows that share an id but are no copies all stay.
+    """
+    return minhash.keep_one(docs.select(*COLUMNS), width=5, percent=80).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
