@@ -1,8 +1,9 @@
 """Line dedup: lines that many documents share stay in one document only.
 
-Lines are exploded as 128-bit hashes of their normalised form, the distinct documents of
-each hash are counted, lines over the threshold are dropped everywhere but in the document
-with the largest id, and the lines that stay are put together again by position.
+Lines are exploded with their positions as 128-bit hashes of their normalised form, the distinct documents
+of each hash are counted, lines over the threshold are dropped everywhere but in the document
+with the largest id, and the lines that stay are put together again by position. All steps are
+linear in a text's lines but for sorting the positions that it loses.
 """
 
 from __future__ import annotations
@@ -33,18 +34,23 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     """
     names = c.carried(docs, ["_n_lines", "_n_dropped"])
     split = lambda text: F.split(F.coalesce(text, F.lit("")), "\n")
-    rows = docs.select(F.struct(*[docs[n] for n in names]).alias("row"), F.col(id_col).alias("id"))
-    lines = rows.where(F.col("id").isNotNull()).select("id", split(F.col("row").getField(text_col)).alias("lines"))
-    long_keys = F.filter(F.transform("lines", _key), lambda k: F.char_length(k) >= min_chars)
-    hashes = F.array_distinct(F.transform(long_keys, _key_hash))
-    spread = lines.select("id", F.explode(hashes).alias("h"))
+    text = F.col("row").getField(text_col)
+    # rows that share an id may have different texts, and so other positions: the text's hash tells them apart
+    rows = docs.select(F.struct(*[docs[n] for n in names]).alias("row"), F.col(id_col).alias("id")).withColumn("of", F.xxhash64(text))
+    keys = rows.where(F.col("id").isNotNull()).select("id", "of", F.posexplode(F.transform(split(text), _key)).alias("pos", "key"))
+    spread = c.materialise(keys.where(F.char_length("key") >= min_chars).select("id", "of", "pos", _key_hash(F.col("key")).alias("h")), "lines")
     shared = spread.groupBy("h", "id").agg(F.lit(1).alias("_")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
     shared = c.materialise(shared.where(F.col("n") >= min_docs).select("h", "last"), "shared-lines")
-    lost = spread.join(shared, "h").where(F.col("id") < F.col("last")).groupBy("id").agg(F.collect_set("h").alias("lost"))
-    # whole texts go through this join once, and are split again after it
-    joined = rows.join(lost, "id", "left").withColumn("lines", split(F.col("row").getField(text_col)))
-    gone = lambda line: (F.char_length(_key(line)) >= min_chars) & F.array_contains("lost", _key_hash(_key(line)))
-    kept = F.when(F.col("lost").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda line: ~gone(line)))
+    lost = spread.join(shared, "h").where(F.col("id") < F.col("last")).groupBy("id", "of").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    # one sign for each line up to the last that goes: 1 where it goes
+    before = lambda p, k: F.repeat(F.lit("0"), p - F.coalesce(F.get("at", k - 1), F.lit(-1)) - 1)
+    signs = F.concat(F.array_join(F.transform("at", before), "1"), F.lit("1"))
+    lost = c.materialise(lost.select("id", "of", F.transform(F.split(signs, ""), lambda x: x == "1").alias("gone")), "lost-lines")
+    c.drop(spread, shared)
+    # whole texts go through this join once
+    joined = rows.join(lost, ["id", "of"], "left").withColumn("lines", split(text))
+    stays = lambda line, k: ~F.coalesce(F.get("gone", k), F.lit(False))
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", stays))
     out = joined.select("row", F.col("lines").alias("_lines"), kept.alias("_kept"))
     carried = [F.array_join("_kept", "\n").alias(n) if n == text_col else F.col("row").getField(n).alias(n) for n in names]
     sizes = (F.size("_lines").cast("long"), (F.size("_lines") - F.size("_kept")).cast("long"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import math
 import re
 from collections import Counter
@@ -22,7 +23,7 @@ from eocatalog.llm._chunks import in_parts
 
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
-KINDS = ("email", "secret", "iban", "date", "ssn", "phone", "ip", "card")
+KINDS = ("email", "secret", "iban", "date", "ssn", "phone", "ip", "ip6", "card")
 
 #: Characters of an IBAN by country.
 IBAN_LENGTHS = {pair[:2]: int(pair[2:]) for pair in (
@@ -108,21 +109,24 @@ class Pseudonyms:
 
     #: Patterns in the order in which they are tried at a place.
     PATTERNS = (
-        ("email", r"(?P<local>[A-Za-z0-9._%+-]+)@(?P<domain>[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*)\.(?P<tld>[A-Za-z]{2,24})(?![A-Za-z0-9@])"),
+        ("email", r"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9._%+-]+)@(?P<domain>[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*)\.(?P<tld>[A-Za-z]{2,24})(?![A-Za-z0-9@])"),
         ("secret", r"(?:(?P<name>\b(?i:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\s*[:=]\s*[\"']?)(?P<value>[A-Za-z0-9+/_-]{8,})|\b(?P<id>AKIA|ASIA|ghp_|sk-)(?P<rest>[A-Za-z0-9]{16,})\b)"),
         ("iban", r"\b(?P<country>[A-Z]{2})(?P<check>[0-9]{2})(?P<bban>(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b"),
         ("date", r"(?<![0-9./-])(?:(?P<y>(?:19|20)[0-9]{2})(?P<s1>[-/.])(?P<m>[0-9]{2})(?P=s1)(?P<d>[0-9]{2})|(?P<p>[0-9]{2})(?P<s2>[-/.])(?P<q>[0-9]{2})(?P=s2)(?P<y2>(?:19|20)[0-9]{2}))(?![0-9])(?![./-][0-9])"),
         ("ssn", r"(?<![0-9-])(?P<area>[0-9]{3})-(?P<group>[0-9]{2})-(?P<serial>[0-9]{4})(?![0-9])(?!-[0-9])"),
         ("phone", rf"(?<![0-9+])(?:(?P<us>{'|'.join(_AMERICAN)})|(?P<abroad>{_ABROAD})|{_NAMED})(?![0-9])"),
         ("ip", r"(?<![0-9.])(?P<o1>[0-9]{1,3})\.(?P<o2>[0-9]{1,3})\.(?P<o3>[0-9]{1,3})\.(?P<o4>[0-9]{1,3})(?![0-9])(?!\.[0-9])"),
+        ("ip6", r"(?<![0-9A-Za-z:.])(?P<v6>(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:)[0-9A-Fa-f:]{3,39})(?![0-9A-Za-z:])"),
         ("card", r"(?<![0-9])(?P<digits>[0-9](?:[ -]?[0-9]){12,18})(?![0-9])"),
     )
-    #: A text without these has nothing to find.
-    HINT = re.compile("[0-9@]|(?i:pass|pwd|token|secret|key)")
+    #: Every value of every kind holds one of these, so a text without them needs no look at its places.
+    NEEDED = re.compile(r"[0-9@]|:[A-Fa-f]{0,4}:|AKIA|ASIA|ghp_|sk-|(?i:passw|pwd|token|secret|key)")
 
     def __init__(self, key: bytes):
         self._feistel = Feistel(key)
         self._pattern = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in self.PATTERNS))
+        # right after a value an address begins where it is looked at, not only where its run of characters does
+        self._joined = re.compile(f"(?P<email>{self.PATTERNS[0][1].partition(')')[2]})" + "".join(f"|(?P<{kind}>(?!))" for kind, _ in self.PATTERNS[1:]))
 
     def _letters(self, kind: str, text: str) -> str:
         """Letters and digits of text permuted, each within its class and case; the rest stays."""
@@ -240,24 +244,48 @@ class Pseudonyms:
         x = self._feistel.permute("ip", int.from_bytes(bytes(map(int, octets)), "big"), 1 << 32)
         return ".".join(map(str, x.to_bytes(4, "big")))
 
+    def _ip6(self, m: re.Match) -> str | None:
+        """The hexadecimal digits permuted; how the address is written stays."""
+        found = m["v6"]
+        digits = found.replace(":", "")
+        try:
+            ipaddress.IPv6Address(found)
+        except ValueError:
+            return None
+        if not digits:
+            return None
+        new = f"{self._feistel.permute('ip6', int(digits, 16), 16 ** len(digits)):0{len(digits)}x}"
+        return _refill(found, new.upper() if any(ch.isupper() for ch in digits) else new)
+
     def _card(self, m: re.Match) -> tuple[str, int] | None:
         """The longest valid number that ends with a group; digits after it are looked at again."""
-        for end in reversed(_group_ends(m["digits"])):
-            digits = re.sub("[^0-9]", "", m["digits"][:end])
-            body = digits[:-1]
-            if len(digits) < 13 or digits[0] == "0" or luhn_digit(body) != digits[-1]:
+        found, lengths = m["digits"], {}
+        digits = found.replace(" ", "").replace("-", "")
+        if digits[0] == "0":
+            return None
+        for end in _group_ends(found):
+            lengths[end] = end - found.count(" ", 0, end) - found.count("-", 0, end)
+        # Luhn sums of all beginnings, with the digits at even or at odd places doubled
+        sums = ([0], [0])
+        for i, d in enumerate(map(int, digits)):
+            twice = 2 * d - 9 * (d > 4)
+            sums[i % 2].append(sums[i % 2][-1] + twice)
+            sums[1 - i % 2].append(sums[1 - i % 2][-1] + d)
+        for end, n in reversed(lengths.items()):
+            if n < 13 or sums[n % 2][n] % 10:
                 continue
-            n = 10 ** (len(body) - 1)  # the issuer's first digit stays
-            new = body[0] + str(self._feistel.permute(f"card {len(digits)}", int(body[1:]), n)).zfill(len(body) - 1)
-            return _refill(m["digits"][:end], new + luhn_digit(new)), m.start() + end
+            body = digits[: n - 1]
+            # the issuer's first digit stays
+            new = body[0] + str(self._feistel.permute(f"card {n}", int(body[1:]), 10 ** (n - 2))).zfill(n - 2)
+            return _refill(found[:end], new + luhn_digit(new)), m.start() + end
         return None
 
     def replace(self, text: str | None) -> tuple[str | None, Counter]:
         found: Counter = Counter()
-        if not text or not self.HINT.search(text):
+        if not text or not self.NEEDED.search(text):
             return text, found
         out, at = [], 0
-        while m := self._pattern.search(text, at):
+        while m := (self._joined.match(text, at) if found else None) or self._pattern.search(text, at):
             kind = next(k for k in KINDS if m[k] is not None)
             new = getattr(self, f"_{kind}")(m)
             if new is None:  # not valid: go on after its first character's run
@@ -280,7 +308,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     nothing. What no pattern finds, or its rule rejects, stays as it is: emails; passwords, tokens and access
     keys; IBANs (mod 97); dates from 1900 to 2099 (calendar); social security numbers (ranges); telephone
     numbers (any digits after a country code or with brackets, or ten digits after a word like "tel"; ranges where
-    only separators show them; ten digits without any mark stay); IPv4 addresses (octets); card numbers (Luhn).
+    only separators show them; ten digits without any mark stay); IPv4 (octets) and IPv6 addresses; card numbers (Luhn).
     """
 
     def run(batches):

@@ -148,16 +148,37 @@ def test_packing_odd_rows(odd, empty):
 
 def test_sum_of_squares_picks_the_least_sum():
     rng = np.random.default_rng(2)
-    p = packing.SumOfSquares(20)
-    for _ in range(300):
-        length = int(rng.integers(1, 21))
-        sums = {}
-        for level in [0, *np.flatnonzero(p.levels).tolist()]:
-            if level + length <= 20:
-                n = p.levels.copy()
-                n[level] -= level > 0
-                n[level + length] += level + length < 20
-                sums[level] = int((n * n).sum())
-        at = p.level_for(length)
-        assert sums[at] == min(sums.values()) and at == max(h for h in sums if sums[h] == sums[at])
-        p.put(("piece", length), length)
+    size = 20
+    for max_open in (3, 6, 1000):
+        p = packing.SumOfSquares(size, max_open)
+        for k in range(300):
+            length = int(rng.integers(1, size + 1))
+            before = p.levels.copy()
+
+            def after(h, before=before, length=length):
+                n = before.copy()
+                if h:
+                    n[h] -= 1
+                n[h + length if h + length <= size else h + length - size] += 1
+                n[size] = 0
+                return int((n.astype(int) ** 2).sum())
+
+            at_bound = p.n_open >= max_open and before.any()
+            fits = [h for h in range(size) if (h == 0 or before[h]) and h + length <= size and not (at_bound and h == 0 and length < size)]
+            cuts = [h for h in range(size) if before[h] and h + length > size] if at_bound and length < size else []
+            best = min(map(after, fits + cuts))
+            level = p.level_for(length)
+            assert level == max(h for h in fits + cuts if after(h) == best)
+            full = p.put([(k, 0, np.zeros(length, np.uint32), length)], length)
+            assert all(sum(len(x[2]) for x in w) == size for w in full)
+            assert sum(len(w) for w in p.open.values()) == p.n_open == p.levels[:size].sum() <= max(1, max_open)
+
+
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_packing_rounds_leave_one_window(spark, docs, tasks, rows):
+    few = packing.pack(docs.repartition(tasks), WORD, 2, 64, max_open=4, fan_in=2).collect()
+    check_packing(few, rows, 64)
+    sizes = {}
+    for r in few:
+        sizes[r.sequence_id] = sizes.get(r.sequence_id, 0) + r.length
+    assert sum(n < 64 for n in sizes.values()) <= 1
