@@ -3,8 +3,13 @@
 Unit vectors are rotated and split into blocks of coordinates. Two vectors within squared distance d of
 each other are, in at least one block, within that block's part of d (parts add up to d, in proportion
 to the block's share of the coordinates). For each block a range join finds the pairs within its part: cells
-over the block's first coordinates, with a vector standing in its own cell and probing all cells that its
-range touches. Every pair in the union of the blocks' candidates is verified on the whole vectors.
+over those of the block's coordinates that tell vectors apart, with a vector standing in its own cell and
+probing all cells that its range touches. The union of the blocks' candidates is verified on the whole
+vectors as they were.
+
+Which coordinates tell vectors apart is counted over all vectors: how many pairs would meet in a coordinate's
+cells. A block in which no coordinate leaves out enough pairs is one cell, in which all vectors of a label meet,
+so it finds all pairs and no other block is needed. Directions spread evenly over many dimensions come to that.
 """
 
 from __future__ import annotations
@@ -50,91 +55,167 @@ def close_pairs(homes: np.ndarray, probes: np.ndarray, block: int, parts: list[n
     raise ValueError("no such block")
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, blocks: int = 4, grid: int = 2, tile: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def ranges(turned: np.ndarray, parts: list[np.ndarray], distance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each coordinate's own cell and the first and last cell that its block's range touches (at most two)."""
+    radius = np.empty(turned.shape[1])
+    for own in parts:
+        radius[own] = np.sqrt(distance * len(own) / turned.shape[1] + _SLACK)
+    scaled = turned / (2 * radius)
+    return tuple(np.floor(x).astype(np.int64) for x in (scaled, scaled - 0.5, scaled + 0.5))
+
+
+def _by_dim(batches, column: str):
+    """Parts of batches whose vectors have one length, with the vectors and their unit vectors in double precision."""
+    import pyarrow as pa
+
+    for batch in batches:
+        dims = np.asarray(batch.column(column).value_lengths())
+        for dim in np.unique(dims):
+            part = batch.filter(pa.array(dims == dim))
+            plain = np.asarray(part.column(column).flatten()).reshape(-1, dim)
+            yield int(dim), part, plain, _unit(plain.astype(np.float64))
+
+
+def choose_cells(counts: list[tuple], blocks: int, grid: int, most: float) -> dict[int, list[list[int]]]:
+    """For each dim and block the coordinates that make its cells, from (dim, coordinate, cell, homes, probes).
+
+    These are the at most grid coordinates in whose cells the smallest shares of all pairs meet, if under most.
+    """
+    meet, all_ = {}, {}
+    for dim, k, _, homes, probes in counts:
+        meet[dim, k] = meet.get((dim, k), 0) + homes * probes
+        all_[dim, k] = all_.get((dim, k), 0) + homes
+    out = {}
+    for dim in {d for d, _ in meet}:
+        share = [meet[dim, k] / max(1, all_[dim, k]) ** 2 for k in range(dim)]
+        out[dim] = [sorted((k for k in own.tolist() if share[k] < most), key=lambda k: share[k])[:grid] for own in split(dim, blocks)]
+    return out
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.93, blocks: int = 4, grid: int = 3, most: float = 0.6, tile: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
     Rows link when their labels are equal and not null, their vectors have equal length and their
     cosine in double precision is at least least. Vectors that are null, empty, zero or hold null or
     non-finite components link with nothing, as do rows with a null id, which have a null component_id
-    and are kept. Equal vectors of a label are one class with its count; rows that share an id are
-    separate rows that share a component. Large cells are dealt out in tiles, and a task returns counts
-    and the links that join what was apart, never all pairs.
+    and are kept. Equal vectors of a label are one class with its count. Rows that share an id are
+    separate rows with links of their own but share a component. Large cells are dealt out in tiles, and a
+    task returns counts and the links that join what was apart, never all pairs.
     """
     names = [id_col, vector_col, label_col]
+    wide = dict(vectors.dtypes)[vector_col] != "array<float>"
     rows = vectors.select(*[F.col(n).alias(a) for n, a in zip(names, ("vec_id", "v", "label"), strict=True)])
-    rows = rows.withColumn("vec_id", F.col("vec_id").cast("long")).withColumn("v", F.col("v").cast("array<double>"))
+    rows = rows.withColumn("vec_id", F.col("vec_id").cast("long")).withColumn("v", F.col("v").cast("array<double>" if wide else "array<float>"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0)
     rows = c.materialise(rows.withColumn("usable", F.coalesce(usable, F.lit(False))), "vectors")
-    classes = rows.where("usable").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    classes = c.materialise(classes, "vector-classes")
+    classes = rows.where("usable").groupBy("label", "v").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"))
+    classes = c.materialise(classes.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
     distance = 2 * (1 - least)
 
+    def count_cells(batches):
+        import pyarrow as pa
+
+        for dim, _, _, unit in _by_dim(batches, "v"):
+            found = []
+            for k, (home, low, high) in enumerate(zip(*(x.T for x in ranges(unit @ rotation(dim), split(dim, blocks), distance)), strict=True)):
+                base = low.min()
+                homes = np.bincount(home - base, minlength=high.max() - base + 1)
+                probes = np.bincount(low - base, minlength=len(homes)) + np.bincount((high - base)[high > low], minlength=len(homes))
+                found += [(dim, k, int(base + i), int(homes[i]), int(probes[i])) for i in np.flatnonzero(probes)]
+            cols = list(zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["dim", "k", "cell", "homes", "probes"])
+
+    counted = classes.select("v").mapInArrow(count_cells, "dim long, k long, cell long, homes long, probes long")
+    # a few rows for each coordinate
+    chosen = choose_cells([tuple(r) for r in counted.groupBy("dim", "k", "cell").agg(F.sum("homes"), F.sum("probes")).collect()], blocks, grid, most)
+
     def to_cells(batches):
-        """A row for each block and touched cell: home is 1 in a vector's own cell, else 0."""
+        """A row for each block and touched cell: home is 1 in a vector's own cell, else 0; block -1 where all meet."""
         import pyarrow as pa
 
-        for batch in batches:
-            dims = np.asarray(batch.column("v").value_lengths())
-            for dim in np.unique(dims):
-                part = batch.filter(pa.array(dims == dim))
-                turned = _unit(np.asarray(part.column("v").flatten()).reshape(-1, dim)) @ rotation(int(dim))
-                parts = split(int(dim), blocks)
-                reps, weights = np.asarray(part.column("rep")), np.asarray(part.column("n"))
-                labels = np.asarray(part.column("label"))
-                raw = [x.tobytes() for x in turned]
-                for b, own in enumerate(parts):
-                    radius = np.sqrt(distance * len(own) / dim + _SLACK)
-                    leading = turned[:, own[:grid]]
-                    low = np.floor((leading - radius) / (2 * radius)).astype(np.int64)
-                    high = np.floor((leading + radius) / (2 * radius)).astype(np.int64)
-                    home = np.floor(leading / (2 * radius)).astype(np.int64)
-                    # a range as wide as a cell touches at most two cells in each direction
-                    for corner in range(1 << leading.shape[1]):
-                        up = np.array([corner >> k & 1 for k in range(leading.shape[1])], bool)
-                        cell = np.where(up, high, low)
-                        new = ~((up & (high == low)).any(axis=1))
-                        at_home = (cell == home).all(axis=1)
-                        code = np.full(len(reps), b, np.int64)
-                        for k in range(leading.shape[1]):
-                            code = code * 4096 + (cell[:, k] + 2048)
-                        keep = np.flatnonzero(new)
-                        yield pa.RecordBatch.from_arrays([pa.array(labels[keep]), pa.array(np.full(len(keep), dim, np.int32)), pa.array(np.full(len(keep), b, np.int32)), pa.array(code[keep]), pa.array(at_home[keep].astype(np.int32)), pa.array(reps[keep]), pa.array(weights[keep]), pa.array([raw[k] for k in keep], pa.binary())], ["label", "dim", "block", "cell", "home", "rep", "n", "turned"])
+        for dim, part, plain, unit in _by_dim(batches, "v"):
+            raw = [x.tobytes() for x in plain]
+            columns = [part.column(n) for n in ("label", "rep", "n")]
+
+            def cells(block, code, at_home, keep, columns=columns, raw=raw, dim=dim):
+                keep = pa.array(keep)
+                n = len(keep)
+                return pa.RecordBatch.from_arrays([columns[0].take(keep), pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, block, np.int32)), pa.array(code), pa.array(at_home), columns[1].take(keep), columns[2].take(keep), pa.array([raw[k] for k in keep.to_pylist()], pa.binary())], ["label", "dim", "block", "cell", "home", "rep", "n", "raw"])
+
+            if not all(chosen[dim]):
+                n = part.num_rows
+                yield cells(-1, np.zeros(n, np.int64), np.ones(n, np.int32), np.arange(n))
+                continue
+            home, low, high = ranges(unit @ rotation(dim), split(dim, blocks), distance)
+            for b, own in enumerate(chosen[dim]):
+                for corner in range(1 << len(own)):
+                    up = np.array([corner >> k & 1 for k in range(len(own))], bool)
+                    cell = np.where(up, high[:, own], low[:, own])
+                    keep = np.flatnonzero(~(up & (high[:, own] == low[:, own])).any(axis=1))
+                    at_home = (cell == home[:, own]).all(axis=1)[keep].astype(np.int32)
+                    code = np.zeros(len(keep), np.int64)
+                    for k in range(len(own)):
+                        code = code * 1_000_003 + cell[keep, k]
+                    yield cells(b, code, at_home, keep)
 
     label_type = dict(classes.dtypes)["label"]
     cell_key = ["label", "dim", "block", "cell"]
-    placed = c.materialise(classes.mapInArrow(to_cells, f"label {label_type}, dim int, block int, cell long, home int, rep long, n long, turned binary"), "cells")
+    placed = c.materialise(classes.mapInArrow(to_cells, f"label {label_type}, dim int, block int, cell long, home int, rep long, n long, raw binary"), "cells")
     sizes = placed.groupBy(*cell_key).agg(F.ceil(F.sum("home") / tile).cast("int").alias("h_tiles"), F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("p_tiles")).where("h_tiles > 0")
     sized = placed.join(c.materialise(sizes, "cell-sizes"), cell_key)
-    own_h, own_p = F.pmod(F.xxhash64("rep"), F.col("h_tiles")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("p_tiles")).cast("int")
-    carried = [*cell_key, "rep", "n", "turned"]
-    as_home = sized.where("home = 1").select(*carried, own_h.alias("h"), F.explode(F.sequence(F.lit(0), F.col("p_tiles") - 1)).alias("p"), F.lit(True).alias("is_home"))
-    as_probe = sized.select(*carried, F.explode(F.sequence(F.lit(0), F.col("h_tiles") - 1)).alias("h"), own_p.alias("p"), F.lit(False).alias("is_home"))
+    own_h, own_p = F.pmod(F.xxhash64("rep"), F.col("h_tiles")).cast("int"), F.pmod(F.xxhash64("rep"), F.col("p_tiles")).cast("int")
+    carried = [*cell_key, "rep", "n", "raw"]
+    # where all meet, homes and probes are dealt alike, and each two tiles meet once
+    all_meet = F.col("block") < 0
+    homes = sized.where("home = 1").withColumn("h", own_h)
+    as_home = homes.select(*carried, "h", F.explode(F.sequence(F.when(all_meet, F.col("h")).otherwise(0), F.col("p_tiles") - 1)).alias("p"), F.lit(True).alias("is_home"))
+    probes = sized.withColumn("p", own_p)
+    as_probe = probes.select(*carried, F.explode(F.sequence(F.lit(0), F.when(all_meet, F.col("p")).otherwise(F.col("h_tiles") - 1))).alias("h"), "p", F.lit(False).alias("is_home"))
 
     def verify(table):
         """Rows (u, v, n): v links to u; n is how many vectors u gains (v null), or null for a link."""
         import pyarrow as pa
 
         dim, block = table.column("dim")[0].as_py(), table.column("block")[0].as_py()
-        vectors = np.frombuffer(b"".join(table.column("turned").to_pylist()), np.float64).reshape(-1, dim)
+        vectors = np.frombuffer(b"".join(table.column("raw").to_pylist()), np.float64 if wide else np.float32).reshape(-1, dim).astype(np.float64)
         reps, weights, is_home = table.column("rep").to_numpy(), table.column("n").to_numpy(), table.column("is_home").to_numpy(zero_copy_only=False)
         h, p = np.flatnonzero(is_home), np.flatnonzero(~is_home)
-        near = close_pairs(vectors[h], vectors[p], block, split(dim, blocks), distance) & (reps[p][None, :] < reps[h][:, None])
-        near &= vectors[h] @ vectors[p].T >= least
-        gained_h, gained_p = near @ weights[p], weights[h] @ near
-        u = np.concatenate([reps[h], reps[p]])
-        gained = np.concatenate([gained_h, gained_p]).astype(np.int64)
-        ids, at = np.unique(u, return_inverse=True)
-        pairs = np.argwhere(near)
-        stars = star_links(ids, np.stack([at[pairs[:, 0]], at[len(h) + pairs[:, 1]]], axis=1))
+        norms = np.sqrt((vectors * vectors).sum(axis=1))
+        turned = vectors / norms[:, None] @ rotation(dim) if block >= 0 else None
+        ordered = block >= 0 or table.column("h")[0].as_py() == table.column("p")[0].as_py()
+        gained, pairs = np.zeros(len(reps), np.int64), []
+        for at in range(0, len(h), 512):
+            some = h[at : at + 512]
+            near = (vectors[some] @ vectors[p].T) / (norms[some][:, None] * norms[p][None, :]) >= least
+            if block >= 0:
+                near &= close_pairs(turned[some], turned[p], block, split(dim, blocks), distance)
+            if ordered:
+                near &= reps[p][None, :] < reps[some][:, None]
+            x, y = np.nonzero(near)
+            if len(x):
+                x, y = some[x], p[y]
+                np.add.at(gained, x, weights[y])
+                np.add.at(gained, y, weights[x])
+                pairs.append(np.stack([x, y], axis=1))
+        ids, at = np.unique(reps, return_inverse=True)
+        stars = star_links(ids, at[np.concatenate(pairs)]) if pairs else []
         some = gained > 0
-        return pa.table({"u": pa.array([*u[some].tolist(), *(s[0] for s in stars)], pa.int64()), "v": pa.array([*[None] * int(some.sum()), *(s[1] for s in stars)], pa.int64()), "n": pa.array([*gained[some].tolist(), *[None] * len(stars)], pa.int64())})
+        return pa.table({"u": pa.array([*reps[some].tolist(), *(s[0] for s in stars)], pa.int64()), "v": pa.array([*[None] * int(some.sum()), *(s[1] for s in stars)], pa.int64()), "n": pa.array([*gained[some].tolist(), *[None] * len(stars)], pa.int64())})
 
     found = as_home.unionByName(as_probe).groupBy(*cell_key, "h", "p").applyInArrow(verify, "u long, v long, n long")
     found = c.materialise(found, "vector-links")
+    c.drop(placed)
     gained = found.where("v IS NULL").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("gained"))
-    roots = components(found.where("v IS NOT NULL").select("u", "v")).withColumnRenamed("node", "rep")
-    known = classes.join(gained, "rep", "left").join(roots, "rep", "left").select("label", "v", (F.coalesce("gained", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    # classes that hold the same id share a component
+    several = rows.where("usable").groupBy("vec_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("vec_id")
+    of_shared = rows.where("usable").join(several, "vec_id", "left_semi").join(classes.select("label", "v", "rep"), ["label", "v"]).select("vec_id", "rep")
+    same_id = of_shared.join(of_shared.groupBy("vec_id").agg(F.min("rep").alias("v")), "vec_id").select(F.col("rep").alias("u"), "v")
+    roots = components(found.where("v IS NOT NULL").select("u", "v").unionByName(same_id)).withColumnRenamed("node", "rep")
+    in_component = classes.join(roots, "rep", "left").select("label", "v", "rep", "low", "n", F.coalesce("component", "rep").alias("component"))
+    in_component = c.materialise(in_component.join(gained, "rep", "left"), "class-components")
+    lowest = in_component.groupBy("component").agg(F.min("low").alias("component_id"))
+    known = in_component.join(lowest, "component").select("label", "v", (F.coalesce("gained", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     linked = rows.where("usable").select("vec_id", "label", "v").join(c.materialise(known, "class-links"), ["label", "v"]).select("vec_id", "n_links", "component_id")
     rest = rows.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

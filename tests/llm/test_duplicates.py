@@ -105,8 +105,8 @@ def brute_vectors(rows, least):
     return {i: (n[i], comp[i], comp[i] == i) for i, *_ in rows}
 
 
-@pytest.mark.parametrize("tile", [1024, 8])
-def test_embedding_dedup_equals_brute_force(spark, tile):
+@pytest.mark.parametrize(("tile", "most"), [(1024, 0.6), (8, 0.0), (16, 1.01)])
+def test_embedding_dedup_equals_brute_force(spark, tile, most):
     rng = np.random.default_rng(6)
     centres = rng.standard_normal((6, 16))
     rows = []
@@ -115,7 +115,7 @@ def test_embedding_dedup_equals_brute_force(spark, tile):
         rows.append((i, [float(np.float32(x)) for x in v], i % 2))
     rows += [(150, rows[1][1], rows[1][2]), (151, rows[1][1], 1 - rows[1][2]), (152, None, 0), (153, [0.0] * 16, 0), (154, [float("nan")] * 16, 0), (155, [None, *[1.0] * 15], 1), (156, [1.0, 2.0], 0), (157, [1.0, 2.1], 0), (158, rows[1][1], None), (159, [], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df, 0.93, tile=tile).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df, 0.93, tile=tile, most=most).collect()}
     want = brute_vectors(rows, 0.93)
     assert got == want
     assert sum(w[0] > 0 for w in want.values()) > 20
@@ -157,6 +157,18 @@ def test_line_dedup_odd_rows(odd, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_embedding_dedup_ids_shared_by_different_vectors(spark):
+    a, b, d = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    df = spark.createDataFrame([(3, a, 1), (5, a, 1), (5, b, 1), (9, b, 1), (11, d, 1), (11, d, 2)], "vec_id long, embedding array<float>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect())
+    assert got == [(3, 1, 3), (5, 1, 3), (5, 1, 3), (9, 1, 3), (11, 0, 11), (11, 0, 11)]
+
+
+def test_cells_are_made_where_they_prune():
+    counts = [(2, 0, cell, 10, 20) for cell in range(10)] + [(2, 1, cell, 50, 100) for cell in range(2)]
+    assert embedding_dedup.choose_cells(counts, blocks=2, grid=3, most=0.6) == {2: [[0], []]}
+
+
 SHARED_IDS = [(3, "A"), (5, "A"), (5, "B"), (9, "B"), (11, "C"), (12, "D"), (12, "C"), (20, "E"), (20, "E"), (None, "A"), (30, ""), (30, "")]
 
 
