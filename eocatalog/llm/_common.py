@@ -55,6 +55,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets the driver's JVM find shuffles that no plan refers to any more, so that Spark's cleaner deletes their files."""
+    spark._jvm.System.gc()
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables that materialise() wrote and that nothing will read again."""
     for t in tables:
