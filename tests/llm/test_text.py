@@ -241,7 +241,7 @@ def test_lm_score_is_a_probability(spark):
     # all words of two letters of a small alphabet, all of one and the end: less than 1 in total
     words = [b"", *[bytes([x]) for x in range(256) if x not in b" \t\n\x0b\x0c\r"]]
     vocabulary = spark.createDataFrame([(0, bytearray(w), 3) for w in words[:60]], "cls int, word binary, n long")
-    total = (10 ** lm_score.train(vocabulary).log10_words(words, np.zeros(len(words), int))).sum()
+    total = (10 ** lm_score.train(vocabulary, 2).log10_words(words, np.zeros(len(words), int))).sum()
     assert 0.5 < total <= 1
 
 
