@@ -319,10 +319,16 @@ class Compiler:
         return inside & ((x <= end) if op == "t_intersects" else (x < end)) if end is not None else inside
 
     def spatial(self, op: str, a, b) -> Column:
-        """Bounding boxes decide, as they do in searches; with exact, its answer refines those that meet."""
+        """Bounding boxes decide, as they do in searches; with exact, its answer refines those that meet.
+
+        Without exact, s_touches, s_crosses, s_overlaps and s_intersects find all whose boxes meet the shape's.
+        """
         if self.bounds is None:
             raise FilterError("there is no geometry to compare")
-        shape = b["shape"] if isinstance(b, dict) and "shape" in b else a["shape"]
+        if isinstance(b, dict) and "shape" in b:
+            shape = b["shape"]
+        else:  # the shape first: what it is within contains it
+            shape, op = a["shape"], {"s_within": "s_contains", "s_contains": "s_within"}.get(op, op)
         x0, y0, x1, y1 = (F.lit(float(v)) for v in shapes.envelope(shape))
         own = self.bounds
         meet = (own[0] <= x1) & (own[2] >= x0) & (own[1] <= y1) & (own[3] >= y0)

@@ -621,7 +621,7 @@ def _(spark, d):
     path = tables.work_path(spark, "stream")
     stream = StreamingRefresh(spark, path)
     stream.start(changes, f"{path}/progress").awaitTermination()
-    return stream.cells.read().select("product", "month", "dataset_count")
+    return stream.cells().select("product", "month", "dataset_count")
 
 
 @query("cell_lookup", f"SELECT dataset_count, size_bytes FROM ({_ROLLUP}) WHERE product = '1-URGENT' AND period_type = 'month' AND start_day = DATE '1996-03-01'")

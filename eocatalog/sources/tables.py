@@ -9,37 +9,52 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share; on this machine only where the session names none."""
+    """A new path in the folder that driver and executors share; on this machine only where all runs here."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{named or 'file://' + tempfile.mkdtemp(prefix='eocatalog-')}/{label}-{uuid.uuid4().hex}"
 
 
 class Versioned:
-    """Parquet below a folder, with the name of the current version in a one-row table beside.
+    """Parquet tables below a folder that change together, version by version.
 
-    A version is written before it is named, so readers see the old one or the new one.
+    All tables of a version are written to a folder of their own before one new empty file, whose name holds the
+    version's number, token and folder, makes it current. Nothing that is current is ever written to or deleted,
+    so a crash at any point leaves the version before, and readers see whole versions.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-
-    def _current(self) -> str | None:
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
-        if not folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-            return None
-        return self.spark.read.text(f"{self.path}/current").first().value
-
-    def read(self) -> DataFrame | None:
-        name = self._current()
-        return None if name is None else self.spark.read.parquet(f"{self.path}/{name}")
-
-    def write(self, df: DataFrame, version: str) -> DataFrame:
-        before = self._current()
-        name = f"{version}-a" if before != f"{version}-a" else f"{version}-b"
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        jvm = spark.sparkContext._jvm
+        self._at = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[tuple[str, str, str]]:
+        """Number, token and folder of all versions, ascending."""
+        folder = self._at(f"{self.path}/versions")
+        if not self._fs.exists(folder):
+            return []
+        return sorted(tuple(s.getPath().getName().split(".")) for s in self._fs.listStatus(folder))
+
+    def token(self) -> str | None:
+        """What the current version was written for."""
+        return self._versions()[-1][1] if self._versions() else None
+
+    def read(self, table: str) -> DataFrame | None:
+        found = self._versions()
+        return self.spark.read.parquet(f"{self.path}/{found[-1][2]}/{table}") if found else None
+
+    def write(self, dfs: dict[str, DataFrame], token: str) -> None:
+        """Makes these tables the current version; of the older ones only the last is left for its readers."""
+        before, folder = self._versions(), uuid.uuid4().hex
+        for name, df in dfs.items():
+            df.write.parquet(f"{self.path}/{folder}/{name}")
+        number = int(before[-1][0]) + 1 if before else 0
+        self._fs.create(self._at(f"{self.path}/versions/{number:012d}.{token}.{folder}"), False).close()
+        for old in before[:-1]:
+            self._fs.delete(self._at(f"{self.path}/versions/{'.'.join(old)}"), False)
+            self._fs.delete(self._at(f"{self.path}/{old[2]}"), True)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

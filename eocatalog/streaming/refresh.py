@@ -1,12 +1,13 @@
 """Refresh as a stream of dataset changes.
 
 The change feed is a streaming DataFrame; each micro-batch goes through the same steps as a batch refresh and replaces
-the affected rows of two stored tables. State is in the tables, keyed by dataset and by cell, so a batch that runs
-twice gives the same tables.
+the affected rows of two stored tables. Both tables become current in one step together with the batch's number, so a
+batch that died on its way starts again from the tables before it, and one that had got through changes nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,30 +25,43 @@ class StreamingRefresh:
     def __init__(self, spark: SparkSession, path: str, tz: str = "Australia/Darwin", listeners: tuple[Callable[[DataFrame], None], ...] = ()):
         """listeners are called with the cells that a batch has made again."""
         self.spark, self.tz, self.listeners = spark, tz, listeners
-        self.extents = tables.Versioned(spark, f"{path}/extents")
-        self.cells = tables.Versioned(spark, f"{path}/month_cells")
+        self.store, self.feed = tables.Versioned(spark, f"{path}/store"), "direct"
+
+    def extents(self) -> DataFrame | None:
+        return self.store.read("extents")
+
+    def cells(self) -> DataFrame | None:
+        return self.store.read("month_cells")
 
     def apply(self, batch: DataFrame, epoch: int) -> None:
-        """One micro-batch: of several changes of a dataset the last counts."""
+        """One micro-batch: of several changes of a dataset the last counts.
+
+        epoch is the batch's number in its feed; the same number twice in a row is the same batch.
+        """
+        token = f"{self.feed}-{epoch}"
+        if self.store.token() != token:
+            self._commit(batch, token)
+        for tell in self.listeners:
+            tell(self.cells().join(self.store.read("affected"), ["product", "month"], "left_semi"))
+
+    def _commit(self, batch: DataFrame, token: str) -> None:
         last = W.partitionBy("id").orderBy(F.greatest("added", "updated", "archived").desc())
         changes = batch.withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k").persist()
         try:
             kept = [c for c in changes.columns if c not in ("updated", "archived")]
-            old = self.extents.read()
+            old, cells = self.extents(), self.cells()
             if old is None:
                 old = changes.select(*kept).limit(0)
+                cells = refresh.month_cells(old, self.tz)
             affected = refresh.affected_months(old, changes, self.tz).persist()
-            new = self.extents.write(refresh.apply_changes(old, changes), f"epoch-{epoch}")
-            cells = self.cells.read()
-            if cells is None:
-                cells = refresh.month_cells(new, self.tz).limit(0)
-            made = self.cells.write(refresh.refresh_months(cells, new, affected, self.tz), f"epoch-{epoch}")
-            for tell in self.listeners:
-                tell(made.join(affected, ["product", "month"], "left_semi"))
+            new = refresh.apply_changes(old, changes)
+            made = refresh.refresh_months(cells, new, affected, self.tz)
+            self.store.write({"extents": new, "month_cells": made, "affected": affected}, token)
             affected.unpersist()
         finally:
             changes.unpersist()
 
     def start(self, changes: DataFrame, checkpoint: str, once: bool = True) -> StreamingQuery:
+        self.feed = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
         writer = changes.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()

@@ -235,8 +235,8 @@ def test_streaming_refresh(spark, tmp_path):
         spark.createDataFrame(change_rows(rows), CHANGES).write.mode("append").parquet(feed)
         changes = spark.readStream.schema(CHANGES).parquet(feed)
         stream.start(changes, str(tmp_path / "checkpoint")).awaitTermination(120)
-    assert {(r["product"], r.month.month, r.dataset_count) for r in stream.cells.read().collect()} == {("q", 5, 1), ("q", 6, 1)}
-    assert {r.id for r in stream.extents.read().collect()} == {"b", "c"}
+    assert {(r["product"], r.month.month, r.dataset_count) for r in stream.cells().collect()} == {("q", 5, 1), ("q", 6, 1)}
+    assert {r.id for r in stream.extents().collect()} == {"b", "c"}
     assert told == [2, 1]
 
 
@@ -358,10 +358,57 @@ def test_fixed_fields_and_empty_inputs(spark):
 
 def test_versioned_table(spark, tmp_path):
     table = tables.Versioned(spark, f"file://{tmp_path}/t")
-    assert table.read() is None
-    table.write(spark.range(3), "one")
-    table.write(table.read().where("id > 0"), "one")
-    assert table.read().count() == 2
+    assert table.read("x") is None and table.token() is None
+    for k in range(4):
+        before = table.read("x")
+        table.write({"x": spark.range(3) if before is None else before.where("id > 0"), "y": spark.range(k)}, f"n{k}")
+        assert (table.token(), table.read("x").count(), table.read("y").count()) == (f"n{k}", 2 if k else 3, k)
+    assert len(list((tmp_path / "t" / "versions").glob("0*"))) == 2
+
+
+@pytest.mark.parametrize("dies_at", ["extents", "month_cells", "affected", "marker", "listener"])
+def test_repeated_batch_after_a_crash(spark, tmp_path, monkeypatch, dies_at):
+    t = dt.datetime(2020, 5, 5)
+    batch = lambda rows: spark.createDataFrame(change_rows(rows), CHANGES)
+    stream = StreamingRefresh(spark, f"file://{tmp_path}/store")
+    stream.apply(batch([("a", "p", t, t, None), ("b", "p", t, t, None), ("c", "p", t, t, None)]), 0)
+    moved = batch([("a", "p", t.replace(month=6), t + dt.timedelta(days=8), None), ("b", "p", t, t, t + dt.timedelta(days=9))])
+
+    def die(*_):
+        raise RuntimeError("lost")
+
+    if dies_at == "listener":
+        stream.listeners = (die,)
+    else:
+        plain = tables.Versioned.write
+
+        def write(self, dfs, token):
+            names = list(dfs)
+            for name in names if dies_at == "marker" else names[: names.index(dies_at) + 1]:
+                dfs[name].write.parquet(f"{self.path}/half-{token}/{name}")
+            die()
+
+        monkeypatch.setattr(tables.Versioned, "write", write)
+    with pytest.raises(RuntimeError):
+        stream.apply(moved, 1)
+    if dies_at != "listener":
+        monkeypatch.setattr(tables.Versioned, "write", plain)
+    told = []
+    stream.listeners = (lambda cells: told.append({(r["product"], r.month.month) for r in cells.collect()}),)
+    for _ in range(2):
+        stream.apply(moved, 1)
+        assert {(r["product"], r.month.month, r.dataset_count) for r in stream.cells().collect()} == {("p", 5, 1), ("p", 6, 1)}
+        assert {r.id for r in stream.extents().collect()} == {"a", "c"}
+    assert told == [{("p", 5), ("p", 6)}] * 2
+
+
+def test_cql2_shape_on_either_side(spark):
+    df = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 10.0), (2, 4.0, 4.0, 5.0, 5.0), (3, 20.0, 0.0, 21.0, 1.0)], "id int, x0 double, y0 double, x1 double, y1 double")
+    bounds = tuple(F.col(n) for n in ("x0", "y0", "x1", "y1"))
+    square = "POLYGON((3 3, 6 3, 6 6, 3 6, 3 3))"
+    ids = lambda f: {r.id for r in df.where(cql2.compile_filter(f, {"id": F.col("id")}, bounds)).collect()}
+    assert ids(f"S_WITHIN(geometry, {square})") == ids(f"S_CONTAINS({square}, geometry)") == {2}
+    assert ids(f"S_CONTAINS(geometry, {square})") == ids(f"S_WITHIN({square}, geometry)") == {1}
 
 
 def test_data_sizes_of_every_row(spark, tmp_path):
