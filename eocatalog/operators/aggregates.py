@@ -45,15 +45,17 @@ def timeline(datasets: DataFrame, first: dt.date, last: dt.date, tz: str = GROUP
 
 
 def coarsen(buckets: DataFrame, limit: int = MAX_BUCKETS) -> DataFrame:
-    """product, unit, day, n: days become months where a product has over limit of them; one step.
+    """product, unit, day, n: where a product has over limit buckets, days become months or months years; one step.
 
-    A coarsened timeline has no empty buckets.
+    Buckets without a column unit are days; years stay. A coarsened timeline has no empty buckets.
     """
+    if "unit" not in buckets.columns:
+        buckets = buckets.withColumn("unit", F.lit("day"))
     sizes = buckets.groupBy("product").agg(F.count_distinct("day").alias("n_buckets"))
-    wide = F.col("n_buckets") > limit
+    wide, unit = (F.col("n_buckets") > limit) & (F.col("unit") != "year"), F.col("unit")
     joined = buckets.join(sizes, "product").where(~wide | (F.col("n") > 0))
-    day = F.when(wide, F.trunc("day", "month")).otherwise(F.col("day"))
-    unit = F.when(wide, "month").otherwise("day")
+    day = F.when(wide & (unit == "day"), F.trunc("day", "month")).when(wide, F.trunc("day", "year")).otherwise(F.col("day"))
+    unit = F.when(wide & (unit == "day"), "month").when(wide, "year").otherwise(unit)
     return joined.groupBy("product", unit.alias("unit"), day.alias("day")).agg(F.sum("n").alias("n"))
 
 
@@ -72,6 +74,18 @@ def period_rollup(datasets: DataFrame, tz: str | None = GROUPING_TZ, measures: d
     return rolled.select("product", kind.alias("period_type"), start.alias("start_day"), *aggs)
 
 
+def period_counts(cells: DataFrame) -> DataFrame:
+    """product, year, month, dataset_count of all stored periods; null for what a period spans all of."""
+    year = F.when(F.col("period_type") != "all", F.year("start_day")).cast("long")
+    month = F.when(F.col("period_type") == "month", F.month("start_day")).cast("long")
+    return cells.select("product", year.alias("year"), month.alias("month"), "dataset_count")
+
+
+def total_count(cells: DataFrame) -> DataFrame:
+    """n: datasets of all products, from the cells of all time."""
+    return cells.where("period_type = 'all'").agg(F.sum("dataset_count").alias("n"))
+
+
 def period_summary(datasets: DataFrame) -> DataFrame:
     """product, dataset_count, crs_list, size_bytes, newest_creation_time; first by srid, then over all.
 

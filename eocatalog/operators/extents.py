@@ -40,28 +40,45 @@ def size_bytes(doc: Column, own: dict[str, Column]) -> Column:
     return F.coalesce(field, fields.json_path(doc, ["size_bytes"])).try_cast("long")
 
 
-def _spatial_path(metadata_type: dict) -> list[str]:
-    return metadata_type["dataset"].get("grid_spatial") or ["grid_spatial", "projection"]
+def _spatial_path(metadata_type: dict) -> list[str] | None:
+    """Where a document tells its place; None for a type that isn't spatial."""
+    return metadata_type["dataset"].get("grid_spatial")
 
 
 def srid(doc: Column, metadata_type: dict, default: int | None) -> Column:
     if fields.is_eo3(metadata_type):
         return crs.srid(fields.json_path(doc, ["crs"]), F.lit(None), F.lit(None), default)
+    if not _spatial_path(metadata_type):
+        return F.lit(None).cast("int")
     at = lambda name: fields.json_path(doc, [*_spatial_path(metadata_type), name])
     return crs.srid(at("spatial_reference"), at("datum"), at("zone"), default)
 
 
 def corner(doc: Column, metadata_type: dict, name: str, axis: str) -> Column:
+    if not _spatial_path(metadata_type):
+        return F.lit(None).cast("double")
     return fields.json_path(doc, [*_spatial_path(metadata_type), "geo_ref_points", name, axis]).try_cast("double")
 
 
+def grid_ring(doc: Column) -> Column:
+    """The outline of a newer document's default grid: its four corners through the grid's affine transform."""
+    number = lambda *p: F.get_json_object(doc, "$.grids.default." + "".join(p)).try_cast("double")
+    rows, cols = number("shape[0]"), number("shape[1]")
+    a, b, c, d, e, f = (number(f"transform[{i}]") for i in range(6))
+    at = lambda x, y: F.array(a * x + b * y + c, d * x + e * y + f)
+    zero = F.lit(0.0)
+    return F.array(at(zero, rows), at(zero, zero), at(cols, zero), at(cols, rows), at(zero, rows))
+
+
 def footprint_geojson(doc: Column, metadata_type: dict) -> Column:
-    """The document's own outline, else its corners as a polygon, else null."""
+    """The document's own outline, else its corners (newer documents: its default grid's) as a polygon, else null."""
     if fields.is_eo3(metadata_type):
-        outline = fields.json_path(doc, ["geometry"])
-        return outline
-    outline = fields.json_path(doc, [*_spatial_path(metadata_type), "valid_data"])
-    ring = F.array(*[F.array(corner(doc, metadata_type, k, "x"), corner(doc, metadata_type, k, "y")) for k in ("ll", "ul", "ur", "lr", "ll")])
+        outline, ring = fields.json_path(doc, ["geometry"]), grid_ring(doc)
+    elif _spatial_path(metadata_type):
+        outline = fields.json_path(doc, [*_spatial_path(metadata_type), "valid_data"])
+        ring = F.array(*[F.array(corner(doc, metadata_type, k, "x"), corner(doc, metadata_type, k, "y")) for k in ("ll", "ul", "ur", "lr", "ll")])
+    else:
+        return F.lit(None).cast("string")
     complete = ~F.exists(F.flatten(ring), lambda v: v.isNull())
     polygon = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")))
     return F.coalesce(outline, F.when(complete, polygon))
@@ -111,6 +128,12 @@ def extents(datasets: DataFrame, metadata_type: dict, product: dict) -> DataFram
     )
 
 
+def active(datasets: DataFrame, product: str | None = None) -> DataFrame:
+    """Datasets that aren't archived, of one product or of all."""
+    live = datasets.where(F.col("archived").isNull())
+    return live if product is None else live.where(F.col("product") == product)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str | list[str] = "id") -> DataFrame:
     """old with the rows of new in place of those with the same key."""
     return old.join(new, key, "left_anti").unionByName(new)

@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 from eocatalog.functions import projections, shapes
 
 
+#: Reference systems that one region's shapes lie in at most: all UTM zones of both hemispheres and some more.
+MAX_SYSTEMS = 128
+
+
 def _each(fn, *series):
     return pd.Series([None if any(v is None or v != v for v in vs) else fn(*vs) for vs in zip(*series, strict=True)], dtype=object)
 
@@ -45,6 +49,26 @@ def envelope(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["xmin", "ymin", "xmax", "ymax"], dtype="float64")
 
 
+def point(x: Column, y: Column) -> Column:
+    """A point without Python; null where a coordinate is missing."""
+    return F.when(x.isNotNull() & y.isNotNull(), F.struct(x.alias("x"), y.alias("y")))
+
+
+def ewkt(wkb: Column, srid: Column) -> Column:
+    """``SRID=4326;POLYGON((0 0,...))``; without a code the text alone."""
+
+    @F.pandas_udf(T.StringType())
+    def text(s: pd.Series) -> pd.Series:
+        return _each(lambda w: shapes.to_wkt(shapes.from_wkb(w)), s)
+
+    return F.concat(F.when(srid.isNull(), "").otherwise(F.concat(F.lit("SRID="), srid.cast("string"), F.lit(";"))), text(wkb))
+
+
+def lonlat_bounds(wkb: Column, srid: Column) -> Column:
+    """The box (xmin, ymin, xmax, ymax) of a shape in degrees."""
+    return envelope(transform(wkb, srid, 4326))
+
+
 def transform(wkb: Column, srid: Column, target: int) -> Column:
     """Coordinates in the target system; null without a code."""
 
@@ -74,14 +98,16 @@ def corners_polygon(doc_points: dict[str, tuple[Column, Column]]) -> Column:
     return F.array(*[F.struct(doc_points[k][0].alias("x"), doc_points[k][1].alias("y")) for k in ("ll", "ul", "ur", "lr", "ll")])
 
 
-def union_by(footprints: DataFrame, keys: list[str], wkb: str = "footprint", fan_in: int = 64, simplify_to: float | None = None) -> DataFrame:
+def union_by(footprints: DataFrame, keys: list[str], wkb: str = "footprint", fan_in: int = 64, simplify_to: float | None = None, at_most: int | None = None) -> DataFrame:
     """keys, footprint: what any of a group's shapes covers.
 
     Shapes are united in rounds of about fan_in by a hash, the hash coarser each round, so no task unites
-    many of one group whatever its size; what is left of a group at last is united once more.
+    many of one group whatever its size; what is left of a group at last is united once more. Equal shapes, as
+    those of a fixed grid of tiles, count once, before any hash puts them together. at_most is a known bound of
+    a group's shapes, which saves counting them.
     """
-    rows = footprints.where(F.col(wkb).isNotNull()).select(*keys, F.col(wkb).alias("footprint"))
-    largest = rows.groupBy(*keys).count().agg(F.max("count").alias("n")).first().n or 0
+    rows = footprints.where(F.col(wkb).isNotNull()).select(*keys, F.col(wkb).alias("footprint")).distinct()
+    largest = at_most if at_most is not None else rows.groupBy(*keys).count().agg(F.max("count").alias("n")).first().n or 0
     schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("footprint", T.BinaryType())])
 
     def unite(last: bool):
@@ -112,7 +138,7 @@ def region_coverage(footprints: DataFrame, tolerance: float = 0.0001) -> DataFra
     keys = ["product", "region_code", "srid"]
     counts = valid.groupBy("product", "region_code").agg(F.count(F.lit(1)).alias("n"))
     first = union_by(valid, keys).withColumn("footprint", transform(F.col("footprint"), F.col("srid"), 4326))
-    united = union_by(first, ["product", "region_code"], simplify_to=tolerance)
+    united = union_by(first, ["product", "region_code"], fan_in=MAX_SYSTEMS, simplify_to=tolerance, at_most=MAX_SYSTEMS)
     on = counts["product"].eqNullSafe(united["product"]) & counts["region_code"].eqNullSafe(united["region_code"])
     return counts.join(united, on).select(counts["product"], F.coalesce(counts["region_code"], F.lit("")).alias("region_code"), "footprint", "n")
 

@@ -154,6 +154,18 @@ def search(extents: DataFrame, request: Search, fields: dict[str, Column] | None
     return out.limit(page_size(request.limit) + 1)
 
 
+def hard_limited(datasets: DataFrame, request: Search, limit: int) -> DataFrame:
+    """Up to limit + 1 of the rows found, whatever their number: the first by time, and one that shows that more follow."""
+    found = apply_filters(datasets, request)
+    return found.orderBy(F.col("center_time").asc_nulls_last(), F.col("id").asc()).limit(limit + 1)
+
+
+def normalised(args: dict) -> dict:
+    """Query arguments as they are compared: maturity in lower case."""
+    name = "dataset_maturity"
+    return {**args, name: args[name].lower()} if isinstance(args.get(name), str) else dict(args)
+
+
 def matched(extents: DataFrame, request: Search) -> int:
     return apply_filters(extents, request).count()
 

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eocatalog.functions import texts
+
 STAC_VERSION = "1.0.0"
 MONTH_PAGE = 500
 
@@ -32,11 +34,64 @@ def features(extents: DataFrame) -> DataFrame:
     return extents.where(F.col("xmin").isNotNull()).select("id", F.to_json(whole).alias("feature"))
 
 
-def items(extents: DataFrame, extra: dict[str, Column] | None = None, root: str = "") -> DataFrame:
-    """id, item: a STAC item of each extent, its properties taken from Columns."""
+#: Media types of files by their ending.
+MEDIA_TYPES = {"tif": "image/tiff; application=geotiff", "tiff": "image/tiff; application=geotiff", "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "json": "application/json", "geojson": "application/geo+json", "yaml": "text/yaml", "yml": "text/yaml", "txt": "text/plain", "xml": "application/xml", "html": "text/html", "h5": "application/x-hdf5", "nc": "application/x-netcdf"}
+
+
+def media_type(path: Column) -> Column:
+    ending = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    return F.get(F.map_values(F.map_filter(F.create_map(*[F.lit(x) for pair in MEDIA_TYPES.items() for x in pair]), lambda k, _: k == ending)), F.lit(0))
+
+
+def _asset(entry: Column, uri: Column, role: Column) -> Column:
+    path = entry["value"]["path"]
+    href = texts.web_url(F.coalesce(texts.resolve(uri, path), path))
+    return F.struct(entry["key"].alias("key"), F.struct(href.alias("href"), entry["key"].alias("title"), media_type(path).alias("type"), F.array(role).alias("roles")).alias("value"))
+
+
+def _measured(uri: Column):
+    return lambda entry: _asset(entry, uri, F.lit("data"))
+
+
+def _accessory(uri: Column):
+    return lambda entry: _asset(entry, uri, F.when(entry["key"].startswith("thumbnail"), "thumbnail").otherwise("metadata"))
+
+
+def assets(doc: Column, uri: Column) -> Column:
+    """name to {href, title, type, roles} of a document's measurements and accessories, addresses resolved against uri."""
+    out = []
+    for section, measured in (("measurements", True), ("accessories", False)):
+        found = F.from_json(F.get_json_object(doc, f"$.{section}"), "map<string,struct<path:string>>")
+        named = F.filter(F.coalesce(F.map_entries(found), F.array().cast("array<struct<key:string,value:struct<path:string>>>")), lambda e: e["value"]["path"].isNotNull())
+        out.append(F.transform(named, _measured(uri) if measured else _accessory(uri)))
+    # a name in both sections is the measurement's
+    measured, extra = out
+    taken = F.transform(measured, lambda e: e["key"])
+    return F.map_from_entries(F.concat(measured, F.filter(extra, lambda e: ~F.array_contains(taken, e["key"]))))
+
+
+def lineage_links(doc: Column, root: str = "") -> Column:
+    """A derived_from link for each source in a document's lineage, by kind of source."""
+    kinds = F.map_entries(F.from_json(F.get_json_object(doc, "$.lineage"), "map<string,array<string>>"))
+    ids = F.flatten(F.transform(kinds, lambda e: F.coalesce(e["value"], F.array().cast("array<string>"))))
+    return F.coalesce(F.transform(ids, lambda i: F.struct(F.lit("derived_from").alias("rel"), F.concat(F.lit(f"{root}/dataset/"), i).alias("href"))), F.array().cast("array<struct<rel:string,href:string>>"))
+
+
+def items(extents: DataFrame, extra: dict[str, Column] | None = None, root: str = "", doc: str | None = None, uri: str | None = None) -> DataFrame:
+    """id, item: a STAC item of each extent, its properties taken from Columns.
+
+    With the names of the columns of documents and addresses, items have assets, links to their sources and
+    a canonical link to the document itself.
+    """
     properties = F.struct(iso(F.col("center_time")).alias("datetime"), iso(F.col("creation_time")).alias("created"), F.col("product").alias("odc:product"), F.col("region_code").alias("odc:region_code"), *[c.alias(n) for n, c in (extra or {}).items()])
     link = lambda rel, href: F.struct(F.lit(rel).alias("rel"), href.alias("href"))
     own = F.concat(F.lit(f"{root}/collections/"), F.col("product"), F.lit("/items/"), F.col("id"))
+    links = F.array(link("self", own), link("collection", F.concat(F.lit(f"{root}/collections/"), F.col("product"))))
+    found = F.create_map().cast("map<string,string>")
+    if doc is not None:
+        at = F.col(uri) if uri else F.lit(None).cast("string")
+        found, links = assets(F.col(doc), at), F.concat(links, lineage_links(F.col(doc), root))
+        links = F.concat(links, F.when(at.isNotNull(), F.array(link("canonical", texts.web_url(at)))).otherwise(F.array().cast("array<struct<rel:string,href:string>>")))
     whole = F.struct(
         F.lit("Feature").alias("type"),
         F.lit(STAC_VERSION).alias("stac_version"),
@@ -45,8 +100,8 @@ def items(extents: DataFrame, extra: dict[str, Column] | None = None, root: str
         F.when(F.col("xmin").isNotNull(), box_array()).alias("bbox"),
         F.when(F.col("xmin").isNotNull(), box_geometry()).alias("geometry"),
         properties.alias("properties"),
-        F.array(link("self", own), link("collection", F.concat(F.lit(f"{root}/collections/"), F.col("product")))).alias("links"),
-        F.create_map().cast("map<string,string>").alias("assets"),
+        links.alias("links"),
+        found.alias("assets"),
     )
     return extents.select("id", F.to_json(whole, {"ignoreNullFields": "true"}).alias("item"))
 
@@ -107,8 +162,12 @@ def queryables(fields: dict[str, str]) -> dict:
 
 
 def region_features(counts: DataFrame, regions: DataFrame) -> DataFrame:
-    """product, region_code, n and geometry where the region is known; a null region has none."""
-    return counts.join(regions.select("product", "region_code", "geometry"), ["product", "region_code"])
+    """product, region_code, n and geometry where the region is known; a null region has none.
+
+    Regions without a column product are the same for all products.
+    """
+    keys = [k for k in ("product", "region_code") if k in regions.columns]
+    return counts.join(regions.select(*keys, "geometry"), keys).select("product", "region_code", "n", "geometry")
 
 
 def timeline_json(histogram: DataFrame) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from eocatalog.functions import crs, regions, texts, times
 from eocatalog.operators import aggregates as agg
-from eocatalog.operators import cql2, extents, facts, geometry, refresh, search, stac
+from eocatalog.operators import cql2, extents, facts, geometry, job, lookups, refresh, search, stac
 from eocatalog.plans import mapping as m
+from eocatalog.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -117,14 +118,12 @@ def _(spark, d):
 
 @query("all_period_counts", f"SELECT product, year(nullif(start_day, DATE '1900-01-01')) AS year, CASE period_type WHEN 'month' THEN month(start_day) END AS month, dataset_count FROM ({_ROLLUP})")
 def _(spark, d):
-    r = _orders_rollup(spark, d)
-    year = F.when(F.col("period_type") != "all", F.year("start_day")).cast("long")
-    return r.select("product", year.alias("year"), F.when(F.col("period_type") == "month", F.month("start_day")).cast("long").alias("month"), "dataset_count")
+    return agg.period_counts(_orders_rollup(spark, d))
 
 
 @query("total_dataset_count", f"SELECT sum(dataset_count)::BIGINT AS n FROM ({_ROLLUP}) WHERE period_type = 'all'")
 def _(spark, d):
-    return _orders_rollup(spark, d).where("period_type = 'all'").agg(F.sum("dataset_count").alias("n"))
+    return agg.total_count(_orders_rollup(spark, d))
 
 
 @query("common_period", "SELECT o_orderpriority AS product, CASE WHEN min(year(o_orderdate)) = max(year(o_orderdate)) THEN min(year(o_orderdate)) END AS year, CASE WHEN min(year(o_orderdate)) = max(year(o_orderdate)) AND min(month(o_orderdate)) = max(month(o_orderdate)) THEN min(month(o_orderdate)) END AS month, NULL::BIGINT AS day FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1")
@@ -497,10 +496,7 @@ def _(spark, d):
 @query("region_coverage_counts", f"SELECT product, region_code, n, box FROM (SELECT product, region_code, n FROM {_REGION_COUNTS}) c JOIN (SELECT n_nationkey::VARCHAR AS code, n_name AS box FROM nation) r ON r.code = c.region_code")
 def _(spark, d):
     known = m.read(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("region_code"), F.col("n_name").alias("geometry"))
-    counts = agg.region_histogram(m.events(spark, d))
-    products = counts.select("product").distinct()
-    every = known.join(F.broadcast(products), F.lit(True))  # each product knows the same 25 regions
-    return stac.region_features(counts, every).withColumnRenamed("geometry", "box")
+    return stac.region_features(agg.region_histogram(m.events(spark, d)), known).withColumnRenamed("geometry", "box")
 
 
 @query("timeline_json", f"SELECT product, '{{' || string_agg('\"' || day::VARCHAR || '\":' || n::VARCHAR, ',' ORDER BY day) || '}}' AS timeline FROM (SELECT product, center_time::DATE AS day, count(*) AS n FROM {_EVENTS} GROUP BY 1, 2) GROUP BY 1")
@@ -583,13 +579,228 @@ def _(spark, d):
     return stac.features(f)
 
 
-@query("stac_items")
+_ITEM_LINKS = """[{"rel":"self","href":"/collections/' || product || '/items/' || id || '"},{"rel":"collection","href":"/collections/' || product || '"}"""
+
+
+@query(
+    "stac_items",
+    f"""SELECT id, '{{"type":"Feature","stac_version":"1.0.0","id":"' || id || '","collection":"' || product || '","properties":{{"datetime":"' || strftime(center_time, '%Y-%m-%dT%H:%M:%SZ') || '","created":"' || strftime(center_time, '%Y-%m-%dT%H:%M:%SZ') || '","odc:product":"' || product || '","odc:region_code":"' || region_code || '"' || coalesce(',"k":"' || (doc::JSON ->> 'k') || '"', '') || '}},"links":{_ITEM_LINKS}],"assets":{{}}}}' AS item FROM {_EVENTS}""",
+)
 def _(spark, d):
     e = m.events(spark, d)
     nowhere = [F.lit(None).cast("double").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")]
     return stac.items(e.select("*", *nowhere), {"k": F.get_json_object("doc", "$.k")})
 
 
+@query(
+    "stac_items_with_assets",
+    f"""SELECT id, '{{"blue":{{"href":"https://b.s3.amazonaws.com/' || product || '/' || id || '/blue.tif","title":"blue","type":"image/tiff; application=geotiff","roles":["data"]}},"thumbnail":{{"href":"https://b.s3.amazonaws.com/' || product || '/' || id || '/t.jpg","title":"thumbnail","type":"image/jpeg","roles":["thumbnail"]}}}}' AS assets,
+        '{_ITEM_LINKS},{{"rel":"derived_from","href":"/dataset/s' || id || '"}},{{"rel":"canonical","href":"https://b.s3.amazonaws.com/' || product || '/' || id || '/doc.json"}}]' AS links FROM {_EVENTS}""",
+)
+def _(spark, d):
+    nowhere = [F.lit(None).cast("double").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")]
+    files = F.lit('{"measurements":{"blue":{"path":"blue.tif"}},"accessories":{"thumbnail":{"path":"t.jpg"}},"lineage":{"level1":["s')
+    doc = F.concat(files, F.col("id"), F.lit('"]}}'))
+    e = m.events(spark, d).withColumn("doc", doc).withColumn("uri", F.concat(F.lit("s3://b/"), "product", F.lit("/"), "id", F.lit("/doc.json")))
+    out = stac.items(e.select("*", *nowhere), doc="doc", uri="uri")
+    return out.select("id", F.get_json_object("item", "$.assets").alias("assets"), F.get_json_object("item", "$.links").alias("links"))
+
+
+#: A metadata type and products of the newer dialect, in which _documents writes events.
+_EVENT_TYPE = {
+    "name": "event",
+    "dataset": {
+        "measurements": ["measurements"],
+        "grid_spatial": ["grid_spatial", "projection"],
+        "creation_dt": ["properties", "odc:processing_datetime"],
+        "search_fields": {"region_code": {"offset": ["properties", "odc:region_code"]}, "size_bytes": {"offset": ["size_bytes"]}},
+    },
+}
+_EVENT_PRODUCTS = ("click", "error", "purchase", "view")
+
+
+def _documents(spark, d):
+    """Events as dataset documents; every seventh is archived, and places come from the grid."""
+    e = m.events(spark, d)
+    n = F.col("id").cast("long") % 50
+    grid = F.struct(F.array(F.lit(1), F.lit(2)).alias("shape"), F.array(F.lit(1.0), F.lit(0.0), n.cast("double"), F.lit(0.0), F.lit(-1.0), F.lit(0.0)).alias("transform"))
+    properties = F.struct(stac.iso(F.col("center_time")).alias("datetime"), F.col("region_code").alias("odc:region_code"))
+    doc = F.to_json(F.struct(F.lit("epsg:4326").alias("crs"), F.struct(grid.alias("default")).alias("grids"), properties.alias("properties"), F.lit(10).alias("size_bytes")))
+    return e.select("id", "product", doc.alias("doc"), "added", F.when(F.col("id").cast("long") % 7 == 0, F.col("added")).alias("archived"))
+
+
+def _definitions():
+    return [(_EVENT_TYPE, {"name": p}) for p in _EVENT_PRODUCTS]
+
+
+_LIVE = f"(SELECT *, date_trunc('second', center_time) AS t FROM {_EVENTS} WHERE id::BIGINT % 7 <> 0 AND product IN ('click', 'error', 'purchase', 'view'))"
+
+
+@query("documents_to_extents", f"SELECT id, product, t AS center_time, added AS creation_time, region_code, 10::BIGINT AS size_bytes, 4326 AS srid, (id::BIGINT % 50)::DOUBLE AS xmin, -1.0::DOUBLE AS ymin, (id::BIGINT % 50 + 2)::DOUBLE AS xmax, 0.0::DOUBLE AS ymax FROM {_LIVE}")
+def _(spark, d):
+    made = job.extents_of(_documents(spark, d), _definitions())
+    box = geometry.envelope("footprint")
+    return made.withColumn("box", box).select("id", "product", "center_time", "creation_time", "region_code", "size_bytes", "srid", *[F.col(f"box.{c}").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+
+
+@query(
+    "documents_to_cells",
+    f"""SELECT product, CASE grouping(product, y, m) WHEN 3 THEN 'all' WHEN 1 THEN 'year' ELSE 'month' END AS period_type, make_date(coalesce(y, 1900)::INTEGER, coalesce(m, 1)::INTEGER, 1) AS start_day, count(*)::BIGINT AS dataset_count, (10 * count(*))::BIGINT AS size_bytes
+        FROM (SELECT product, year(t + {_DARWIN}) AS y, month(t + {_DARWIN}) AS m FROM {_LIVE}) GROUP BY GROUPING SETS ((product), (product, y), (product, y, m))""",
+)
+def _(spark, d):
+    made = job.extents_of(_documents(spark, d), _definitions())
+    return refresh.roll_up(refresh.month_cells(made, agg.GROUPING_TZ)).select("product", "period_type", "start_day", "dataset_count", "size_bytes")
+
+
+@query(
+    "documents_to_summary",
+    f"""WITH l AS (SELECT product, id::BIGINT % 50 AS k, t FROM {_LIVE}),
+        lanes AS (SELECT DISTINCT product, unnest([k, k + 1]) AS lane FROM l)
+        SELECT product, count(*)::BIGINT AS dataset_count, (10 * count(*))::BIGINT AS size_bytes, '4326' AS srids, (SELECT count(*) FROM lanes WHERE lanes.product = l.product)::DOUBLE AS area,
+               (SELECT count(DISTINCT (t + {_DARWIN})::DATE) FROM l AS x WHERE x.product = l.product)::BIGINT AS days FROM l GROUP BY 1""",
+)
+def _(spark, d):
+    whole = job.period_summary(tables.stored(job.extents_of(_documents(spark, d), _definitions()), "extents"), 4326)
+    return whole.select("product", "dataset_count", "size_bytes", F.array_join(F.transform("srids", lambda s: s.cast("string")), ",").alias("srids"), F.round(geometry.area("footprint"), 6).alias("area"), F.size("timeline").cast("long").alias("days"))
+
+
+@query(
+    "documents_to_regions",
+    f"""WITH l AS (SELECT product, region_code, id::BIGINT % 50 AS k FROM {_LIVE}),
+        lanes AS (SELECT product, region_code, count(DISTINCT lane)::DOUBLE AS area FROM (SELECT product, region_code, unnest([k, k + 1]) AS lane FROM l) GROUP BY 1, 2)
+        SELECT product, region_code, n, area FROM (SELECT product, region_code, count(*)::BIGINT AS n FROM l GROUP BY 1, 2) JOIN lanes USING (product, region_code)""",
+)
+def _(spark, d):
+    regions_ = geometry.region_coverage(tables.stored(job.extents_of(_documents(spark, d), _definitions()), "extents"))
+    return regions_.select("product", "region_code", "n", F.round(geometry.area("footprint"), 6).alias("area"))
+
+
+# --- lookups
+
+
+def _products(spark, d):
+    return m.read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("product"), F.col("n_regionkey").cast("string").alias("metadata_type"))
+
+
+def _store_regions(spark, d):
+    """Customers' segments as regions of their nations; those with few customers have no outline."""
+    c = m.read(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    return c.select(F.col("c_nationkey").alias("product"), F.col("c_mktsegment").alias("region_code"), F.when(F.col("n") > 8, F.lit("outline")).alias("footprint"), "n")
+
+
+@query("product_by_name", "SELECT n_nationkey AS id, n_name AS product FROM nation WHERE n_nationkey = 3")
+def _(spark, d):
+    return lookups.product_by_id(_products(spark, d), 3).select("id", "product")
+
+
+@query("cells_of_products", "SELECT n_name AS product, count(*)::BIGINT AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def _(spark, d):
+    cells = m.read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("product_ref")).agg(F.count(F.lit(1)).alias("n"))
+    return lookups.cells_of_products(cells, _products(spark, d)).select("product", "n")
+
+
+@query("of_product_by_name", "SELECT s_suppkey AS id FROM supplier WHERE s_nationkey = (SELECT n_nationkey FROM nation ORDER BY n_nationkey LIMIT 1 OFFSET 4)")
+def _(spark, d):
+    products = _products(spark, d)
+    name = products.orderBy("id").offset(4).first().product
+    return lookups.of_product(m.read(spark, d, "supplier").withColumnRenamed("s_nationkey", "product_ref"), products, name).select(F.col("s_suppkey").alias("id"))
+
+
+@query("with_product_names", "SELECT s_suppkey AS id, (SELECT n_name FROM nation WHERE n_nationkey = s_nationkey) AS product FROM supplier")
+def _(spark, d):
+    return lookups.with_product_names(m.read(spark, d, "supplier").withColumnRenamed("s_nationkey", "product_ref"), _products(spark, d)).select(F.col("s_suppkey").alias("id"), "product")
+
+
+@query("product_regions", "SELECT c_mktsegment AS region_code, count(*)::BIGINT AS n FROM customer WHERE c_nationkey = 7 GROUP BY 1 HAVING count(*) > 8")
+def _(spark, d):
+    return lookups.product_regions(_store_regions(spark, d), 7).select("region_code", "n")
+
+
+@query("region_labels", "SELECT p_partkey AS id, printf('Tile %+d, %+d', floor((p_retailprice - 1200) / 100.0)::INTEGER, floor((p_size - 25) / 7.0)::INTEGER) AS label FROM part")
+def _(spark, d):
+    code = regions.tile_code(F.col("p_retailprice"), F.col("p_size"), 100.0, 7.0, 1200.0, 25.0)
+    return m.read(spark, d, "part").select(F.col("p_partkey").alias("id"), lookups.region_label(code, "tile").alias("label"))
+
+
+@query("put_regions", "SELECT c_nationkey AS product, c_mktsegment AS region_code, count(*)::BIGINT AS n FROM customer WHERE c_nationkey % 3 <> 0 OR c_mktsegment <> 'BUILDING' GROUP BY 1, 2")
+def _(spark, d):
+    """Every third product is summarised again, and has no region BUILDING any more."""
+    old = _store_regions(spark, d)
+    again = old.where("product % 3 = 0")
+    return lookups.put_regions(old, again.where("region_code <> 'BUILDING'"), again.select("product")).select("product", "region_code", "n")
+
+
+@query("put_product_summaries", "SELECT n_nationkey AS id, n_name AS product, CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 1 END AS n FROM nation")
+def _(spark, d):
+    products = _products(spark, d).select("id", "product")
+    old = products.where("id < 20").withColumn("n", F.lit(1))
+    new = products.where("id % 2 = 0 OR id >= 20").select(F.when(F.col("id") < 20, F.lit(-1)).otherwise(F.col("id")).alias("id"), "product", F.when(F.col("id") % 2 == 0, 2).otherwise(1).alias("n"))
+    return lookups.put_product_summaries(old, new)
+
+
+_SPANS = "(SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN l_linenumber % 3 = 0 THEN l_shipdate END AS gone FROM lineitem)"
+
+
+def _order_locations(spark, d):
+    li = m.read(spark, d, "lineitem")
+    return li.select(F.col("l_orderkey").alias("id"), F.concat_ws("/", F.col("l_returnflag"), F.col("l_orderkey"), F.col("l_linenumber")).alias("uri"), F.when(F.col("l_linenumber") % 3 == 0, F.col("l_shipdate")).alias("archived"))
+
+
+@query("active_locations", f"SELECT o_orderpriority AS product, count(*)::BIGINT AS n, min(l_returnflag || '/' || l_orderkey || '/' || l_linenumber) AS first_uri FROM {_SPANS} JOIN orders ON o_orderkey = l_orderkey WHERE gone IS NULL AND o_orderstatus <> 'F' GROUP BY 1")
+def _(spark, d):
+    datasets = m.orders(spark, d).withColumn("archived", F.when(F.col("status") == "F", F.col("center_time")))
+    return lookups.active_locations(_order_locations(spark, d), datasets).groupBy("product").agg(F.count(F.lit(1)).alias("n"), F.min("uri").alias("first_uri"))
+
+
+@query("product_locations", f"SELECT uri FROM (SELECT l_returnflag || '/' || l_orderkey || '/' || l_linenumber AS uri FROM {_SPANS} JOIN orders ON o_orderkey = l_orderkey WHERE gone IS NULL AND o_orderpriority = '2-HIGH' AND o_orderdate >= DATE '1995-01-01' AND o_orderdate < DATE '1996-01-01') ORDER BY uri LIMIT 100")
+def _(spark, d):
+    datasets = m.orders(spark, d).withColumn("archived", F.lit(None).cast("timestamp_ntz"))
+    active = lookups.active_locations(_order_locations(spark, d), datasets)
+    return lookups.product_locations(active, "2-HIGH", dt.datetime(1995, 1, 1), dt.datetime(1996, 1, 1)).select("uri")
+
+
+@query("archived_location_times", f"SELECT l_returnflag || '/' || l_orderkey || '/' || l_linenumber AS uri, gone AS archived FROM {_SPANS} WHERE l_orderkey = (SELECT min(l_orderkey) FROM lineitem WHERE l_linenumber = 3) AND gone IS NOT NULL")
+def _(spark, d):
+    locations = _order_locations(spark, d)
+    id_ = m.read(spark, d, "lineitem").where("l_linenumber = 3").agg(F.min("l_orderkey").alias("id")).first().id
+    return lookups.archived_location_times(locations, id_)
+
+
+@query("cell_of_a_day", f"SELECT 'view' AS product, DATE '2024-01-12' AS start_day, count(*)::BIGINT AS dataset_count, round(sum(size_bytes), 2) AS size_bytes FROM {_EVENTS} WHERE product = 'view' AND (center_time + {_DARWIN})::DATE = DATE '2024-01-12'")
+def _(spark, d):
+    return lookups.cell(None, m.events(spark, d), "view", 2024, 1, 12).withColumn("size_bytes", F.round("size_bytes", 2))
+
+
+@query("middle_day_counts", f"WITH b AS (SELECT product, (min(center_time) + (max(center_time) - min(center_time)) / 2)::DATE AS day FROM {_EVENTS} GROUP BY 1) SELECT product, day, (SELECT count(*) FROM {_EVENTS} e WHERE e.product = b.product AND e.center_time::DATE = b.day)::BIGINT AS n FROM b")
+def _(spark, d):
+    return lookups.middle_days(m.events(spark, d))
+
+
+@query("slowest_responses", "SELECT event_id AS id, value AS seconds FROM events ORDER BY seconds DESC NULLS LAST, id LIMIT 15")
+def _(spark, d):
+    return lookups.slowest(m.read(spark, d, "events").select(F.col("event_id").alias("id"), F.col("value").alias("seconds")), 15)
+
+
+@query("search_hard_limit", f"SELECT id, center_time FROM {_EVENTS} WHERE {_CONDITION} ORDER BY center_time NULLS LAST, id LIMIT 151")
+def _(spark, d):
+    return search.hard_limited(m.events(spark, d), search.Search(time=JAN, products=_PRODUCTS), 150).select("id", "center_time")
+
+
+@query("timeline_years", """WITH b AS (SELECT p_brand AS product, make_date((1000 + p_partkey // 12)::INTEGER, (1 + p_partkey % 12)::INTEGER, 1) AS day, count(*)::BIGINT AS n FROM part GROUP BY 1, 2), s AS (SELECT product, count(*) > 60 AS wide FROM b GROUP BY 1)
+   SELECT product, CASE WHEN wide THEN 'year' ELSE 'month' END AS unit, CASE WHEN wide THEN date_trunc('year', day)::DATE ELSE day END AS day, sum(n)::BIGINT AS n FROM b JOIN s USING (product) GROUP BY 1, 2, 3""")
+def _(spark, d):
+    k = F.col("p_partkey").cast("int")
+    months = m.read(spark, d, "part").groupBy(F.col("p_brand").alias("product"), F.make_date(F.lit(1000) + F.floor(k / 12).cast("int"), k % 12 + 1, F.lit(1)).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return agg.coarsen(months.withColumn("unit", F.lit("month")), 60)
+
+
+@query("unsummarised_types", "SELECT DISTINCT p_brand || p_type AS product FROM part WHERE p_brand || p_type NOT IN (SELECT p_brand || p_type FROM part WHERE p_size > 45)")
+def _(spark, d):
+    part = m.read(spark, d, "part").withColumn("product", F.concat("p_brand", "p_type"))
+    return facts.unsummarised(part.select("product").distinct(), part.where("p_size > 45").select("product", F.lit("all").alias("period_type")).distinct())
+
+
 @query("incremental_refresh", f"SELECT product, 'month' AS period_type, date_trunc('month', center_time + {_DARWIN})::DATE AS start_day, count(*)::BIGINT AS dataset_count FROM {_EVENTS} WHERE NOT (id::BIGINT % 10 = 0 AND center_time > TIMESTAMP '2024-01-20') GROUP BY 1, 3")
 def _(spark, d):
     """A refresh of all but the last days, then of the changes of these days, a tenth of them archivals."""
@@ -612,7 +823,6 @@ def _(spark, d):
 @query("stream_refresh", f"SELECT product, date_trunc('month', center_time + {_DARWIN})::DATE AS month, count(*)::BIGINT AS dataset_count FROM {_EVENTS} GROUP BY 1, 2")
 def _(spark, d):
     """Month cells kept by a stream that reads the events as dataset changes."""
-    from eocatalog.sources import tables
     from eocatalog.streaming.refresh import StreamingRefresh
 
     raw = spark.readStream.schema(m.read(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
@@ -641,10 +851,10 @@ def _(spark, d):
 @query("active_scan", f"SELECT id, product FROM {_EVENTS} WHERE product = 'view' AND NOT (id::BIGINT % 4 = 0)")
 def _(spark, d):
     e = m.events(spark, d).withColumn("archived", F.when(F.col("id").cast("long") % 4 == 0, F.col("added")))
-    return e.where((F.col("product") == "view") & F.col("archived").isNull()).select("id", "product")
+    return extents.active(e, "view").select("id", "product")
 
 
-@query("data_sizes", "SELECT doc_id AS id, CASE WHEN n_chars >= 1024 THEN printf('%.1f KiB', n_chars / 1024.0) ELSE printf('%d B', n_chars) END AS size FROM documents WHERE n_chars < 1048576")
+@query("data_sizes", "SELECT doc_id AS id, CASE WHEN n_chars >= 1073741824 THEN printf('%.1f GiB', n_chars / 1073741824.0) WHEN n_chars >= 1048576 THEN printf('%.1f MiB', n_chars / 1048576.0) WHEN n_chars >= 1024 THEN printf('%.1f KiB', n_chars / 1024.0) ELSE printf('%d B', n_chars) END AS size FROM documents")
 def _(spark, d):
     docs = m.read(spark, d, "documents")
     return docs.select(F.col("doc_id").alias("id"), texts.data_size(F.col("n_chars")).alias("size"))

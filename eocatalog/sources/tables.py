@@ -16,6 +16,13 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{named or 'file://' + tempfile.mkdtemp(prefix='eocatalog-')}/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The rows of df, written to a new table and read from there, for what is asked for several times."""
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Versioned:
     """Parquet tables below a folder that change together, version by version.
 
