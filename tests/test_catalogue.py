@@ -306,7 +306,7 @@ def test_regions_and_crs():
     assert regions.label("95_3", "scene") == "Path 95, Row 3"
     assert regions.kind_of({"sat_path": {}}, None) == "scene"
     assert crs.infer("EPSG:3577") == "epsg:3577"
-    assert crs.infer('GEOGCS["GEOCENTRIC DATUM of AUSTRALIA",DATUM["GDA94",SPHEROID["GRS80",6378137,298.257222101]],PRIMEM["Greenwich",0],UNIT["degree",0.0174532925199433]]') == "epsg:4283"
+    assert crs.infer('GEOGCS["GDA 1994, latitude and longitude",DATUM["Geocentric Datum of Australia 1994",SPHEROID["GRS 1980",6378137.0,298.257222]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.01745329252]]') == "epsg:4283"
     assert crs.infer("xyz") is None
 
 
