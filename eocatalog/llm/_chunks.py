@@ -53,12 +53,16 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab_size = self.tokenizer.get_vocab_size()
-        self._specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
         #: How many bytes of text an id stands for; the end-of-word mark is none.
         self._bytes = np.zeros(self.vocab_size, np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self._bytes[i] = len(token.removesuffix("</w>"))
+        specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._start(specials, type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel")
+
+    def _start(self, specials: list[str], byte_level: bool) -> None:
+        """Empty tables, and how texts are cut; encoders of other vocabularies call it too."""
+        self._specials, self._byte_level = specials, byte_level
         self._slots = _Slots()
         self._pool = np.empty(0, np.int32)
         self._starts, self._lens, self._hits = (np.empty(0, np.int64) for _ in range(3))
