@@ -98,7 +98,7 @@ def merge(piece: bytes, vocabulary: Ranks) -> list[int]:
         return tokens
     merged = vocabulary.merged
     after, before = list(range(1, n + 1)), list(range(-1, n))
-    leaves = 1 << (n - 2).bit_length()
+    leaves = 1 << (n - 1).bit_length()
     nothing = none * n
     tree = [nothing] * (2 * leaves)
     for i in range(n - 1):
@@ -251,24 +251,47 @@ def _encoder(path: str, pattern: str) -> RankEncoder:
     return _encoders[path, pattern]
 
 
+def _encoded(batches, path: str, pattern: str):
+    import pyarrow as pa
+
+    own = _encoder(path, pattern)
+    for part in in_parts(batches, chars=1_000_000):
+        ids, lens = own.encode(part.column(1).to_pylist())
+        offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
+    c.release_memory()
+
+
+def _decoded(batches, path: str):
+    import pyarrow as pa
+
+    own = ranks(path)
+    for batch in batches:
+        column = batch.column(1)
+        lens = np.asarray(column.value_lengths().fill_null(0), np.int64)
+        flat = np.asarray(column.flatten().fill_null(-1), np.int64)
+        known = (flat >= 0) & (flat < own.size)
+        sizes = np.where(known, own.widths(np.where(known, flat, 0)), 0)
+        known &= sizes > 0
+        of_row = np.repeat(np.arange(len(lens)), lens)
+        whole = np.bincount(of_row[~known], minlength=len(lens)) == 0
+        ends = np.cumsum(np.bincount(of_row, sizes, len(lens)).astype(np.int64))
+        text = own.decode(flat[known]).tobytes()
+        out = [text[a:b] if ok else None for a, b, ok in zip([0, *ends.tolist()], ends.tolist(), whole.tolist(), strict=False)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every row's whole text; no ids for a null or empty one.
 
     Rows are looked at one by one, so null and repeated ids change nothing, and other columns are left
     out. Texts of any length are encoded whole. path is a rank file that every executor has.
     """
-
-    def run(batches):
-        import pyarrow as pa
-
-        own = _encoder(path, pattern)
-        for part in in_parts(batches):
-            ids, lens = own.encode(part.column(1).to_pylist())
-            offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
-        c.release_memory()
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return _texts(docs, id_col, text_col).mapInArrow(lambda batches: _encoded(batches, path, pattern), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -276,26 +299,12 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     An id that the file doesn't have, or a null one, makes a row's decoded null.
     """
+    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _decoded(batches, path), "doc_id long, ids array<int>, decoded binary")
 
-    def run(batches):
-        import pyarrow as pa
-
-        own = ranks(path)
-        for batch in batches:
-            column = batch.column(1)
-            lens = np.asarray(column.value_lengths().fill_null(0), np.int64)
-            flat = np.asarray(column.flatten().fill_null(-1), np.int64)
-            known = (flat >= 0) & (flat < own.size)
-            sizes = np.where(known, own.widths(np.where(known, flat, 0)), 0)
-            known &= sizes > 0
-            of_row = np.repeat(np.arange(len(lens)), lens)
-            whole = np.bincount(of_row[~known], minlength=len(lens)) == 0
-            ends = np.cumsum(np.bincount(of_row, np.where(known, sizes, 0), len(lens)).astype(np.int64))
-            text = own.decode(flat[known]).tobytes()
-            out = [text[a:b] if ok else None for a, b, ok in zip([0, *ends.tolist()], ends.tolist(), whole.tolist(), strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What decode() gives of what encode() gives, in one worker process a task."""
+    return _texts(docs, id_col, text_col).mapInArrow(lambda batches: _decoded(_encoded(batches, path, pattern), path), "doc_id long, ids array<int>, decoded binary")
 
 
 def digests(decoded: DataFrame) -> DataFrame:
@@ -308,4 +317,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return digests(decode(encode(c.table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path))
+    return digests(round_trip(c.table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
