@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from eocatalog.llm import byte_bpe, divergence, embedding_dedup, line_dedup, lm_score, minhash, mixing, packing, pii, quality, token_counts, token_ids
+from eocatalog.llm import byte_bpe, conversation_repair, divergence, embedding_dedup, line_dedup, lm_score, minhash, mixing, packing, pii, quality, token_counts, token_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash": minhash.query,
         "op9_mixing": mixing.query,
         "op10_quality_rules": quality.query,
+        "op11_conversation_repair": conversation_repair.query,
         "op12_source_divergence": divergence.query,
         "op13_byte_bpe": byte_bpe.query,
         "pipeline": corpus_pipeline.run,
