@@ -12,8 +12,10 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eocatalog.functions import times
 from eocatalog.operators import extents as ext
+from eocatalog.operators.cells import month_cells, month_of, roll_up
+
+__all__ = ["month_cells", "month_of", "roll_up"]
 
 OVERLAP = dt.timedelta(minutes=15)
 
@@ -35,7 +37,10 @@ def advance(old: dt.datetime | None, new: dt.datetime) -> dt.datetime:
 def changes_since(datasets: DataFrame, start: dt.datetime | None) -> DataFrame:
     """Rows (live or archived) added, updated or archived after start."""
     changed = datasets.withColumn("changed", F.greatest("added", "updated", "archived"))
-    return changed if start is None else changed.where(F.col("changed") > F.lit(start).cast("timestamp_ntz"))
+    if start is None:
+        return changed
+    after = lambda x: F.col(x) > F.lit(start).cast("timestamp_ntz")
+    return changed.where(after("added") | after("updated") | after("archived"))  # one by one, so that it reaches the scan
 
 
 def apply_changes(old: DataFrame, changes: DataFrame) -> DataFrame:
@@ -44,10 +49,6 @@ def apply_changes(old: DataFrame, changes: DataFrame) -> DataFrame:
     return old.join(changes.select("id"), "id", "left_anti").unionByName(live)
 
 
-def month_of(tz: str):
-    return F.to_date(F.date_trunc("month", times.local_time(F.col("center_time"), tz)))
-
-
 def affected_months(old: DataFrame, changes: DataFrame, tz: str) -> DataFrame:
     """product, month where a changed dataset is now or was before, so moves of time or product count too."""
     now = changes.select("product", month_of(tz).alias("month"))
@@ -55,29 +56,11 @@ def affected_months(old: DataFrame, changes: DataFrame, tz: str) -> DataFrame:
     return now.unionByName(before).distinct()
 
 
-def month_cells(extents: DataFrame, tz: str, only: DataFrame | None = None) -> DataFrame:
-    """product, month, dataset_count, size_bytes, newest_creation_time."""
-    rows = extents.withColumn("month", month_of(tz))
-    if only is not None:
-        rows = rows.join(only, ["product", "month"], "left_semi")
-    return rows.groupBy("product", "month").agg(F.count(F.lit(1)).alias("dataset_count"), F.sum("size_bytes").alias("size_bytes"), F.max("creation_time").alias("newest_creation_time"))
-
-
 def refresh_months(cells: DataFrame, extents: DataFrame, affected: DataFrame, tz: str) -> DataFrame:
     """cells with the affected months made again; months that have become empty go."""
     kept = cells.join(affected, ["product", "month"], "left_anti")
     return kept.unionByName(month_cells(extents, tz, affected))
 
 
-def roll_up(cells: DataFrame) -> DataFrame:
-    """All periods from month cells: product, period_type, start_day, dataset_count, size_bytes, newest."""
-    rows = cells.withColumn("y", F.year("month"))
-    sets = rows.groupingSets([["product"], ["product", "y"], ["product", "y", "month"]], "product", "y", "month")
-    rolled = sets.agg(F.grouping_id().alias("g"), F.sum("dataset_count").alias("dataset_count"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("size_bytes"), F.max("newest_creation_time").alias("newest_creation_time"))
-    kind = F.when(F.col("g") == 3, "all").when(F.col("g") == 1, "year").otherwise("month")
-    start = F.coalesce(F.col("month"), F.make_date(F.coalesce("y", F.lit(1900)), F.lit(1), F.lit(1)))
-    return rolled.select("product", kind.alias("period_type"), start.alias("start_day"), "dataset_count", "size_bytes", "newest_creation_time")
-
-
 def put_cells(old: DataFrame, new: DataFrame) -> DataFrame:
     return ext.upsert(old, new, ["product", "period_type", "start_day"])

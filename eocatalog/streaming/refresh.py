@@ -1,8 +1,7 @@
 """Refresh as a stream of dataset changes.
 
-The change feed is a streaming DataFrame; each micro-batch goes through the same steps as a batch refresh and replaces
-the affected rows of two stored tables. Both tables become current in one step together with the batch's number, so a
-batch that died on its way starts again from the tables before it, and one that had got through changes nothing.
+The change feed is a streaming DataFrame; each micro-batch is one run of the catalogue. A batch that died on its way
+starts again from the tables before it, and one that had got through changes nothing.
 """
 
 from __future__ import annotations
@@ -11,55 +10,29 @@ import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.window import Window as W
 
-from eocatalog.operators import refresh
-from eocatalog.sources import tables
+from eocatalog.operators.catalogue import Catalogue
 
 
 class StreamingRefresh:
-    """Extents and month cells below a folder, kept current by a stream of changes."""
+    """A catalogue below a folder, kept current by a stream of changes, which may come in any order."""
 
     def __init__(self, spark: SparkSession, path: str, tz: str = "Australia/Darwin", listeners: tuple[Callable[[DataFrame], None], ...] = ()):
-        """listeners are called with the cells that a batch has made again."""
-        self.spark, self.tz, self.listeners = spark, tz, listeners
-        self.store, self.feed = tables.Versioned(spark, f"{path}/store"), "direct"
+        """listeners are called with the month cells that a batch has made again."""
+        self.catalogue, self.feed = Catalogue(spark, f"{path}/store", tz), "direct"
+        self.listeners = listeners
 
     def extents(self) -> DataFrame | None:
-        return self.store.read("extents")
+        return self.catalogue.extents()
 
     def cells(self) -> DataFrame | None:
-        return self.store.read("month_cells")
+        return self.catalogue.month_cells()
 
     def apply(self, batch: DataFrame, epoch: int) -> None:
-        """One micro-batch: of several changes of a dataset the last counts.
-
-        epoch is the batch's number in its feed; the same number twice in a row is the same batch.
-        """
-        token = f"{self.feed}-{epoch}"
-        if self.store.token() != token:
-            self._commit(batch, token)
-        for tell in self.listeners:
-            tell(self.cells().join(self.store.read("affected"), ["product", "month"], "left_semi"))
-
-    def _commit(self, batch: DataFrame, token: str) -> None:
-        last = W.partitionBy("id").orderBy(F.greatest("added", "updated", "archived").desc())
-        changes = batch.withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k").persist()
-        try:
-            kept = [c for c in changes.columns if c not in ("updated", "archived")]
-            old, cells = self.extents(), self.cells()
-            if old is None:
-                old = changes.select(*kept).limit(0)
-                cells = refresh.month_cells(old, self.tz)
-            affected = refresh.affected_months(old, changes, self.tz).persist()
-            new = refresh.apply_changes(old, changes)
-            made = refresh.refresh_months(cells, new, affected, self.tz)
-            self.store.write({"extents": new, "month_cells": made, "affected": affected}, token)
-            affected.unpersist()
-        finally:
-            changes.unpersist()
+        """One micro-batch. epoch is its number in its feed; the same number twice in a row is the same batch."""
+        self.catalogue.listeners = self.listeners
+        self.catalogue.apply(batch, f"{self.feed}-{epoch}")
 
     def start(self, changes: DataFrame, checkpoint: str, once: bool = True) -> StreamingQuery:
         self.feed = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
