@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: File names that say nothing of the dataset, so its folder does.
-GENERIC_NAMES = ("ga-metadata", "agdc-metadata", "odc-metadata", "metadata")
+GENERIC_NAMES = ("ga-metadata.yaml", "agdc-metadata.yaml", "ARD-METADATA.yaml")
 
 
 def common_prefix(low: Column, high: Column) -> Column:
@@ -23,13 +23,21 @@ def directory_prefix(prefix: Column) -> Column:
 
 
 def file_label(uri: Column) -> Column:
-    """The last path part without a metadata ending; the folder for generic file names."""
-    path = F.regexp_replace(uri, "[?#].*$", "")
-    last = F.regexp_extract(path, "([^/]*)/*$", 1)
-    folder = F.regexp_extract(path, "([^/]*)/+[^/]*/*$", 1)
-    stem = F.regexp_replace(last, r"(\.(odc-metadata|stac-item))?\.(ya?ml|json)$", "")
-    generic = stem.isin(*GENERIC_NAMES)
-    return F.when(generic & (folder != ""), folder).otherwise(stem)
+    """The last part of a path that says something, without a document's ending; null if none does.
+
+    Parts are looked at from the end: the last three, then all before them as one.
+    """
+    parts = F.split(uri, "/")
+    n = F.size(parts)
+    rest = F.array_join(F.slice(parts, 1, F.greatest(n - 3, F.lit(0))), "/")
+    some = F.array(*(F.get(parts, n - k) for k in (1, 2, 3)), rest)
+    telling = F.get(F.filter(some, lambda x: (x != "") & ~x.isin(*GENERIC_NAMES)), F.lit(0))
+    return F.regexp_replace(telling, r"(^|\.)(yaml|json)$", "")
+
+
+def shared_prefix(low: Column, high: Column) -> Column:
+    """What the smallest and largest address, and so all between, begin with: the address itself if they are one, else a folder."""
+    return F.when(low == high, low).otherwise(directory_prefix(common_prefix(low, high)))
 
 
 def dataset_label(label: Column, uri: Column, id_: Column) -> Column:

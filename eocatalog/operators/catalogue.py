@@ -141,6 +141,9 @@ class Catalogue:
                 return self._once(head, states, looked, token, now)
             except Conflict:  # another run was first: look again from where it left the tables
                 continue
+            finally:
+                if looked is not None:
+                    tables.drop(looked)
 
     def _codes(self, df: DataFrame, partition: Column) -> list[str]:
         """Partitions of rows; as many as a version's file lists at most."""
@@ -177,7 +180,7 @@ class Catalogue:
         old = None if old is None else old.drop("month")
         live = won.where(~F.col("_gone")).select(*columns)
         new = live if old is None else old.join(won.select("id"), "id", "left_anti").unionByName(live)
-        extents = store.stage("extents", Change(new.withColumn("month", month), by_month, codes))
+        extents = store.stage("extents", Change(new.withColumn("month", month), by_month, codes, order=("cell",) if "cell" in new.columns else ()))
         made = cell.month_cells(store.staged(extents), self.tz).withColumn("generated", _time(now))
 
         # cells of the products: the other months stay, years and all time are made from the months
@@ -207,6 +210,7 @@ class Catalogue:
         affected = store.stage("affected", Change(places, F.lit("all"), ["all"]))
         stages = [extents, cells, *logs, products, affected]
         store.commit(head, stages, token)
+        tables.drop(batch, won, places, months)
         self.written = {}
         for s in stages:
             self.written[s["table"]] = self.written.get(s["table"], 0) + store.size(s)

@@ -319,9 +319,9 @@ class Compiler:
         return inside & ((x <= end) if op == "t_intersects" else (x < end)) if end is not None else inside
 
     def spatial(self, op: str, a, b) -> Column:
-        """Bounding boxes decide, as they do in searches; with exact, its answer refines those that meet.
+        """Bounding boxes that meet are told first; with exact (see spatial.predicate) its answer decides among them.
 
-        Without exact, s_touches, s_crosses, s_overlaps and s_intersects find all whose boxes meet the shape's.
+        Without exact the boxes decide, so s_touches, s_crosses, s_overlaps and s_intersects find all that meet.
         """
         if self.bounds is None:
             raise FilterError("there is no geometry to compare")

@@ -121,10 +121,10 @@ def location_samples(locations: DataFrame, n: int = 3, by: str = "product") -> D
 
 
 def uri_prefixes(locations: DataFrame) -> DataFrame:
-    """product, scheme, prefix (a folder that all share), n, first and last address."""
+    """product, scheme, prefix (a folder that all share, or the only address), n, first and last address."""
     scheme = F.regexp_extract("uri", "^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
     ends = locations.groupBy("product", scheme.alias("scheme")).agg(F.count(F.lit(1)).alias("n"), F.min("uri").alias("first_uri"), F.max("uri").alias("last_uri"))
-    return ends.withColumn("prefix", texts.directory_prefix(texts.common_prefix(F.col("first_uri"), F.col("last_uri"))))
+    return ends.withColumn("prefix", texts.shared_prefix(F.col("first_uri"), F.col("last_uri")))
 
 
 def group_products(products: DataFrame, patterns: list[tuple[str, str]], default: str = "Other", chunk: int = 5) -> DataFrame:

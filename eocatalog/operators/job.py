@@ -11,7 +11,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eocatalog.functions import times
+from eocatalog.functions import spatial, times
 from eocatalog.operators import aggregates as agg
 from eocatalog.operators import extents as ext
 from eocatalog.operators import geometry, lookups, refresh
@@ -23,6 +23,18 @@ def extents_of(documents: DataFrame, definitions: list[tuple[dict, dict]]) -> Da
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+def placed(extents: DataFrame) -> DataFrame:
+    """Extents with valid, outline (GeoJSON in degrees), its rings, their box xmin, ymin, xmax, ymax, and its quad key, cell.
+
+    Rings, box and key are Columns of the outline; a footprint of a system that isn't known has none of them.
+    """
+    outline = geometry.wkb_to_geojson(geometry.transform(F.col("footprint"), F.col("srid"), 4326))
+    looked = extents.withColumns({"valid": geometry.is_valid("footprint"), "outline": outline})
+    looked = looked.withColumn("rings", spatial.rings(F.col("outline"))).withColumn("_box", spatial.box(F.col("rings")))
+    bounds = [F.col(f"_box.{x}") for x in ("xmin", "ymin", "xmax", "ymax")]
+    return looked.select(*extents.columns, "valid", "outline", "rings", *bounds, spatial.quad_key(*bounds).alias("cell"))
+
+
 def period_summary(extents: DataFrame, target: int, keys: tuple[str, ...] = ("product",), tz: str = agg.GROUPING_TZ) -> DataFrame:
     """keys, dataset_count, size_bytes, newest_creation_time, srids, footprint (in target), timeline and regions.
 

@@ -1,7 +1,8 @@
 """Searches over dataset extents: filters, order and pages.
 
 Extents have id, product, center_time (UTC, without zone), region_code, creation_time and a bounding box in longitude
-and latitude as xmin, ymin, xmax, ymax. A search is one lazy plan: filters first, so they reach the
+and latitude as xmin, ymin, xmax, ymax. Where they have rings, shapes are compared exactly, behind the boxes; where they have
+cell (a quad key, by which stored extents are sorted), it prunes what is read. A search is one lazy plan: filters first, so they reach the
 scan, then order and page. Documents are joined only if asked for.
 """
 
@@ -13,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eocatalog.functions import shapes
+from eocatalog.functions import shapes, spatial
 from eocatalog.operators import cql2
 
 PAGE_SIZE, MAX_PAGE_SIZE = 20, 1000
@@ -70,6 +71,16 @@ def bbox_filter(x0: float, y0: float, x1: float, y1: float) -> Column:
     return (F.col("xmin") <= x1) & (F.col("xmax") >= x0) & (F.col("ymin") <= y1) & (F.col("ymax") >= y0)
 
 
+def box_filters(extents: DataFrame, x0: float, y0: float, x1: float, y1: float) -> Column:
+    found = bbox_filter(x0, y0, x1, y1)
+    return spatial.near(F.col("cell"), x0, y0, x1, y1) & found if "cell" in extents.columns else found
+
+
+def exact_filter(extents: DataFrame):
+    """What compares rows' areas with a shape; None where rows have boxes only."""
+    return (lambda op, shape: spatial.predicate(op, shape, F.col("rings"))) if "rings" in extents.columns else None
+
+
 def default_fields(extents: DataFrame) -> dict[str, Column]:
     """What filters and orders may name: the columns, and a few by other names."""
     fields = {n: F.col(n) for n in extents.columns}
@@ -90,15 +101,18 @@ def apply_filters(extents: DataFrame, search: Search, fields: dict[str, Column]
         if len(search.bbox) not in (4, 6):
             raise SearchError("bbox has 4 or 6 numbers")
         b = search.bbox
-        out = out.where(bbox_filter(*(b if len(b) == 4 else (b[0], b[1], b[3], b[4]))))
+        out = out.where(box_filters(extents, *(b if len(b) == 4 else (b[0], b[1], b[3], b[4]))))
+    exact = exact_filter(extents)
     if search.intersects:
-        out = out.where(bbox_filter(*shapes.envelope(search.intersects)))
+        out = out.where(box_filters(extents, *shapes.envelope(search.intersects)))
+        if exact:
+            out = out.where(exact("s_intersects", search.intersects))
     if search.region is not None:
         out = out.where(F.col("region_code") == search.region)
     if search.filter:
         bounds = tuple(F.col(n) for n in ("xmin", "ymin", "xmax", "ymax")) if "xmin" in extents.columns else None
         filter_ = cql2.strip_prefixes(search.filter) if isinstance(search.filter, str) else search.filter
-        out = out.where(cql2.compile_filter(filter_, fields or default_fields(extents), bounds, search.filter_lang))
+        out = out.where(cql2.compile_filter(filter_, fields or default_fields(extents), bounds, search.filter_lang, exact))
     return out
 
 

@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eocatalog.functions import crs, regions, texts, times
+from eocatalog.functions import crs, regions, spatial, texts, times
 from eocatalog.operators import aggregates as agg
-from eocatalog.operators import cql2, extents, facts, geometry, job, lookups, refresh, search, stac
+from eocatalog.operators import catalogue, cells, cql2, extents, facts, geometry, job, lookups, refresh, search, stac
 from eocatalog.plans import mapping as m
 from eocatalog.sources import tables
 
@@ -277,6 +277,58 @@ def _(spark, d):
     return search.apply_filters(m.footprints(spark, d), search.Search(filter="srid > 2 AND S_INTERSECTS(geometry, POLYGON((-0.1 -0.1, 0.2 -0.1, 0.2 0.1, -0.1 0.1, -0.1 -0.1)))")).select("id")
 
 
+#: Triangles on a grid, so that many touch, share edges or are equal to others.
+_GRID = ", ".join(f"floor(embedding[{2 * k + 1}] * 32) / 4 AS x{k}, floor(embedding[{2 * k + 2}] * 32) / 4 AS y{k}" for k in range(3))
+_TRIANGLES = f"(SELECT * FROM (SELECT vec_id AS id, {_GRID} FROM embeddings) WHERE (x1 - x0) * (y2 - y0) <> (x2 - x0) * (y1 - y0))"
+_SHAPE = ((-1.0, -1.0), (1.5, -0.5), (0.0, 1.25))
+_SHAPE_WKT = f"POLYGON(({', '.join(f'{x} {y}' for x, y in (*_SHAPE, _SHAPE[0]))}))"
+
+
+def _triangles(spark, d) -> DataFrame:
+    v = lambda i: F.floor(F.get("embedding", F.lit(i)).cast("double") * 32) / 4
+    names = [f"{a}{k}" for k in range(3) for a in "xy"]
+    t = m.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), *(v(i).alias(n) for i, n in enumerate(names)))
+    t = t.where((F.col("x1") - F.col("x0")) * (F.col("y2") - F.col("y0")) != (F.col("x2") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    ring = F.array(*(F.struct(F.col(f"x{k % 3}").alias("x"), F.col(f"y{k % 3}").alias("y")) for k in range(4)))
+    t = t.withColumn("rings", F.array(spatial.oriented(ring, F.lit(False)))).withColumn("_box", spatial.box(F.col("rings")))
+    bounds = [F.col(f"_box.{x}") for x in ("xmin", "ymin", "xmax", "ymax")]
+    return tables.stored(t.select("id", "rings", *bounds, spatial.quad_key(*bounds).alias("cell")), "triangles")
+
+
+def _separation_sql(columns: str, where: str = "true") -> str:
+    """Triangles beside the shape by separating axes: meets, inner (their insides meet), within, contains."""
+    own, other = [(f"x{k}", f"y{k}") for k in range(3)], [(f"{x}::DOUBLE", f"{y}::DOUBLE") for x, y in _SHAPE]
+    sides = [(a, b) for t in (own, other) for a, b in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0]))]
+    along = lambda t, nx, ny: [f"({nx}) * {x} + ({ny}) * {y}" for x, y in t]
+    axes = [(f"{b[1]} - {a[1]}", f"{a[0]} - {b[0]}") for a, b in sides]
+    reach = [(f"greatest({', '.join(along(own, *n))})", f"least({', '.join(along(own, *n))})", f"greatest({', '.join(along(other, *n))})", f"least({', '.join(along(other, *n))})") for n in axes]
+    turn = lambda a, b, p: f"({b[0]} - {a[0]}) * ({p[1]} - {a[1]}) - ({b[1]} - {a[1]}) * ({p[0]} - {a[0]})"
+    inside = lambda t, points, sign: " AND ".join(f"({sign}) * ({turn(a, b, p)}) >= 0" for a, b in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])) for p in points)
+    meets, inner = (" AND ".join(f"{h} {op} {l2} AND {h2} {op} {l}" for h, l, h2, l2 in reach) for op in (">=", ">"))
+    told = f"SELECT id, ({meets}) AS meets, ({inner}) AS inn, ({inside(other, own, '1')}) AS within, ({inside(own, other, f'sign({turn(*own)})')}) AS contains FROM {_TRIANGLES}"
+    return f"SELECT {columns} FROM ({told}) WHERE {where}"
+
+
+@query(
+    "cql2_exact_predicates",
+    _separation_sql("id, meets AS s_intersects, NOT meets AS s_disjoint, within AS s_within, contains AS s_contains, within AND contains AS s_equals, meets AND NOT inn AS s_touches, inn AND NOT within AND NOT contains AS s_overlaps, false AS s_crosses, within AS contained_in_shape, contains AS shape_within"),
+)
+def _(spark, d):
+    """Every spatial predicate between rows' triangles and one more, and two of them with the shape first."""
+    t = _triangles(spark, d)
+    bounds = tuple(F.col(n) for n in ("xmin", "ymin", "xmax", "ymax"))
+    told = lambda text: cql2.compile_filter(text, {}, bounds, exact=search.exact_filter(t))
+    ops = ("intersects", "disjoint", "within", "contains", "equals", "touches", "overlaps", "crosses")
+    return t.select("id", *(told(f"S_{op.upper()}(geometry, {_SHAPE_WKT})").alias(f"s_{op}") for op in ops), told(f"S_CONTAINS({_SHAPE_WKT}, geometry)").alias("contained_in_shape"), told(f"S_WITHIN({_SHAPE_WKT}, geometry)").alias("shape_within"))
+
+
+@query("search_exact", _separation_sql("id", "meets AND NOT within"))
+def _(spark, d):
+    """A search by a shape and a filter: quad keys, then boxes, then the areas themselves."""
+    shape = {"type": "Polygon", "coordinates": [[*_SHAPE, _SHAPE[0]]]}
+    return search.apply_filters(_triangles(spark, d), search.Search(intersects=shape, filter=f"NOT S_WITHIN(geometry, {_SHAPE_WKT})")).select("id")
+
+
 # --- facts of products
 
 
@@ -446,13 +498,13 @@ def _(spark, d):
 @query(
     "uri_common_prefix",
     rf"""WITH g AS (SELECT product, regexp_extract(uri, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1) AS scheme, count(*)::BIGINT AS n, min(uri) AS first_uri, max(uri) AS last_uri FROM {_LOCATIONS} GROUP BY 1, 2)
-        SELECT *, regexp_extract(left(first_uri, len(list_filter(range(1, least(length(first_uri), length(last_uri)) + 1), lambda i: left(first_uri, i) = left(last_uri, i)))), '^(.*/)', 1) AS prefix FROM g""",
+        SELECT *, CASE WHEN first_uri = last_uri THEN first_uri ELSE regexp_extract(left(first_uri, len(list_filter(range(1, least(length(first_uri), length(last_uri)) + 1), lambda i: left(first_uri, i) = left(last_uri, i)))), '^(.*/)', 1) END AS prefix FROM g""",
 )
 def _(spark, d):
     return facts.uri_prefixes(_locations(spark, d))
 
 
-@query("file_label", r"SELECT page_id AS id, regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)/*$', 1), '(\.(odc-metadata|stac-item))?\.(ya?ml|json)$', '') AS label FROM pages")
+@query("file_label", r"SELECT page_id AS id, regexp_replace(list_filter([p[-1], p[-2], p[-3], array_to_string(p[1:len(p) - 3], '/')], lambda x: x <> '' AND x NOT IN ('ga-metadata.yaml', 'agdc-metadata.yaml', 'ARD-METADATA.yaml'))[1], '(^|\.)(yaml|json)$', '') AS label FROM (SELECT page_id, string_split(url, '/') AS p FROM pages)")
 def _(spark, d):
     return m.read(spark, d, "pages").select(F.col("page_id").alias("id"), texts.file_label(F.col("url")).alias("label"))
 
@@ -643,14 +695,33 @@ def _(spark, d):
     return made.withColumn("box", box).select("id", "product", "center_time", "creation_time", "region_code", "size_bytes", "srid", *[F.col(f"box.{c}").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
 
 
-@query(
-    "documents_to_cells",
-    f"""SELECT product, CASE grouping(product, y, m) WHEN 3 THEN 'all' WHEN 1 THEN 'year' ELSE 'month' END AS period_type, make_date(coalesce(y, 1900)::INTEGER, coalesce(m, 1)::INTEGER, 1) AS start_day, count(*)::BIGINT AS dataset_count, (10 * count(*))::BIGINT AS size_bytes
-        FROM (SELECT product, year(t + {_DARWIN}) AS y, month(t + {_DARWIN}) AS m FROM {_LIVE}) GROUP BY GROUPING SETS ((product), (product, y), (product, y, m))""",
-)
+#: What a query of whole cells returns.
+_CELL = ("dataset_count", "size_bytes", "newest_creation_time", "footprint_count", "begin", "end", "xmin", "ymin", "xmax", "ymax", "timeline_unit")
+
+
+def _cell_rows(found: DataFrame) -> DataFrame:
+    """Cells with their histograms as text."""
+    srids = F.array_join(F.transform("srids", lambda x: x.cast("string")), ",")
+    return found.select("product", "period_type", "start_day", *(F.col(c).alias({"begin": "first_time", "end": "last_time"}.get(c, c)) for c in _CELL), cells.histogram_text("timeline").alias("timeline"), cells.histogram_text("regions").alias("regions"), srids.alias("srids"))
+
+
+def _cell_sql(rows: str) -> str:
+    """The same in SQL, of rows(product, center_time, creation_time, size_bytes, region_code, srid, xmin, ymin, xmax, ymax)."""
+    keys = "product, period_type, start_day"
+    text = lambda name, key, n="count(*)": f"{name} AS (SELECT {keys}, string_agg(coalesce({key}::VARCHAR, '') || ':' || n, ',' ORDER BY {key} NULLS FIRST) AS {name} FROM (SELECT {keys}, {key}, {n} AS n FROM p GROUP BY ALL) GROUP BY ALL)"
+    return f"""WITH k AS (SELECT *, (center_time + {_DARWIN})::DATE AS day FROM ({rows})),
+        p AS (SELECT *, 'all' AS period_type, DATE '1900-01-01' AS start_day FROM k UNION ALL SELECT *, 'year', date_trunc('year', day)::DATE FROM k UNION ALL SELECT *, 'month', date_trunc('month', day)::DATE FROM k),
+        {text("timeline", "day")}, {text("regions", "region_code")},
+        systems AS (SELECT {keys}, string_agg(srid::VARCHAR, ',' ORDER BY srid) AS srids FROM (SELECT DISTINCT {keys}, srid FROM p WHERE srid IS NOT NULL) GROUP BY ALL),
+        c AS (SELECT {keys}, count(*)::BIGINT AS dataset_count, coalesce(sum(size_bytes), 0)::BIGINT AS size_bytes, max(creation_time) AS newest_creation_time, count(xmin)::BIGINT AS footprint_count,
+              min(center_time) AS first_time, max(center_time) AS last_time, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax, 'day' AS timeline_unit FROM p GROUP BY ALL)
+        SELECT c.*, timeline, regions, coalesce(srids, '') AS srids FROM c JOIN timeline USING ({keys}) JOIN regions USING ({keys}) LEFT JOIN systems USING ({keys})"""
+
+
+@query("documents_to_cells", _cell_sql(f"SELECT product, t AS center_time, added AS creation_time, 10 AS size_bytes, region_code, 4326 AS srid, (id::BIGINT % 50)::DOUBLE AS xmin, -1.0::DOUBLE AS ymin, (id::BIGINT % 50 + 2)::DOUBLE AS xmax, 0.0::DOUBLE AS ymax FROM {_LIVE}"))
 def _(spark, d):
-    made = job.extents_of(_documents(spark, d), _definitions())
-    return refresh.roll_up(refresh.month_cells(made, agg.GROUPING_TZ)).select("product", "period_type", "start_day", "dataset_count", "size_bytes")
+    made = job.placed(job.extents_of(_documents(spark, d), _definitions()))
+    return _cell_rows(refresh.roll_up(refresh.month_cells(made, agg.GROUPING_TZ)))
 
 
 @query(
@@ -815,6 +886,64 @@ def _(spark, d):
     return refresh.roll_up(cells).where("period_type = 'month'").select("product", "period_type", "start_day", "dataset_count")
 
 
+#: Datasets after the changes that _datasets makes; of those that are gone, nothing counts.
+_AFTER = f"""SELECT id, CASE WHEN i % 11 = 3 AND early THEN 'click' ELSE product END AS product, CASE WHEN i % 9 = 1 AND early THEN center_time + INTERVAL 36 HOUR ELSE center_time END AS center_time, added AS creation_time, added,
+    i * 7 % 1000 AS size_bytes, CASE WHEN i % 13 <> 0 THEN region_code END AS region_code, CASE WHEN i % 3 > 0 THEN (32750 + i % 3)::INTEGER END AS srid,
+    (i % 50)::DOUBLE AS xmin, (i % 20)::DOUBLE AS ymin, (i % 50 + 1)::DOUBLE AS xmax, (i % 20 + 2)::DOUBLE AS ymax, i % 10 = 0 AND early AS gone,
+    CASE WHEN early AND i % 10 = 0 THEN TIMESTAMP '2024-01-25' WHEN early AND (i % 9 = 1 OR i % 11 = 3) THEN TIMESTAMP '2024-01-26' ELSE added END AS changed
+    FROM (SELECT *, id::BIGINT AS i, added < TIMESTAMP '2024-01-21' AS early FROM {_EVENTS})"""
+
+
+def _datasets(spark, d, after: bool) -> DataFrame:
+    """Datasets made of events: of the first three weeks, or all of them after some early ones moved in time, to another product, or were archived."""
+    e = m.events(spark, d).withColumn("i", F.col("id").cast("long")).withColumn("early", F.col("added") < F.lit(dt.datetime(2024, 1, 21)).cast("timestamp_ntz"))
+    at = lambda day: F.lit(dt.datetime(2024, 1, day)).cast("timestamp_ntz")
+    moved, sold, gone = (F.lit(after) & F.col("early") & (F.col("i") % n == k) for n, k in ((9, 1), (11, 3), (10, 0)))
+    rows = e if after else e.where("early")
+    i = F.col("i")
+    return rows.select(
+        "id", F.when(sold, "click").otherwise(F.col("product")).alias("product"), F.when(moved, F.col("center_time") + F.expr("INTERVAL 36 HOURS")).otherwise(F.col("center_time")).alias("center_time"),
+        F.col("added").alias("creation_time"), (i * 7 % 1000).alias("size_bytes"), F.when(i % 13 != 0, F.col("region_code")).alias("region_code"), F.when(i % 3 > 0, (32750 + i % 3).cast("int")).alias("srid"),
+        (i % 50).cast("double").alias("xmin"), (i % 20).cast("double").alias("ymin"), (i % 50 + 1).cast("double").alias("xmax"), (i % 20 + 2).cast("double").alias("ymax"),
+        "added", F.when(~gone & (moved | sold), at(26)).alias("updated"), F.when(gone, at(25)).alias("archived"),
+    )
+
+
+def _refreshed_twice(spark, d):
+    stored = catalogue.Catalogue(spark, tables.work_path(spark, "catalogue"))
+    stored.refresh(_datasets(spark, d, False), now=dt.datetime(2024, 1, 21))
+    return stored, stored.refresh(_datasets(spark, d, True), now=dt.datetime(2024, 2, 10))
+
+
+@query("refresh_two_runs", _cell_sql(f"SELECT * FROM ({_AFTER}) WHERE NOT gone"))
+def _(spark, d):
+    """Cells after a refresh of early datasets and a second one that takes what has changed since."""
+    return _cell_rows(_refreshed_twice(spark, d)[0].cells())
+
+
+@query(
+    "refresh_positions",
+    f"""WITH b AS (SELECT * FROM ({_AFTER})), n AS (SELECT product, count(*) AS n FROM b WHERE changed >= TIMESTAMP '2024-01-21' GROUP BY 1)
+        SELECT product, 'updated' AS result, n::BIGINT AS changed, TIMESTAMP '2024-02-10' AS last_refresh, max(added) AS newest_added, min(center_time) FILTER (NOT gone) AS time_earliest, max(center_time) FILTER (NOT gone) AS time_latest, count(*) FILTER (NOT gone)::BIGINT AS dataset_count
+        FROM b JOIN n USING (product) GROUP BY 1, 3""",
+)
+def _(spark, d):
+    """What the second run did to each product, and where it left them; what the overlap reads again hasn't changed."""
+    stored, result = _refreshed_twice(spark, d)
+    return result.join(stored.products(), "product").select("product", "result", "changed", "last_refresh", "newest_added", "time_earliest", "time_latest", "dataset_count")
+
+
+@query("changes_in_any_order", _cell_sql(f"SELECT * FROM ({_AFTER}) WHERE NOT gone"))
+def _(spark, d):
+    """Changes in batches that go back in time, some of them twice: old states after new ones, archivals before the datasets."""
+    stored = catalogue.Catalogue(spark, tables.work_path(spark, "catalogue"))
+    after, before = _datasets(spark, d, True), _datasets(spark, d, False)
+    batches = [after.where("pmod(id, 2) = 0"), before, after.where("pmod(id, 2) = 1").unionByName(before.where("pmod(id, 3) = 0")), after.where("pmod(id, 5) = 0")]
+    for k, batch in enumerate(batches):
+        stored.apply(batch, f"batch-{k}", now=dt.datetime(2024, 2, 10))
+    return _cell_rows(stored.cells())
+
+
 @query("fields_projection", f"""SELECT id, '{{"id":"' || id || '","properties":{{"odc:product":"' || product || '","odc:region_code":"' || region_code || '"}}}}' AS item FROM {_EVENTS}""")
 def _(spark, d):
     return stac.projected(m.events(spark, d), ["id", "no.such", "properties.odc:product", "properties.odc:region_code"])

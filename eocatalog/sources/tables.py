@@ -20,7 +20,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """The rows of df, written to a new table and read from there, for what is asked for several times."""
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def drop(*dfs: DataFrame) -> None:
+    """Deletes tables that stored() wrote and that nothing will read again."""
+    for df in dfs:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 class Versioned:

