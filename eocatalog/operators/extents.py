@@ -97,11 +97,11 @@ def region_code(doc: Column, metadata_type: dict, product: dict, own: dict[str,
         return regions.tile_code(centre["x"], centre["y"], float(size[axis["x"]]), float(size[axis["y"]]), float(origin.get(axis["x"], 0)), float(origin.get(axis["y"], 0)))
     if kind == "scene":
         path, row = own["sat_path"], own.get("sat_row")
-        begin = lambda f: f["begin"] if "min_offset" in found["sat_path"] else f
+        end_of = lambda f, name, end: f[end] if "min_offset" in found[name] else f
+        first = end_of(path, "sat_path", "begin")
         if row is None:
-            return begin(path).cast("long").cast("string")
-        last = row["end"] if "min_offset" in found["sat_row"] else row
-        return regions.scene_code(begin(path), begin(row), last)
+            return first.cast("long").cast("string")
+        return regions.scene_code(first, end_of(row, "sat_row", "begin"), end_of(row, "sat_row", "end"))
     return F.lit(None).cast("string")
 
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from eocatalog.functions import crs, regions, spatial, texts, times
 from eocatalog.operators import aggregates as agg
-from eocatalog.operators import catalogue, cells, cql2, extents, facts, geometry, job, lookups, refresh, search, stac
+from eocatalog.operators import catalogue, cells, cql2, extents, facts, geometry, items, job, lookups, refresh, search, stac, systems
 from eocatalog.plans import mapping as m
-from eocatalog.sources import tables
+from eocatalog.sources import formats, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -747,6 +747,139 @@ def _(spark, d):
     return regions_.select("product", "region_code", "n", F.round(geometry.area("footprint"), 6).alias("area"))
 
 
+#: Datasets after the changes that _datasets makes; of those that are gone, nothing counts.
+_AFTER = f"""SELECT id, CASE WHEN i % 11 = 3 AND early THEN 'click' ELSE product END AS product, CASE WHEN i % 9 = 1 AND early THEN center_time + INTERVAL 36 HOUR ELSE center_time END AS center_time, added AS creation_time, added,
+    i * 7 % 1000 AS size_bytes, CASE WHEN i % 13 <> 0 THEN region_code END AS region_code, CASE WHEN i % 3 > 0 THEN (32750 + i % 3)::INTEGER END AS srid,
+    (i % 50)::DOUBLE AS xmin, (i % 20)::DOUBLE AS ymin, (i % 50 + 1)::DOUBLE AS xmax, (i % 20 + 2)::DOUBLE AS ymax, i % 10 = 0 AND early AS gone,
+    CASE WHEN early AND i % 10 = 0 THEN TIMESTAMP '2024-01-25' WHEN early AND (i % 9 = 1 OR i % 11 = 3) THEN TIMESTAMP '2024-01-26' ELSE added END AS changed
+    FROM (SELECT *, id::BIGINT AS i, added < TIMESTAMP '2024-01-21' AS early FROM {_EVENTS})"""
+
+
+#: An older type, in which _both_dialects writes purchases and errors.
+_OLDER_TYPE = {
+    "name": "older",
+    "dataset": {
+        "measurements": ["image", "bands"],
+        "grid_spatial": ["grid_spatial", "projection"],
+        "creation_dt": ["creation_dt"],
+        "search_fields": {
+            "time": {"type": "datetime-range", "min_offset": [["extent", "from_dt"]], "max_offset": [["extent", "to_dt"]]},
+            "platform": {"offset": ["platform", "code"]},
+            "instrument": {"offset": ["instrument", "name"]},
+            "sat_path": {"type": "integer", "offset": ["image", "path"]},
+            "sat_row": {"type": "numeric-range", "min_offset": [["image", "row"]], "max_offset": [["image", "last_row"]]},
+        },
+    },
+}
+
+
+def _both_dialects(spark, d) -> DataFrame:
+    """Clicks and views in the newer dialect, purchases and errors in the older, with triangles as outlines."""
+    e = m.events(spark, d)
+    n = F.col("id").cast("long") % 50
+    x, when = n.cast("double"), stac.iso(F.col("center_time"))
+    ring = F.array(*(F.array(a, b) for a, b in ((x, F.lit(0.0)), (x + 2, F.lit(0.0)), (x, F.lit(1.0)), (x, F.lit(0.0)))))
+    outline = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
+    named = lambda name, path: F.create_map(F.lit(name), F.struct(path.alias("path")))
+    properties = F.struct(when.alias("datetime"), F.lit("sat-1").alias("eo:platform"), F.lit("A_B").alias("eo:instrument"), (n / 2).alias("eo:cloud_cover"), F.col("region_code").alias("odc:region_code"), F.lit(None).cast("string").alias("nothing"))
+    newer = F.struct(
+        F.col("id"), F.when(n % 2 == 0, F.concat(F.lit("label-"), "id")).alias("label"), F.lit("epsg:4326").alias("crs"), outline.alias("geometry"), properties.alias("properties"),
+        named("blue", F.lit("blue.tif")).alias("measurements"), named("thumbnail:nbart", F.lit("t.jpg")).alias("accessories"), F.create_map(F.lit("level1"), F.array(F.concat(F.lit("s"), "id"))).alias("lineage"), F.lit(10).alias("size_bytes"),
+    )
+    spatial_ = F.struct(F.struct(F.lit("EPSG:4326").alias("spatial_reference"), outline.alias("valid_data")).alias("projection"))
+    image = F.struct(named("7", F.lit("b7.tif")).alias("bands"), (n + 1).alias("path"), F.lit(80).alias("row"), (F.lit(80) + n % 2).alias("last_row"))
+    older = F.struct(
+        F.col("id"), when.alias("creation_dt"), F.struct(F.lit("SAT_2").alias("code")).alias("platform"), F.struct(F.lit("OLI").alias("name")).alias("instrument"), F.struct(when.alias("from_dt"), when.alias("to_dt")).alias("extent"),
+        spatial_.alias("grid_spatial"), image.alias("image"), named("full", F.lit("q.jpg")).alias("browse"), F.lit("sums.sha1").alias("checksum_path"), F.lit(10).alias("size_bytes"),
+    )
+    is_newer = F.col("product").isin("click", "view")
+    doc = F.when(is_newer, F.to_json(newer)).otherwise(F.to_json(older))
+    uri = F.concat(F.lit("s3://b/"), "product", F.lit("/d"), "id", F.when(is_newer, "/x.odc-metadata.yaml").otherwise("/ga-metadata.yaml"))
+    return e.where(F.col("product").isin(*_EVENT_PRODUCTS)).select("id", "product", doc.alias("doc"), uri.alias("uri"), "added", F.lit(None).cast("timestamp_ntz").alias("archived"))
+
+
+def _dialects():
+    return [(_EVENT_TYPE if p in ("click", "view") else _OLDER_TYPE, {"name": p}) for p in _EVENT_PRODUCTS]
+
+
+_ITEM_ROWS = f"""SELECT *, id::BIGINT % 50 AS n, product IN ('click', 'view') AS newer, strftime(center_time, '%Y-%m-%dT%H:%M:%SZ') AS t FROM {_EVENTS} WHERE product IN ('click', 'error', 'purchase', 'view')"""
+_GEOMETRY = """'{"coordinates":[[[' || n || ',0],[' || (n + 2) || ',0],[' || n || ',1],[' || n || ',0]]],"type":"Polygon"}'"""
+_ITEM_SQL = f"""SELECT id, product,
+    '{{"type":"Feature","stac_version":"1.0.0","id":"' || id || '","collection":"' || product || '","bbox":[' || n::DOUBLE || ',0.0,' || (n + 2)::DOUBLE || ',1.0],"geometry":' || {_GEOMETRY} || ',"properties":{{'
+    || CASE WHEN newer THEN '"created":"' || strftime(added, '%Y-%m-%dT%H:%M:%SZ') ELSE '"created":"' || t END || '","cubedash:region_code":' || CASE WHEN newer THEN '"' || region_code || '"' ELSE '"' || (n + 1) || CASE WHEN n % 2 = 0 THEN '_80' ELSE '' END || '"' END
+    || ',"datetime":"' || t || '"' || CASE WHEN newer THEN ',"eo:cloud_cover":' || CASE WHEN n % 2 = 0 THEN (n // 2)::VARCHAR ELSE (n / 2)::DOUBLE::VARCHAR END || ',"instruments":["a","b"]' ELSE ',"instruments":["oli"],"landsat:wrs_path":' || (n + 1) || CASE WHEN n % 2 = 0 THEN ',"landsat:wrs_row":80' ELSE '' END END
+    || ',"odc:product":"' || product || '"' || CASE WHEN newer THEN ',"odc:region_code":"' || region_code || '"' WHEN n % 2 = 1 THEN ',"odc:sat_row":[80,81]' ELSE '' END
+    || ',"platform":"' || CASE WHEN newer THEN 'sat-1' ELSE 'sat-2' END || '","title":"' || CASE WHEN newer AND n % 2 = 0 THEN 'label-' || id WHEN newer THEN 'x.odc-metadata' ELSE 'd' || id END || '"}}'
+    || ',"links":[{{"rel":"self","href":"/collections/' || product || '/items/' || id || '","type":"application/geo+json"}},{{"rel":"collection","href":"/collections/' || product || '","type":"application/json"}},{{"rel":"root","href":"/","type":"application/json"}}'
+    || CASE WHEN newer THEN ',{{"rel":"derived_from","href":"/dataset/s' || id || '","type":"application/json"}}' ELSE '' END || ',{{"rel":"canonical","href":"https://b.s3.amazonaws.com/' || product || '/d' || id || CASE WHEN newer THEN '/x.odc-metadata.yaml' ELSE '/ga-metadata.yaml' END || '","type":"text/yaml"}}]'
+    || ',"assets":{{' || CASE WHEN newer THEN '"blue":{{"href":"https://b.s3.amazonaws.com/' || product || '/d' || id || '/blue.tif","title":"blue","type":"image/tiff; application=geotiff","roles":["data"],"eo:bands":[{{"name":"blue"}}]}},"thumbnail:nbart":{{"href":"https://b.s3.amazonaws.com/' || product || '/d' || id || '/t.jpg","title":"thumbnail:nbart","type":"image/jpeg","roles":["thumbnail"]}}'
+    ELSE '"7":{{"href":"https://b.s3.amazonaws.com/' || product || '/d' || id || '/b7.tif","title":"7","type":"image/tiff; application=geotiff","roles":["data"],"eo:bands":[{{"name":"7"}}]}},"thumbnail:full":{{"href":"https://b.s3.amazonaws.com/' || product || '/d' || id || '/q.jpg","title":"thumbnail:full","type":"image/jpeg","roles":["thumbnail"]}},"checksum:sha1":{{"href":"https://b.s3.amazonaws.com/' || product || '/d' || id || '/sums.sha1","title":"checksum:sha1","roles":["metadata"]}}' END || '}}}}' AS item
+    FROM ({_ITEM_ROWS})"""
+
+
+def _described(spark, d) -> DataFrame:
+    docs = _both_dialects(spark, d)
+    placed = job.placed(job.extents_of(docs, _dialects()))
+    return items.described(docs.select("id", "product", "doc", "uri"), _dialects()).drop("doc", "product").join(placed, "id")
+
+
+@query("items_of_both_dialects", _ITEM_SQL)
+def _(spark, d):
+    return items.items(_described(spark, d))
+
+
+@query("arrivals_items", f"SELECT added, id, item FROM ({_ITEM_SQL}) JOIN (SELECT id, added FROM {_EVENTS} WHERE product IN ('click', 'error', 'purchase', 'view') AND (added < TIMESTAMP '2024-01-20' OR (added = TIMESTAMP '2024-01-20' AND id > '500')) ORDER BY added DESC, id LIMIT 11) USING (id)")
+def _(spark, d):
+    """The page of ten after a key, of what was added last."""
+    return items.arrivals_page(_both_dialects(spark, d), items.items(_described(spark, d)), 10, (dt.datetime(2024, 1, 20), "500"))
+
+
+_MONTHS = f"SELECT product, date_trunc('month', center_time + {_DARWIN})::DATE AS month, count(*) AS n FROM {_EVENTS} GROUP BY 1, 2"
+
+
+@query(
+    "collection_documents",
+    f"""WITH c AS (SELECT product, string_agg('{{"rel":"child","href":"/catalogs/' || product || '/' || year(month) || '-' || month(month) || '","title":"' || strftime(month, '%Y-%m') || '"}}', ',' ORDER BY month) AS children FROM ({_MONTHS}) GROUP BY 1),
+        w AS (SELECT product, strftime(min(center_time), '%Y-%m-%dT%H:%M:%SZ') AS first, strftime(max(center_time), '%Y-%m-%dT%H:%M:%SZ') AS last FROM {_EVENTS} GROUP BY 1)
+        SELECT product, '{{"type":"Collection","stac_version":"1.0.0","id":"' || product || '","title":"' || CASE product WHEN 'click' THEN 'Clicks' ELSE product END || '","description":"","license":"' || CASE product WHEN 'click' THEN 'CC-BY-4.0' ELSE 'various' END || '","extent":{{"spatial":{{"bbox":[[-180.0,-90.0,180.0,90.0]]}},"temporal":{{"interval":[["' || first || '","' || last || '"]]}}}},'
+        || '"links":[{{"rel":"root","href":"/"}},{{"rel":"self","href":"/collections/' || product || '"}},{{"rel":"items","href":"/collections/' || product || '/items"}},{{"rel":"http://www.opengis.net/def/rel/ogc/1.0/queryables","href":"/collections/' || product || '/queryables"}},' || children || ']}}' AS collection FROM c JOIN w USING (product)""",
+)
+def _(spark, d):
+    e = m.events(spark, d)
+    is_click = F.col("product") == "click"
+    products = e.select("product").distinct().select("product", F.when(is_click, "Clicks").alias("title"), F.lit(None).cast("string").alias("description"), F.when(is_click, "CC-BY-4.0").alias("licence"))
+    return items.collections(cells.roll_up(cells.month_cells(e, agg.GROUPING_TZ)), products)
+
+
+@query(
+    "month_catalogue",
+    f"""WITH r AS (SELECT id, center_time, row_number() OVER (ORDER BY center_time, id) AS k FROM {_EVENTS} WHERE product = 'view' AND center_time >= TIMESTAMP '2023-12-31 14:30:00' AND center_time < TIMESTAMP '2024-01-31 14:30:00' AND (center_time > TIMESTAMP '2024-01-05' OR (center_time = TIMESTAMP '2024-01-05' AND id > '7'))),
+        s AS (SELECT * FROM r WHERE k <= 20), l AS (SELECT string_agg('{{"rel":"item","href":"/collections/view/items/' || id || '","title":"label ' || id || '"}}', ',' ORDER BY k) AS links, arg_max(id, k) AS id, max(center_time) AS t, count(*) AS n FROM s)
+        SELECT '{{"type":"Catalog","stac_version":"1.0.0","id":"view-2024-1","description":"view for January 2024","links":[{{"rel":"self","href":"/catalogs/view/2024-1"}},' || links || CASE WHEN (SELECT count(*) FROM r) > 20 THEN ',{{"rel":"next","href":"/catalogs/view/2024-1?after=' || strftime(t, '%Y-%m-%dT%H:%M:%SZ') || ',' || id || '"}}' ELSE '' END || '],"numberReturned":' || n || ',"numberMatched":' || (SELECT n FROM ({_MONTHS}) WHERE product = 'view' AND month = DATE '2024-01-01') || '}}' AS catalogue FROM l""",
+)
+def _(spark, d):
+    """The page of twenty after a key of a product's month."""
+    e = m.events(spark, d)
+    labelled = e.select("id", "product", "center_time", F.concat(F.lit("label "), "id").alias("label"))
+    whole = cells.roll_up(cells.month_cells(e, agg.GROUPING_TZ))
+    return items.month_page(labelled, whole, "view", 2024, 1, times.period_bounds(2024, 1, tz=agg.GROUPING_TZ), 20, (dt.datetime(2024, 1, 5), "7"))
+
+
+@query("month_page_starts", f"SELECT product, month, page, min(center_time) AS first_time, arg_min(id, k) AS first_id, count(*)::BIGINT AS n FROM (SELECT *, ((k - 1) // 500)::INTEGER AS page FROM (SELECT product, date_trunc('month', center_time + {_DARWIN})::DATE AS month, center_time, id, row_number() OVER (PARTITION BY product, date_trunc('month', center_time + {_DARWIN}) ORDER BY center_time, id) AS k FROM {_EVENTS})) GROUP BY 1, 2, 3")
+def _(spark, d):
+    return items.month_pages(m.events(spark, d), agg.GROUPING_TZ)
+
+
+@query(
+    "footprint_features",
+    f"""SELECT product, period_type, start_day, '{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[[' || xmin || ',' || ymin || '],[' || xmax || ',' || ymin || '],[' || xmax || ',' || ymax || '],[' || xmin || ',' || ymax || '],[' || xmin || ',' || ymin || ']]]}},"properties":{{"dataset_count":' || dataset_count || ',"product_name":"' || product || '","time_spec":['
+        || CASE period_type WHEN 'all' THEN 'null,null,null' WHEN 'year' THEN year(start_day) || ',null,null' ELSE year(start_day) || ',' || month(start_day) || ',null' END || '],"begin":"' || strftime(first_time, '%Y-%m-%dT%H:%M:%SZ') || '","end":"' || strftime(last_time, '%Y-%m-%dT%H:%M:%SZ') || '"}}}}' AS feature FROM ({_cell_sql(f"SELECT * FROM ({_AFTER}) WHERE NOT gone")})""",
+)
+def _(spark, d):
+    live = _datasets(spark, d, True).where(F.col("archived").isNull())
+    return items.footprint_features(cells.roll_up(cells.month_cells(live, agg.GROUPING_TZ)))
+
+
 # --- lookups
 
 
@@ -886,14 +1019,6 @@ def _(spark, d):
     return refresh.roll_up(cells).where("period_type = 'month'").select("product", "period_type", "start_day", "dataset_count")
 
 
-#: Datasets after the changes that _datasets makes; of those that are gone, nothing counts.
-_AFTER = f"""SELECT id, CASE WHEN i % 11 = 3 AND early THEN 'click' ELSE product END AS product, CASE WHEN i % 9 = 1 AND early THEN center_time + INTERVAL 36 HOUR ELSE center_time END AS center_time, added AS creation_time, added,
-    i * 7 % 1000 AS size_bytes, CASE WHEN i % 13 <> 0 THEN region_code END AS region_code, CASE WHEN i % 3 > 0 THEN (32750 + i % 3)::INTEGER END AS srid,
-    (i % 50)::DOUBLE AS xmin, (i % 20)::DOUBLE AS ymin, (i % 50 + 1)::DOUBLE AS xmax, (i % 20 + 2)::DOUBLE AS ymax, i % 10 = 0 AND early AS gone,
-    CASE WHEN early AND i % 10 = 0 THEN TIMESTAMP '2024-01-25' WHEN early AND (i % 9 = 1 OR i % 11 = 3) THEN TIMESTAMP '2024-01-26' ELSE added END AS changed
-    FROM (SELECT *, id::BIGINT AS i, added < TIMESTAMP '2024-01-21' AS early FROM {_EVENTS})"""
-
-
 def _datasets(spark, d, after: bool) -> DataFrame:
     """Datasets made of events: of the first three weeks, or all of them after some early ones moved in time, to another product, or were archived."""
     e = m.events(spark, d).withColumn("i", F.col("id").cast("long")).withColumn("early", F.col("added") < F.lit(dt.datetime(2024, 1, 21)).cast("timestamp_ntz"))
@@ -987,3 +1112,34 @@ def _(spark, d):
 def _(spark, d):
     docs = m.read(spark, d, "documents")
     return docs.select(F.col("doc_id").alias("id"), texts.data_size(F.col("n_chars")).alias("size"))
+
+
+# --- sources, sinks and reference systems
+
+
+@query("documents_written_and_read", f"SELECT id, product, strftime(center_time, '%Y-%m-%dT%H:%M:%SZ') AS time, CASE WHEN product IN ('click', 'view') THEN (id::BIGINT % 50 / 2)::DOUBLE ELSE id::BIGINT % 50 + 1 END AS number FROM {_EVENTS} WHERE product IN ('click', 'error', 'purchase', 'view')")
+def _(spark, d):
+    """Documents of both dialects, written as files of many YAML documents each and read from these."""
+    path = tables.work_path(spark, "documents")
+    docs = _both_dialects(spark, d)
+    named = docs.withColumn("doc", F.concat(F.expr("left(doc, length(doc) - 1)"), F.lit(',"product":"'), F.col("product"), F.lit('"}')))
+    formats.write(named.repartition(4), path, compressed=True)
+    at = lambda *p: F.coalesce(*(F.get_json_object("doc", x) for x in p))
+    return formats.read(spark, path).select("id", at("$.product").alias("product"), at("$.properties.datetime", "$.extent.from_dt").alias("time"), at("$.properties['eo:cloud_cover']", "$.image.path").cast("double").alias("number"))
+
+
+@query("srid_dictionary", "SELECT s_suppkey AS id, (CASE s_suppkey % 7 WHEN 4 THEN NULL WHEN 6 THEN CASE WHEN s_nationkey % 2 = 0 AND s_nationkey >= 10 THEN 1000 + s_nationkey WHEN s_nationkey % 2 = 1 THEN 4326 END ELSE 1000 + s_nationkey END)::INTEGER AS srid FROM supplier")
+def _(spark, d):
+    """Numbers of systems that are named by code, text, name, zone, or not at all, from a dictionary made of nations."""
+    nation = m.read(spark, d, "nation")
+    code = F.col("n_nationkey") + 32600
+    zone = F.col("n_nationkey") >= 10
+    entries = nation.select((F.col("n_nationkey") + 1000).cast("int").alias("srid"), F.lit("EPSG").alias("auth_name"), code.alias("auth_srid"), F.initcap(F.lower("n_name")).alias("name"), F.concat(F.lit("zone text "), F.col("n_nationkey")).alias("text"))
+    zones = nation.where(zone).select((F.col("n_nationkey") + 1000).cast("int").alias("srid"), F.lit("EPSG").alias("auth_name"), (F.col("n_nationkey") + 28300).alias("auth_srid"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("text"))
+    k, n = F.col("s_suppkey") % 7, F.col("s_nationkey")
+    told = m.read(spark, d, "supplier").join(nation, n == F.col("n_nationkey"))
+    own = F.when(k == 0, F.concat(F.lit("EPSG:"), n + 32600)).when(k == 1, F.concat(F.lit(" epsg: "), n + 32600)).when(k == 2, F.concat(F.lit('PROJCS["zone",AUTHORITY["EPSG","'), n + 32600, F.lit('"]]')))
+    own = own.when(k == 3, F.col("n_name")).when(k == 4, F.concat(F.lit("EPSG:99"), n)).when(k == 5, F.concat(F.lit("Zone Text "), n))
+    by_zone = (k == 6) & (n % 2 == 0)
+    rows = told.select(F.col("s_suppkey").alias("id"), own.alias("reference"), F.when(by_zone, "GDA94").alias("datum"), F.when(by_zone, (-n).cast("string")).alias("zone"))
+    return systems.with_srid(rows, systems.dictionary(entries.unionByName(zones)), "reference", "datum", "zone", 4326).select("id", "srid")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def work_path(spark: SparkSession, label: str) -> str:
@@ -74,9 +75,15 @@ class Versioned:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A header and rows, as one file; for reports of bounded size."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """Rows as CSV, a file with a header for each partition. Sort before, if the order of files is to tell the order of rows."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_lines(df: DataFrame, path: str) -> None:
-    df.select(df.columns[0]).coalesce(1).write.mode("overwrite").text(path)
+    """The first column, a line a row."""
+    df.select(F.col(df.columns[0]).cast("string")).write.mode("overwrite").text(path)
+
+
+def write_features(features: DataFrame, path: str, column: str = "feature") -> None:
+    """GeoJSON features, one a line, as files of text sequences: readers take any number of them, in any order."""
+    write_lines(features.where(F.col(column).isNotNull()).select(column), path)
