@@ -27,10 +27,16 @@ def box_geometry() -> Column:
     return F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
 
 
+def geometry_of(extents: DataFrame) -> Column:
+    if "outline" not in extents.columns:
+        return box_geometry()
+    return F.coalesce(F.try_parse_json("outline"), F.parse_json(F.to_json(box_geometry())))
+
+
 def features(extents: DataFrame) -> DataFrame:
-    """id, feature: a GeoJSON feature of each extent that has a place."""
+    """id, feature: a GeoJSON feature of each extent that has a place: its outline (GeoJSON text), or its box where it has none."""
     properties = F.struct(iso(F.col("center_time")).alias("datetime"), F.col("product").alias("odc:product"), F.col("region_code").alias("odc:region_code"))
-    whole = F.struct(F.lit("Feature").alias("type"), F.col("id"), box_array().alias("bbox"), box_geometry().alias("geometry"), properties.alias("properties"))
+    whole = F.struct(F.lit("Feature").alias("type"), F.col("id"), box_array().alias("bbox"), geometry_of(extents).alias("geometry"), properties.alias("properties"))
     return extents.where(F.col("xmin").isNotNull()).select("id", F.to_json(whole).alias("feature"))
 
 

@@ -284,11 +284,15 @@ _SHAPE = ((-1.0, -1.0), (1.5, -0.5), (0.0, 1.25))
 _SHAPE_WKT = f"POLYGON(({', '.join(f'{x} {y}' for x, y in (*_SHAPE, _SHAPE[0]))}))"
 
 
-def _triangles(spark, d) -> DataFrame:
+def _triangle_points(spark, d) -> DataFrame:
     v = lambda i: F.floor(F.get("embedding", F.lit(i)).cast("double") * 32) / 4
     names = [f"{a}{k}" for k in range(3) for a in "xy"]
     t = m.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), *(v(i).alias(n) for i, n in enumerate(names)))
-    t = t.where((F.col("x1") - F.col("x0")) * (F.col("y2") - F.col("y0")) != (F.col("x2") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    return t.where((F.col("x1") - F.col("x0")) * (F.col("y2") - F.col("y0")) != (F.col("x2") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+
+
+def _triangles(spark, d) -> DataFrame:
+    t = _triangle_points(spark, d)
     ring = F.array(*(F.struct(F.col(f"x{k % 3}").alias("x"), F.col(f"y{k % 3}").alias("y")) for k in range(4)))
     t = t.withColumn("rings", F.array(spatial.oriented(ring, F.lit(False)))).withColumn("_box", spatial.box(F.col("rings")))
     bounds = [F.col(f"_box.{x}") for x in ("xmin", "ymin", "xmax", "ymax")]
@@ -631,6 +635,27 @@ def _(spark, d):
     return stac.features(f)
 
 
+def _number(x: str) -> str:
+    return f"regexp_replace(({x})::DOUBLE::VARCHAR, '\\.0$', '')"
+
+
+_BOUNDS = [f"{f}(x0, x1, x2)" if k % 2 == 0 else f"{f}(y0, y1, y2)" for k, f in enumerate(("least", "least", "greatest", "greatest"))]
+
+
+@query(
+    "features_of_outlines",
+    f"""SELECT id::VARCHAR AS id, '{{"type":"Feature","id":"' || id || '","bbox":[' || {" || ',' || ".join(f"{b}::DOUBLE" for b in _BOUNDS)} || '],"geometry":{{"coordinates":[[' || {" || ',' || ".join(f"'[' || {_number(f'x{k % 3}')} || ',' || {_number(f'y{k % 3}')} || ']'" for k in range(4))} || ']],"type":"Polygon"}},"properties":{{"datetime":"2024-01-01T00:00:00Z","odc:product":"p"}}}}' AS feature FROM {_TRIANGLES}""",
+)
+def _(spark, d):
+    """GeoJSON features with rows' own outlines."""
+    t = _triangle_points(spark, d)
+    ring = F.array(*(F.array(f"x{k % 3}", f"y{k % 3}") for k in range(4)))
+    outline = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")))
+    ends = {f"{a}{end}": f(*(f"{a}{k}" for k in range(3))) for end, f in (("min", F.least), ("max", F.greatest)) for a in "xy"}
+    at = F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz")
+    return stac.features(t.select(F.col("id").cast("string").alias("id"), F.lit("p").alias("product"), at.alias("center_time"), F.lit(None).cast("string").alias("region_code"), outline.alias("outline"), *(v.alias(k) for k, v in ends.items())))
+
+
 _ITEM_LINKS = """[{"rel":"self","href":"/collections/' || product || '/items/' || id || '"},{"rel":"collection","href":"/collections/' || product || '"}"""
 
 
