@@ -1,11 +1,13 @@
 """Dataset documents to extent rows.
 
-One select for each product, made of Columns compiled from its metadata type: center time, creation time, size,
+One select for all products, made of Columns compiled from their metadata types: center time, creation time, size,
 region, reference system and footprint. Values that can't be read are null and fail nothing else.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,27 +107,48 @@ def region_code(doc: Column, metadata_type: dict, product: dict, own: dict[str,
     return F.lit(None).cast("string")
 
 
-def extents(datasets: DataFrame, metadata_type: dict, product: dict) -> DataFrame:
-    """id, product, center_time, creation_time, region_code, size_bytes, srid, footprint (WKB), added.
-
-    datasets(id, doc, added, archived) of one product; archived ones are left out.
-    """
+def read_columns(metadata_type: dict, product: dict) -> dict[str, Column]:
+    """What an extent takes from a document of this type and product, but for its footprint, which is still GeoJSON text."""
     doc = F.col("doc")
     own = fields.compile_fields(doc, metadata_type)
     default = crs.code_of((product.get("storage") or {}).get("crs") or "")
     code = srid(doc, metadata_type, default)
-    outline = F.when(code.isNotNull(), footprint_geojson(doc, metadata_type))
-    return datasets.where(F.col("archived").isNull()).select(
-        F.col("id"),
-        F.lit(product["name"]).alias("product"),
-        center_time(doc, metadata_type, own).alias("center_time"),
-        creation_time(doc, metadata_type, own, F.col("added")).alias("creation_time"),
-        region_code(doc, metadata_type, product, own).alias("region_code"),
-        size_bytes(doc, own).alias("size_bytes"),
-        code.alias("srid"),
-        geometry.geojson_to_wkb(outline).alias("footprint"),
-        F.col("added"),
-    )
+    return {
+        "center_time": center_time(doc, metadata_type, own),
+        "creation_time": creation_time(doc, metadata_type, own, F.col("added")),
+        "region_code": region_code(doc, metadata_type, product, own),
+        "size_bytes": size_bytes(doc, own),
+        "srid": code,
+        "footprint": F.when(code.isNotNull(), footprint_geojson(doc, metadata_type)),
+    }
+
+
+def extents_of(datasets: DataFrame, definitions: list[tuple[dict, dict]]) -> DataFrame:
+    """id, product, center_time, creation_time, region_code, size_bytes, srid, footprint (WKB), added of all products at once.
+
+    datasets(id, product, doc, added, archived) are read in one pass; archived ones, and those of products without a
+    definition, are left out. Products of one type and one storage share their Columns, so the plan grows with the kinds of
+    documents and not with the products.
+    """
+    kinds: dict[str, tuple[dict, dict, list[str]]] = {}
+    for metadata_type, product in definitions:
+        kind = json.dumps([metadata_type, product.get("storage")], sort_keys=True, default=str)
+        kinds.setdefault(kind, (metadata_type, product, []))[2].append(product["name"])
+    read = [(F.col("product").isin(names), read_columns(t, p)) for t, p, names in kinds.values()]
+    every = [p["name"] for _, p in definitions]
+    merged = {}
+    for name in read[0][1]:
+        found = F.lit(None)
+        for is_own, columns in read:
+            found = F.when(is_own, columns[name]).otherwise(found)
+        merged[name] = found
+    merged["footprint"] = geometry.geojson_to_wkb(merged["footprint"])
+    return datasets.where(F.col("archived").isNull() & F.col("product").isin(every)).select("id", "product", *(c.alias(n) for n, c in merged.items()), "added")
+
+
+def extents(datasets: DataFrame, metadata_type: dict, product: dict) -> DataFrame:
+    """The same of datasets(id, doc, added, archived) of one product."""
+    return extents_of(datasets.withColumn("product", F.lit(product["name"])), [(metadata_type, product)])
 
 
 def active(datasets: DataFrame, product: str | None = None) -> DataFrame:

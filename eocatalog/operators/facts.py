@@ -140,9 +140,10 @@ def group_products(products: DataFrame, patterns: list[tuple[str, str]], default
 
 def overflow(edges: DataFrame, limit: int, by: str = "dataset_ref", other: str = "source_ref") -> DataFrame:
     """by, shown (the first limit others, sorted), remaining (how many more)."""
-    counts = edges.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    shown = first_rows(edges, by, [F.col(other).asc()], limit).groupBy(by).agg(F.array_sort(F.collect_list(other)).alias("shown"))
-    return counts.join(shown, by).select(by, "shown", F.greatest(F.col("n") - limit, F.lit(0)).alias("remaining"))
+    own = W.partitionBy(by)  # one shuffle: rank, count and the aggregate all go by the same key
+    ranked = edges.select(by, other, F.row_number().over(own.orderBy(other)).alias("_k"), F.count(F.lit(1)).over(own).alias("_n"))
+    first = ranked.where(F.col("_k") <= limit).groupBy(by).agg(F.array_sort(F.collect_list(other)).alias("shown"), F.first("_n").alias("_n"))
+    return first.select(by, "shown", F.greatest(F.col("_n") - limit, F.lit(0)).alias("remaining"))
 
 
 def unsummarised(products: DataFrame, cells: DataFrame) -> DataFrame:

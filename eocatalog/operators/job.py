@@ -1,13 +1,10 @@
 """The whole refresh: documents to extents, and extents to cells, regions and product summaries.
 
-Definitions are pairs (metadata type, product), as many as there are products; each is one select over its
-product's documents, and what follows is one plan for all products.
+Definitions are pairs (metadata type, product); documents are read in one pass, and what follows is one plan for all products.
 """
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,12 +12,10 @@ from eocatalog.functions import spatial, times
 from eocatalog.operators import aggregates as agg
 from eocatalog.operators import extents as ext
 from eocatalog.operators import geometry, lookups, refresh
+from eocatalog.sources import tables
 
 
-def extents_of(documents: DataFrame, definitions: list[tuple[dict, dict]]) -> DataFrame:
-    """Extents of all products' documents(id, product, doc, added, archived); those of other products are left out."""
-    parts = [ext.extents(documents.where(F.col("product") == p["name"]), t, p) for t, p in definitions]
-    return functools.reduce(DataFrame.unionByName, parts)
+extents_of = ext.extents_of
 
 
 def placed(extents: DataFrame) -> DataFrame:
@@ -43,6 +38,7 @@ def period_summary(extents: DataFrame, target: int, keys: tuple[str, ...] = ("pr
     """
     by = list(keys)
     rows = agg.valid_only(extents.withColumn("_valid", geometry.is_valid("footprint")), "_valid").drop("_valid")
+    rows = tables.stored(rows, "summed")  # documents are read and outlines judged once for all that follows
     counts = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("dataset_count"),
         F.sum("size_bytes").alias("size_bytes"),

@@ -252,3 +252,49 @@ def _move(source, target, path):
         source, target = source[p], target.setdefault(p, {})
     if isinstance(source, dict) and path[-1] in source:
         target[path[-1]] = _copy(source[path[-1]])
+
+
+def field_groups(args: dict[str, object]) -> dict[str, dict[str, object]]:
+    """Arguments of an address by field: ``lat-begin=1&lat-end=2&orbit=3``; empty values are left out."""
+    out: dict[str, dict[str, object]] = {}
+    for name, value in args.items():
+        field_name, *rest = name.split("-")
+        if len(rest) > 1:
+            raise SearchError(f"not a field: {name!r}")
+        if value not in (None, ""):
+            out.setdefault(field_name, {})[rest[0] if rest else "val"] = value
+    return out
+
+
+_PARSERS = {"integer": int, "double": float, "numeric": float, "datetime": lambda x: naive_utc(dt.datetime.fromisoformat(str(x).replace("Z", "+00:00"))), "string": str}
+
+
+def url_filters(args: dict[str, object], columns: dict[str, Column], kinds: dict[str, str]) -> Column:
+    """A filter of an address's arguments, each read as its field's kind (integer, datetime-range, ...).
+
+    A field of a kind with ranges is a struct of begin and end: it is found by a value within it, or by a range that it meets.
+    A range in the wrong order is turned round, open ends are open. SearchError for a field that there isn't, a word after the
+    dash other than begin and end, and a value that can't be read.
+    """
+    out = F.lit(True)
+    for name, given in field_groups(args).items():
+        if name not in columns or name not in kinds:
+            raise SearchError(f"no field {name!r}")
+        kind, _, ranged = kinds[name].partition("-range")
+        ranged = kinds[name].endswith("-range")
+        if unknown := set(given) - {"val", "begin", "end"}:
+            raise SearchError(f"{name} has no {', '.join(sorted(unknown))}")
+        try:
+            read = {k: _PARSERS.get(kind, str)(v) for k, v in given.items()}
+        except ValueError as error:
+            raise SearchError(f"{name}: {error}") from error
+        lit = lambda v: F.lit(v).cast("timestamp_ntz") if isinstance(v, dt.datetime) else F.lit(v)
+        low, high = (read["val"], read["val"]) if "val" in read else (read.get("begin"), read.get("end"))
+        if low is not None and high is not None and high < low:
+            low, high = high, low
+        first, last = (columns[name]["begin"], columns[name]["end"]) if ranged else (columns[name], columns[name])
+        if low is not None:
+            out = out & (last >= lit(low))
+        if high is not None:
+            out = out & (first <= lit(high))
+    return out

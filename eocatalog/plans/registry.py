@@ -1168,3 +1168,11 @@ def _(spark, d):
     by_zone = (k == 6) & (n % 2 == 0)
     rows = told.select(F.col("s_suppkey").alias("id"), own.alias("reference"), F.when(by_zone, "GDA94").alias("datum"), F.when(by_zone, (-n).cast("string")).alias("zone"))
     return systems.with_srid(rows, systems.dictionary(entries.unionByName(zones)), "reference", "datum", "zone", 4326).select("id", "srid")
+
+
+@query("url_field_filters", f"SELECT id FROM {_EVENTS} WHERE size_bytes BETWEEN 20 AND 60.5 AND product = 'view' AND region_code::INTEGER >= 12 AND center_time <= TIMESTAMP '2024-01-20 10:00:00'")
+def _(spark, d):
+    e = m.events(spark, d)
+    columns = {"size": F.col("size_bytes"), "kind": F.col("product"), "user": F.col("region_code").cast("int"), "time": F.struct(F.col("center_time").alias("begin"), F.col("center_time").alias("end"))}
+    args = {"size-begin": "60.5", "size-end": "20", "kind": "view", "user-begin": "12", "user-end": "", "time-end": "2024-01-20T10:00:00Z"}
+    return e.where(search.url_filters(args, columns, {"size": "double", "kind": "string", "user": "integer", "time": "datetime-range"})).select("id")

@@ -1,12 +1,13 @@
 """Exact spatial predicates, quad keys, and searches that use both."""
 
+import datetime as dt
 import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from eocatalog.functions import spatial, texts
+from eocatalog.functions import shapes, spatial, texts
 from eocatalog.operators import cql2, search
 
 OPS = ["intersects", "disjoint", "within", "contains", "equals", "touches", "overlaps", "crosses"]
@@ -140,3 +141,40 @@ def test_labels_and_prefixes(spark):
     ends = [("file:///a/thing-1.txt",) * 2, ("file:///a/1.txt", "file:///a/3.txt"), ("file:///a/thing-1.txt", "file:///a/thing-3.txt"), ("http://h/things/",) * 2, ("http://h/others/", "http://h/things/")]
     df = spark.createDataFrame(ends, "a string, b string")
     assert [r[0] for r in df.select(texts.shared_prefix(F.col("a"), F.col("b"))).collect()] == ["file:///a/thing-1.txt", "file:///a/", "file:///a/", "http://h/things/", "http://h/"]
+
+
+@pytest.mark.parametrize(
+    ("shape", "valid"),
+    [
+        (polygon(ring(0, 0, 4), ring(1, 1, 1)), True),
+        (polygon(ring(0, 0, 4), ring(0, 0, 1)), False),  # shares edges with the shell
+        (polygon(ring(0, 0, 4), ring(6, 6, 1)), False),  # a hole outside
+        (polygon(ring(0, 0, 4), [[0, 2], [1, 1], [1, 3], [0, 2]]), True),  # a hole that touches at a point
+        (polygon(ring(0, 0, 8), ring(1, 1, 3), ring(2, 2, 3)), False),  # holes that overlap
+        (polygon(ring(0, 0, 8), ring(1, 1, 4), ring(2, 2, 1)), False),  # a hole in a hole
+        (polygon([[0, 0], [4, 0], [4, 4], [2, 0], [0, 4], [0, 0]]), False),  # a vertex on another edge
+        (polygon([[0, 0], [4, 0], [2, 0], [2, 4], [0, 0]]), False),  # back along its own edge
+        (polygon([[0, 0], [4, 4], [4, 0], [0, 4], [0, 0]]), False),
+        ({"type": "MultiPolygon", "coordinates": [[ring(0, 0, 4), ring(1, 1, 2)], [ring(1, 1, 1)]]}, False),
+        ({"type": "MultiPolygon", "coordinates": [[ring(0, 0, 8), ring(1, 1, 4)], [ring(2, 2, 1)]]}, True),
+        ({"type": "MultiPolygon", "coordinates": [[ring(0, 0, 4)], [ring(4, 4, 1)]]}, True),
+        ({"type": "MultiPolygon", "coordinates": [[ring(0, 0, 4)], [ring(3, 3, 4)]]}, False),
+        ({"type": "Point", "coordinates": [1, 2]}, True),
+    ],
+)
+def test_validity(shape, valid):
+    assert shapes.is_valid(shape) is valid
+
+
+def test_url_filters(spark):
+    rows = [(1, 5, "a", dt.datetime(2020, 1, 1), dt.datetime(2020, 1, 5)), (2, 9, "b", dt.datetime(2020, 1, 4), dt.datetime(2020, 1, 9)), (3, None, "b", None, None)]
+    df = spark.createDataFrame(rows, "id int, orbit int, kind string, b timestamp_ntz, e timestamp_ntz")
+    columns = {"orbit": F.col("orbit"), "kind": F.col("kind"), "time": F.struct(F.col("b").alias("begin"), F.col("e").alias("end"))}
+    kinds = {"orbit": "integer", "kind": "string", "time": "datetime-range"}
+    ids = lambda **x: {r.id for r in df.where(search.url_filters({k.replace("_", "-"): v for k, v in x.items()}, columns, kinds)).collect()}
+    assert search.field_groups({"lat-begin": "1", "lat-end": "2", "orbit": 3, "x": ""}) == {"lat": {"begin": "1", "end": "2"}, "orbit": {"val": 3}}
+    assert ids() == {1, 2, 3} and ids(orbit="5") == {1} and ids(orbit_begin="9", orbit_end="6") == {2} and ids(orbit_end="8") == {1}
+    assert ids(kind="b") == {2, 3} and ids(time="2020-01-05T00:00:00Z") == {1, 2} and ids(time_begin="2020-01-06") == {2}
+    for bad in ({"none": "1"}, {"orbit": "x"}, {"orbit-from": "1"}, {"a-b-c": "1"}):
+        with pytest.raises(search.SearchError):
+            search.url_filters(bad, columns, kinds)
