@@ -73,6 +73,14 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def file_system(path: str):
+    """pyarrow's file system and the path in it. Hadoop's name of S3 is one that pyarrow doesn't know."""
+    import pyarrow.fs as pfs
+
+    scheme, sep, rest = path.partition("://")
+    return pfs.FileSystem.from_uri(f"s3{sep}{rest}" if scheme in ("s3a", "s3n") else path)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Arrow batches of so many rows in what runs inside: texts are long, and batches are copied."""

@@ -99,16 +99,14 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, shard
     that runs again writes a file of another name, and only files in the list count. An empty table gives an
     empty list.
     """
-    import pyarrow.fs as pfs
-
     spark = docs.sparkSession
-    fs, root = pfs.FileSystem.from_uri(path)
+    fs, root = c.file_system(path)
     fs.create_dir(root, recursive=True)
 
     def write(batches):
         import pyarrow as pa
 
-        fs, root = pfs.FileSystem.from_uri(path)
+        fs, root = c.file_system(path)
         e = encoder(tokenizer)
         name, n_docs, n_ids, out = f"{uuid.uuid4().hex}.ids", 0, 0, None
         names, lengths, ids, size = [], [], [], 0
@@ -143,12 +141,10 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, shard
 
 def read_ids(shards: DataFrame, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit integers) of all listed shards."""
-    import pyarrow.fs as pfs
-
     def read(batches):
         import pyarrow as pa
 
-        fs, root = pfs.FileSystem.from_uri(path)
+        fs, root = c.file_system(path)
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with fs.open_input_stream(f"{root}/{name}") as source:
