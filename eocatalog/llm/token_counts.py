@@ -21,8 +21,8 @@ from eocatalog.llm._chunks import in_parts
 MARK = "▁"
 #: What an unknown character costs beyond the lowest score, as in the library.
 UNKNOWN_PENALTY = 10.0
-#: Segments in memory per worker process; past that the table starts anew (a cache, not a limit).
-CACHED_SEGMENTS = 500_000
+#: Segments and their characters in memory per worker process; past that the table starts anew (a cache, not a limit).
+CACHED_SEGMENTS, CACHED_CHARS = 500_000, 20_000_000
 
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _counters: dict = {}
@@ -51,6 +51,7 @@ class UnigramCounter:
         self._unknown = lowest - UNKNOWN_PENALTY
         self._single = {p for p, _ in pieces if len(p) == 1}
         self._done: dict[str, tuple[int, float]] = {}
+        self._chars = 0
 
     def segment(self, text: str) -> tuple[int, float]:
         """Tokens and score of the best split; an unknown character is as many tokens as it has bytes."""
@@ -77,13 +78,15 @@ class UnigramCounter:
         """Tokens and score of a text, with a marker before it and for each space; none for an empty text."""
         if not text:
             return 0, 0.0
-        if len(self._done) > CACHED_SEGMENTS:
+        if len(self._done) > CACHED_SEGMENTS or self._chars > CACHED_CHARS:
             self._done.clear()
+            self._chars = 0
         tokens, total, done = 0, 0.0, self._done
         for s in _SEGMENT.findall(MARK + text.replace(" ", MARK)):
             found = done.get(s)
             if found is None:
                 found = done[s] = self.segment(s)
+                self._chars += len(s)
             tokens += found[0]
             total += found[1]
         return tokens, total
