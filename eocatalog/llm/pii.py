@@ -9,10 +9,12 @@ who has the key can go back.
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
 import ipaddress
 import math
 import re
+import unicodedata
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -41,8 +43,22 @@ _AMERICAN = (
     r"[2-9][0-9]{2}[ .-][2-9][0-9]{2}[ .-][0-9]{4}",
 )
 _ABROAD = r"(?:\+|00(?=[2-9][0-9]{0,2}[ ./-]))[2-9][0-9]{0,2}(?:[ ./-]?\(0\))?(?:[ ./-]?\([0-9]{1,5}\))?(?:[ ./-]?[0-9]){4,14}"
-#: Ten digits in a row are a telephone number after a word that says so.
-_NAMED = r"(?P<says>\b(?i:tel|telephone|phone|mobile|cell|fax|call)[.:]{0,2} ?)(?P<bare>[0-9]{10})"
+#: Ten digits in a row are a telephone number after a word that says so, and groups of digits after one that says nothing else.
+_NAMED = (
+    r"(?P<says>\b(?i:tel|telephone|phone|mobile|cell|fax|call)[.:]{0,2} ?)(?P<bare>[0-9]{10})",
+    r"(?P<said>\b(?i:tel|telephone|telefon|téléphone|tél|teléfono|phone|mobile|mobil|handy|móvil|portable|cell|fax)\b[.:]{0,2} ?)(?P<national>\(?[0-9]{2,6}\)?(?:[ ./-]?[0-9]){4,10})",
+)
+#: Access keys by how they begin, with what follows: its characters and how many at least.
+KEY_FORMATS = (
+    ("AKIA|ASIA", "A-Za-z0-9", 16), ("gh[pousr]_", "A-Za-z0-9", 16), ("github_pat_", "A-Za-z0-9_", 20), ("glpat-", "A-Za-z0-9_-", 16), ("sk-(?:proj-|ant-|or-)?", "A-Za-z0-9_-", 16),
+    ("[srp]k_(?:live|test)_", "A-Za-z0-9", 16), ("xox[abeoprs]-", "A-Za-z0-9-", 10), ("AIza", "A-Za-z0-9_-", 30), ("ya29\\.", "A-Za-z0-9_-", 20), ("SG\\.", "A-Za-z0-9_.-", 40),
+    ("npm_", "A-Za-z0-9", 30), ("pypi-", "A-Za-z0-9_-", 30), ("hf_", "A-Za-z0-9", 30), ("eyJ(?=[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.)", "A-Za-z0-9_.-", 20),
+)
+_KEYS = "|".join(f"(?:{begin})(?=[{chars}]{{{least}}})" for begin, chars, least in KEY_FORMATS)
+_NAMES = r"(?i:password|passwd|passphrase|pwd|token|secret|credential|(?:api|access|private|auth|secret|account)[_-]?key)"
+_DATE_LIKE = re.compile(r"(?:19|20)[0-9]{2}[-/. ][0-9]{1,2}[-/. ][0-9]{1,2}|[0-9]{1,2}[-/. ][0-9]{1,2}[-/. ](?:19|20)[0-9]{2}")
+#: Letters and digits that are permuted together: the steps of a longer value are permuted one by one.
+STEP = 64
 
 
 class Feistel:
@@ -100,8 +116,14 @@ def _length(found: str) -> int:
     return sum(ch.isalnum() for ch in found)
 
 
-def _radix(ch: str) -> int:
-    return 10 if ch.isdigit() else 26
+@functools.lru_cache(maxsize=4096)
+def _class_of(ch: str) -> str:
+    """The characters that may stand for a letter or digit: its kind, for others than ASCII in its row of 32."""
+    for own in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        if ch in own:
+            return own
+    kind, row = unicodedata.category(ch), ord(ch) & ~31
+    return "".join(x for x in map(chr, range(row, row + 32)) if x.isalnum() and not x.isascii() and unicodedata.category(x) == kind)
 
 
 class Pseudonyms:
@@ -109,18 +131,18 @@ class Pseudonyms:
 
     #: Patterns in the order in which they are tried at a place.
     PATTERNS = (
-        ("email", r"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9._%+-]+)@(?P<domain>[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*)\.(?P<tld>[A-Za-z]{2,24})(?![A-Za-z0-9@])"),
-        ("secret", r"(?:(?P<name>\b(?i:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\s*[:=]\s*[\"']?)(?P<value>[A-Za-z0-9+/_-]{8,})|\b(?P<id>AKIA|ASIA|ghp_|sk-)(?P<rest>[A-Za-z0-9]{16,})\b)"),
+        ("email", r"(?<![\w.%+-])(?P<local>[\w.%+-]+)@(?P<domain>(?:[^\W_]|-)+(?:\.(?:[^\W_]|-)+)*)\.(?P<tld>[^\W\d_]{2,24})(?![\w@])"),
+        ("secret", rf"(?:(?P<name>{_NAMES}[\"']?\s*[:=]\s*[\"']?)(?P<value>[^\s\"'<>]{{7,}}[^\s\"'<>.,;:!?)\]}}])|(?P<begin>-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY(?: BLOCK)?-----)(?P<block>[^-]+(?:-{{1,4}}[^-]+)*)(?=-----END )|\b(?P<id>{_KEYS})(?P<rest>[A-Za-z0-9](?:[A-Za-z0-9_.-]*[A-Za-z0-9])?))"),
         ("iban", r"\b(?P<country>[A-Z]{2})(?P<check>[0-9]{2})(?P<bban>(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b"),
         ("date", r"(?<![0-9./-])(?:(?P<y>(?:19|20)[0-9]{2})(?P<s1>[-/.])(?P<m>[0-9]{2})(?P=s1)(?P<d>[0-9]{2})|(?P<p>[0-9]{2})(?P<s2>[-/.])(?P<q>[0-9]{2})(?P=s2)(?P<y2>(?:19|20)[0-9]{2}))(?![0-9])(?![./-][0-9])"),
         ("ssn", r"(?<![0-9-])(?P<area>[0-9]{3})-(?P<group>[0-9]{2})-(?P<serial>[0-9]{4})(?![0-9])(?!-[0-9])"),
-        ("phone", rf"(?<![0-9+])(?:(?P<us>{'|'.join(_AMERICAN)})|(?P<abroad>{_ABROAD})|{_NAMED})(?![0-9])"),
+        ("phone", rf"(?<![0-9+])(?:(?P<us>{'|'.join(_AMERICAN)})|(?P<abroad>{_ABROAD})|{'|'.join(_NAMED)})(?![0-9])"),
         ("ip", r"(?<![0-9.])(?P<o1>[0-9]{1,3})\.(?P<o2>[0-9]{1,3})\.(?P<o3>[0-9]{1,3})\.(?P<o4>[0-9]{1,3})(?![0-9])(?!\.[0-9])"),
-        ("ip6", r"(?<![0-9A-Za-z:.])(?P<v6>(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:)[0-9A-Fa-f:]{3,39})(?![0-9A-Za-z:])"),
+        ("ip6", r"(?<![0-9A-Za-z:.])(?P<v6>(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:)(?:(?P<v6head>[0-9A-Fa-f:]{1,30}:)(?P<v4>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?!\.[0-9])|[0-9A-Fa-f:]{3,39}))(?![0-9A-Za-z:])"),
         ("card", r"(?<![0-9])(?P<digits>[0-9](?:[ -]?[0-9]){12,18})(?![0-9])"),
     )
     #: Every value of every kind holds one of these, so a text without them needs no look at its places.
-    NEEDED = re.compile(r"[0-9@]|:[A-Fa-f]{0,4}:|AKIA|ASIA|ghp_|sk-|(?i:passw|pwd|token|secret|key)")
+    NEEDED = re.compile(r"[0-9@]|:[A-Fa-f]{0,4}:|AKIA|ASIA|gh[pousr]_|_pat_|glpat-|[srp]k[-_]|xox|AIza|ya29|SG\.|npm_|pypi-|hf_|eyJ|-----BEGIN|(?i:passw|passp|pwd|token|secret|credential|key)")
 
     def __init__(self, key: bytes):
         self._feistel = Feistel(key)
@@ -131,16 +153,20 @@ class Pseudonyms:
     def _letters(self, kind: str, text: str) -> str:
         """Letters and digits of text permuted, each within its class and case; the rest stays."""
         kept = [ch for ch in text if ch.isalnum()]
+        done = "".join(self._step(kind if not at else f"{kind} {at}", kept[at : at + STEP]) for at in range(0, len(kept), STEP))
+        return _refill(text, done)
+
+    def _step(self, kind: str, kept: list[str]) -> str:
+        classes = [_class_of(ch) for ch in kept]
         size, value = 1, 0
-        for ch in kept:
-            value = value * _radix(ch) + (int(ch) if ch.isdigit() else ord(ch.lower()) - 97)
-            size *= _radix(ch)
+        for ch, own in zip(kept, classes, strict=True):
+            value = value * len(own) + own.index(ch)
+            size *= len(own)
         value, out = self._feistel.permute(kind, value, size), []
-        for ch in reversed(kept):
-            value, digit = divmod(value, _radix(ch))
-            new = str(digit) if ch.isdigit() else chr(97 + digit)
-            out.append(new.upper() if ch.isupper() else new)
-        return _refill(text, "".join(reversed(out)))
+        for own in reversed(classes):
+            value, place = divmod(value, len(own))
+            out.append(own[place])
+        return "".join(reversed(out))
 
     def _email(self, m: re.Match) -> str:
         return f"{self._letters('email local', m['local'])}@{self._letters('email domain', m['domain'])}.{m['tld']}"
@@ -148,8 +174,10 @@ class Pseudonyms:
     def _secret(self, m: re.Match) -> str | None:
         if m["id"]:
             return m["id"] + self._letters("secret", m["rest"])
-        if not any(ch.isdigit() for ch in m["value"]):
-            return None
+        if m["begin"]:
+            return m["begin"] + self._letters("secret", m["block"])
+        if m["value"].isalpha() and m["value"][1:].islower() and ":" in m["name"] and not re.match("(?i)pass|pwd", m["name"]):
+            return None  # a word of prose: only a password is told by its name alone
         return m["name"] + self._letters("secret", m["value"])
 
     def _iban(self, m: re.Match) -> tuple[str, int] | None:
@@ -211,11 +239,25 @@ class Pseudonyms:
     def _phone(self, m: re.Match) -> str | tuple[str, int] | None:
         if m["bare"]:
             return m["says"] + self._american(m["bare"])
+        if m["national"]:
+            return self._national(m)
         if m["us"]:
             digits = re.sub("[^0-9]", "", m["us"])
             return _refill(m["us"], digits[:-10] + self._american(digits[-10:]))
         return self._abroad(m["abroad"], m.start())
 
+    def _national(self, m: re.Match) -> str | None:
+        """Seven to thirteen digits after a word that names them; a leading 0 stays one. A date isn't a number."""
+        found = m["national"]
+        number = re.sub("[^0-9]", "", found)
+        if not 7 <= len(number) <= 13 or _DATE_LIKE.match(found) or found.count("(") != found.count(")"):
+            return None
+        led = number[0] == "0"
+        while True:
+            number = str(self._feistel.permute("phone national", int(number), 10 ** len(number))).zfill(len(number))
+            if (number[0] == "0") == led:
+                return m["said"] + _refill(found, number)
+
     def _abroad(self, found: str, start: int) -> tuple[str, int] | None:
         """The digits after the country code and a bracketed 0 permuted; a leading 0 stays one."""
         head = re.match(r"(?:\+|00)([0-9]+)", found)
@@ -241,17 +283,26 @@ class Pseudonyms:
         octets = [m[f"o{i}"] for i in range(1, 5)]
         if any(int(o) > 255 or (len(o) > 1 and o[0] == "0") for o in octets):
             return None
+        return self._octets(octets)
+
+    def _octets(self, octets: list[str]) -> str:
         x = self._feistel.permute("ip", int.from_bytes(bytes(map(int, octets)), "big"), 1 << 32)
         return ".".join(map(str, x.to_bytes(4, "big")))
 
     def _ip6(self, m: re.Match) -> str | None:
         """The hexadecimal digits permuted; how the address is written stays."""
         found = m["v6"]
-        digits = found.replace(":", "")
         try:
             ipaddress.IPv6Address(found)
         except ValueError:
             return None
+        if m["v4"]:  # the address within is the same as alone; what says that it is mapped stays
+            head = m["v6head"] if m["v6head"].lower() == "::ffff:" else self._hexadecimal(m["v6head"])
+            return head + self._octets(m["v4"].split("."))
+        return self._hexadecimal(found)
+
+    def _hexadecimal(self, found: str) -> str | None:
+        digits = found.replace(":", "")
         if not digits:
             return None
         new = f"{self._feistel.permute('ip6', int(digits, 16), 16 ** len(digits)):0{len(digits)}x}"
@@ -305,10 +356,11 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     """doc_id, text with pseudonyms, n_pii and n_<kind> for each of KINDS, of every row.
 
     A null text stays null with counts 0. Rows are looked at one by one, so null and repeated ids change
-    nothing. What no pattern finds, or its rule rejects, stays as it is: emails; passwords, tokens and access
-    keys; IBANs (mod 97); dates from 1900 to 2099 (calendar); social security numbers (ranges); telephone
-    numbers (any digits after a country code or with brackets, or ten digits after a word like "tel"; ranges where
-    only separators show them; ten digits without any mark stay); IPv4 (octets) and IPv6 addresses; card numbers (Luhn).
+    nothing. What no pattern finds, or its rule rejects, stays as it is: emails (of any letters); what follows a name like
+    "password", "token" or "api key" (eight characters or more without white space; a mere word after a colon is a password only); access keys by KEY_FORMATS; private
+    key blocks; IBANs (mod 97); dates from 1900 to 2099 (calendar); social security numbers (ranges); telephone
+    numbers (any digits after a country code or with brackets, or seven to thirteen digits after a word like "tel"; ranges where
+    only separators show them; ten digits without any mark stay); IPv4 (octets) and IPv6 addresses, mixed ones too; card numbers (Luhn).
     """
 
     def run(batches):
