@@ -63,6 +63,19 @@ def web_url(uri: Column) -> Column:
     return F.when(uri.startswith("s3://"), F.regexp_replace(uri, "^s3://([^/]+)/", "https://$1.s3.amazonaws.com/")).otherwise(uri)
 
 
+def external_url(uri: Column, region: str = "ap-southeast-2", data_locations: dict[str, str] | None = None, is_base: bool = False) -> Column:
+    """s3 addresses as those that a browser opens; the rest as it is.
+
+    A bucket in data_locations is shown by the site that serves it; with is_base as the listing of the address's folder.
+    """
+    bucket, path = F.regexp_extract(uri, "^s3://([^/]+)/", 1), F.regexp_replace(uri, "^s3://[^/]+/", "")
+    out = F.concat(F.lit("https://"), bucket, F.lit(f".s3.{region}.amazonaws.com/"), path)
+    for own, site in (data_locations or {}).items():
+        shown = F.concat(F.lit("?prefix="), F.regexp_extract(path, "^(.*/)", 1)) if is_base else path
+        out = F.when(bucket == own, F.concat(F.lit(f"https://{site}/"), shown)).otherwise(out)
+    return F.when(bucket != "", out).otherwise(uri)
+
+
 def resolve(base: Column, relative: Column) -> Column:
     """A relative path against the folder of base; full addresses stay."""
     return F.when(relative.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), relative).otherwise(F.concat(directory_prefix(base), relative))

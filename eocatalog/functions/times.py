@@ -103,3 +103,31 @@ def shift_open_range(begin, end, earliest, latest):
     begin = earliest if begin is None else begin
     end = latest + dt.timedelta(days=1) if end is None else end
     return (end, begin) if end < begin else (begin, end)
+
+
+def month_name(day: Column) -> Column:
+    """``January 2024``"""
+    return F.date_format(day, "MMMM yyyy")
+
+
+def since(ts: Column, now: Column) -> Column:
+    """How long ago a time is, in its largest unit: ``3 hours ago``; ``in`` the future before it, ``just now`` within a minute."""
+    seconds = F.unix_micros(now.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))
+    past = seconds >= 0
+    seconds = F.floor(F.abs(seconds) / 1_000_000)
+    out = F.lit("just now")
+    for name, size in (("minute", 60), ("hour", 3600), ("day", 86_400), ("month", 30 * 86_400), ("year", 365 * 86_400)):
+        n = F.floor(seconds / size)
+        text = F.concat(n.cast("string"), F.lit(f" {name}"), F.when(n == 1, "").otherwise("s"))
+        out = F.when(seconds >= size, F.when(past, F.concat(text, F.lit(" ago"))).otherwise(F.concat(F.lit("in "), text))).otherwise(out)
+    return F.when(ts.isNotNull() & now.isNotNull(), out)
+
+
+def iso_duration(seconds: Column) -> Column:
+    """``P1DT2H3M4S``; ``PT0S`` for none, a minus before a negative one."""
+    whole = F.floor(F.abs(seconds)).cast("long")
+    part = lambda n, unit: F.when(n > 0, F.concat(n.cast("string"), F.lit(unit))).otherwise("")
+    days, clock = F.floor(whole / 86_400), whole % 86_400
+    time = F.concat(part(F.floor(clock / 3600), "H"), part(F.floor(clock % 3600 / 60), "M"), part(clock % 60, "S"))
+    text = F.concat(F.lit("P"), part(days, "D"), F.when(time != "", F.concat(F.lit("T"), time)).otherwise(""))
+    return F.concat(F.when(seconds < 0, "-").otherwise(""), F.when(whole == 0, "PT0S").otherwise(text))

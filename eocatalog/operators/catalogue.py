@@ -77,6 +77,29 @@ class Catalogue:
         """product, last_refresh, newest_added, layout, time_earliest, time_latest, dataset_count."""
         return self.store.read("products", head=head)
 
+    #: Columns that each stored table has at least.
+    EXPECTED = {
+        "extents": {"id", "product", "center_time", "added", "month"},
+        "cells": {"product", "period_type", "start_day", "month", "generated", *cell.MEASURES},
+        "products": {"product", "last_refresh", "newest_added", "layout", "time_earliest", "time_latest", "dataset_count"},
+        "log": {"id", "product", "month", *_ADDED},
+    }
+
+    def problems(self) -> list[str]:
+        """What keeps stored tables from being used as they are: none yet, columns that are missing, older layouts."""
+        head = self.store.head()
+        if not head["tables"]:
+            return ["nothing is stored yet"]
+        found = []
+        for name, columns in self.EXPECTED.items():
+            table = self.store.read(name, head=head)
+            missing = columns - set(table.columns) if table is not None else columns
+            found += [f"{name} lacks {', '.join(sorted(missing))}"] if missing else []
+        if not found:
+            older = self.products(head).where(F.coalesce(F.col("layout"), F.lit(0)) < LAYOUT).count()
+            found += [f"{older} products have an older layout: the next refresh makes them anew"] if older else []
+        return found
+
     # ---- runs
 
     def apply(self, changes: DataFrame, token: str, now: dt.datetime | None = None) -> None:

@@ -146,6 +146,22 @@ def overflow(edges: DataFrame, limit: int, by: str = "dataset_ref", other: str =
     return first.select(by, "shown", F.greatest(F.col("_n") - limit, F.lit(0)).alias("remaining"))
 
 
+def largest(rows: DataFrame, n: int = 15, by: str = "size") -> DataFrame:
+    """The n rows with the largest value, ties by id; only n of each task are sorted together."""
+    return rows.orderBy(F.col(by).desc_nulls_last(), F.col("id")).limit(n)
+
+
+def product_listing(cells: DataFrame, positions: DataFrame) -> DataFrame:
+    """A row for each product that was ever refreshed, by name: what its cells say of it, and how far it is refreshed.
+
+    positions(product, last_refresh). A product without datasets has 0 of everything and no times.
+    """
+    months = cells.where("period_type = 'month'").groupBy("product").agg(F.count(F.lit(1)).alias("months"))
+    whole = cells.where("period_type = 'all'").select("product", "dataset_count", "size_bytes", "begin", "end", F.size(F.filter("regions", lambda r: r.key.isNotNull())).alias("regions"), F.size("srids").alias("systems"))
+    out = positions.select("product", "last_refresh").join(whole, "product", "left").join(months, "product", "left").fillna(0, ["dataset_count", "size_bytes", "regions", "systems", "months"])
+    return out.select("product", "dataset_count", "size_bytes", F.col("begin").alias("first_time"), F.col("end").alias("last_time"), F.col("regions").cast("long").alias("regions"), F.col("systems").cast("long").alias("systems"), "months", "last_refresh").orderBy("product")
+
+
 def unsummarised(products: DataFrame, cells: DataFrame) -> DataFrame:
     return products.join(cells.where("period_type = 'all'"), "product", "left_anti")
 

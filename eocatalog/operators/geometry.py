@@ -49,6 +49,14 @@ def envelope(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["xmin", "ymin", "xmax", "ymax"], dtype="float64")
 
 
+def parse_box(text: Column) -> Column:
+    """struct(xmin, ymin, xmax, ymax) of ``BOX(1 2,3 4)``; null for anything else."""
+    number = r"([-+0-9.eE]+)"
+    pattern = rf"^\s*BOX\s*\(\s*{number}\s+{number}\s*,\s*{number}\s+{number}\s*\)\s*$"
+    ends = [F.regexp_extract(text, pattern, k + 1).try_cast("double").alias(n) for k, n in enumerate(("xmin", "ymin", "xmax", "ymax"))]
+    return F.when(text.rlike(pattern), F.struct(*ends))
+
+
 def point(x: Column, y: Column) -> Column:
     """A point without Python; null where a coordinate is missing."""
     return F.when(x.isNotNull() & y.isNotNull(), F.struct(x.alias("x"), y.alias("y")))

@@ -9,6 +9,7 @@ scan, then order and page. Documents are joined only if asked for.
 from __future__ import annotations
 
 import datetime as dt
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -39,6 +40,7 @@ class Search:
     region: str | None = None
     filter: object = None
     filter_lang: str | None = None
+    filter_crs: str | None = None
     sortby: list[dict] = field(default_factory=list)
     order: str = "default"
     limit: int | None = None
@@ -109,6 +111,8 @@ def apply_filters(extents: DataFrame, search: Search, fields: dict[str, Column]
             out = out.where(exact("s_intersects", search.intersects))
     if search.region is not None:
         out = out.where(F.col("region_code") == search.region)
+    if search.filter_crs and not re.search(r"(?i)(crs/OGC/[0-9.]+/CRS84|(^|[:/])4326)$", search.filter_crs):
+        raise SearchError(f"filters are in longitude and latitude, not in {search.filter_crs}")
     if search.filter:
         bounds = tuple(F.col(n) for n in ("xmin", "ymin", "xmax", "ymax")) if "xmin" in extents.columns else None
         filter_ = cql2.strip_prefixes(search.filter) if isinstance(search.filter, str) else search.filter

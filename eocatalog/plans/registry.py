@@ -563,7 +563,7 @@ def _(spark, d):
 @query("largest_footprints", "SELECT doc_id AS id, strlen(text)::INTEGER AS size FROM documents ORDER BY size DESC, id LIMIT 15")
 def _(spark, d):
     docs = m.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.octet_length("text").alias("size"))
-    return docs.orderBy(F.col("size").desc(), F.col("id")).limit(15)
+    return facts.largest(docs, 15)
 
 
 @query("item_by_id", f"SELECT id, product, center_time FROM {_EVENTS} WHERE id = '1234'")
@@ -1176,3 +1176,32 @@ def _(spark, d):
     columns = {"size": F.col("size_bytes"), "kind": F.col("product"), "user": F.col("region_code").cast("int"), "time": F.struct(F.col("center_time").alias("begin"), F.col("center_time").alias("end"))}
     args = {"size-begin": "60.5", "size-end": "20", "kind": "view", "user-begin": "12", "user-end": "", "time-end": "2024-01-20T10:00:00Z"}
     return e.where(search.url_filters(args, columns, {"size": "double", "kind": "string", "user": "integer", "time": "datetime-range"})).select("id")
+
+
+@query("documents_as_text", f"""SELECT id, '# EO1 Dataset\n# url: /dataset/' || id || '.yaml\nid: d' || id || '\nsize_bytes: ' || id || '\nextent:\n  a: 1.0e-10\nlineage:\n  machine: m\n  source_datasets: {{}}\nzoo:\n- 1\n- 2.5\n' AS text FROM {_EVENTS}""")
+def _(spark, d):
+    """Documents as they are shown: in order, with comments above."""
+    doc = F.concat(F.lit('{"zoo":[1,2.5],"lineage":{"source_datasets":{},"machine":"m"},"extent":{"a":1e-10},"size_bytes":'), F.col("id"), F.lit(',"id":"d'), F.col("id"), F.lit('"}'))
+    return formats.texts(m.events(spark, d).select("id", doc.alias("doc")), "/dataset/{id}.yaml")
+
+
+@query(
+    "product_listing",
+    f"""WITH live AS (SELECT * FROM ({_AFTER}) WHERE NOT gone)
+        SELECT product, count(*)::BIGINT AS dataset_count, sum(size_bytes)::BIGINT AS size_bytes, min(center_time) AS first_time, max(center_time) AS last_time, count(DISTINCT region_code)::BIGINT AS regions, count(DISTINCT srid)::BIGINT AS systems,
+               count(DISTINCT date_trunc('month', center_time + {_DARWIN}))::BIGINT AS months, TIMESTAMP '2024-02-10' AS last_refresh FROM live GROUP BY 1""",
+)
+def _(spark, d):
+    stored, _ = _refreshed_twice(spark, d)
+    return facts.product_listing(stored.cells(), stored.products())
+
+
+@query(
+    "region_collections",
+    f"""WITH r AS (SELECT product, region_code, count(*) AS n FROM {_EVENTS} GROUP BY 1, 2)
+        SELECT product, '{{"type":"FeatureCollection","features":[' || string_agg('{{"type":"Feature","id":"' || region_code || '","geometry":{{"coordinates":[' || region_code || ',1],"type":"Point"}},"properties":{{"count":' || n || ',"label":"Region ' || region_code || '","region_code":"' || region_code || '"}}}}', ',' ORDER BY region_code) || ']}}' AS collection FROM r GROUP BY 1""",
+)
+def _(spark, d):
+    counts = agg.region_histogram(m.events(spark, d))
+    place = F.concat(F.lit('{"type":"Point","coordinates":['), F.col("region_code"), F.lit(",1]}"))
+    return items.region_collection(counts.select("product", "region_code", "n", F.concat(F.lit("Region "), "region_code").alias("label"), place.alias("geometry")))

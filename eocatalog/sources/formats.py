@@ -214,3 +214,26 @@ def write(docs: DataFrame, path: str, form: str = "yaml", compressed: bool = Fal
     register(docs.sparkSession)
     rows = docs.selectExpr("CAST(NULL AS STRING) AS path", "CAST(NULL AS INT) AS position", "CAST(NULL AS STRING) AS id", "doc").where("doc IS NOT NULL")
     rows.write.format(NAME).option("form", form).option("compression", "gzip" if compressed else "none").mode(mode).save(path)
+
+
+def texts(docs: DataFrame, url: str | None = None) -> DataFrame:
+    """id, text: documents(id, doc) as they are shown, ordered YAML below its comments. What isn't a document has no text.
+
+    url is the address that a document is shown under, ``{id}`` in it the document's.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, out = batch.column(0).to_pylist(), []
+            for id_, raw in zip(ids, batch.column(1).to_pylist(), strict=True):
+                try:
+                    doc = json.loads(raw) if raw else None
+                except ValueError:
+                    doc = None
+                shown = isinstance(doc, dict)
+                out.append(header(doc, url and url.replace("{id}", str(id_))) + as_yaml([ordered(doc)]).removeprefix("---\n") if shown else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["id", "text"])
+
+    return docs.select("id", "doc").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, text string")

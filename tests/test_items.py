@@ -8,6 +8,7 @@ import pytest
 import yaml
 from pyspark.sql import functions as F
 
+from eocatalog import settings
 from eocatalog.operators import extents as ext
 from eocatalog.operators import facts, items, lookups, stac, systems
 from eocatalog.functions import fields, texts, times
@@ -176,3 +177,60 @@ def test_small_functions(spark):
     products = spark.createDataFrame([("p", "new"), ("q", "old"), ("r", "new")], "product string, metadata_type string")
     assert sorted(r["product"] for r in facts.products_with_metadata_type(products, "new").collect()) == ["p", "r"]
     assert facts.block_sample(spark.range(1000).withColumn("product", F.lit("p")), 50.0).count() <= 1000
+
+
+def test_settings_and_addresses(spark):
+    assert settings.of_session(spark) == settings.Settings()
+    spark.conf.set("spark.eocatalog.page_size", "7")
+    spark.conf.set("spark.eocatalog.change_overlap", "60")
+    try:
+        own = settings.of_session(spark)
+        assert (own.page_size, own.change_overlap) == (7, dt.timedelta(minutes=1))
+        spark.conf.set("spark.eocatalog.nothing", "1")
+        with pytest.raises(ValueError, match="nothing"):
+            settings.of_session(spark)
+    finally:
+        for name in ("page_size", "change_overlap", "nothing"):
+            spark.conf.unset(f"spark.eocatalog.{name}")
+    own = settings.of_lines("# comment\nexport EOCATALOG_GROUPING_TIMEZONE='UTC'\nOTHER=1\nEOCATALOG_DATA_LOCATIONS={\"b\": \"site\"}\n")
+    assert (own.grouping_timezone, own.data_locations) == ("UTC", {"b": "site"})
+    for bad in ("EOCATALOG_PAGE_SIZE=0", "EOCATALOG_DATA_LOCATIONS=[]", "EOCATALOG_X=1", "EOCATALOG_GROUPING_TIMEZONE=No/Where"):
+        with pytest.raises((ValueError, KeyError)):
+            settings.of_lines(bad)
+    uris = ["s3://some-data/L2/x/doc.yaml", "s3://b/L2/x/doc.yaml", "file:///g/x.yaml", "rel/path.txt", None]
+    df = spark.createDataFrame([(u,) for u in uris], "u string")
+    got = [tuple(r) for r in df.select(texts.external_url(F.col("u"), "r-1", {"b": "site"}), texts.external_url(F.col("u"), "r-1", {"b": "site"}, True)).collect()]
+    assert [g[0] for g in got] == ["https://some-data.s3.r-1.amazonaws.com/L2/x/doc.yaml", "https://site/L2/x/doc.yaml", "file:///g/x.yaml", "rel/path.txt", None]
+    assert got[1][1] == "https://site/?prefix=L2/x/" and got[2][1] == "file:///g/x.yaml"
+
+
+def test_times_as_text_and_boxes(spark):
+    now = dt.datetime(2024, 1, 31, 12)
+    ago = {0: "just now", 59: "just now", 60: "1 minute ago", 7200: "2 hours ago", 86_400: "1 day ago", 40 * 86_400: "1 month ago", 800 * 86_400: "2 years ago", -7200: "in 2 hours"}
+    df = spark.createDataFrame([(now - dt.timedelta(seconds=s), s) for s in ago] + [(None, None)], "t timestamp_ntz, s long")
+    got = df.select(times.since(F.col("t"), F.lit(now).cast("timestamp_ntz")).alias("x"), "s").collect()
+    assert {r.s: r.x for r in got} == ago | {None: None}
+    durations = {0: "PT0S", 4: "PT4S", 93_784: "P1DT2H3M4S", 86_400: "P1D", -60: "-PT1M"}
+    df = spark.createDataFrame([(s,) for s in durations], "s long")
+    assert {r.s: r.x for r in df.select("s", times.iso_duration(F.col("s")).alias("x")).collect()} == durations
+    boxes = spark.createDataFrame([("BOX(1 2,3.5 4e1)",), ("box",), (None,)], "b string")
+    assert [r.x and tuple(r.x) for r in boxes.select(geometry.parse_box(F.col("b")).alias("x")).collect()] == [(1, 2, 3.5, 40), None, None]
+    assert spark.range(1).select(times.month_name(F.make_date(F.lit(2024), F.lit(2), F.lit(1))).alias("x")).first().x == "February 2024"
+
+
+def test_texts_of_odd_documents(spark):
+    docs = spark.createDataFrame([("1", json.dumps(DOCS[1])), ("2", "no json"), ("3", None), ("4", "[1]"), ("5", "{}")], "id string, doc string")
+    got = {r.id: r.text for r in formats.texts(docs, "u/{id}").collect()}
+    assert got["1"].startswith("# url: u/1\n$schema:") and got["2"] is got["3"] is got["4"] is None and got["5"] == "# EO1 Dataset\n# url: u/5\n{}\n"
+
+
+def test_filter_systems():
+    from eocatalog.operators import search
+
+    class Rows:
+        columns: list = []
+
+    for name in ("http://www.opengis.net/def/crs/OGC/1.3/CRS84", "EPSG:4326", "http://www.opengis.net/def/crs/EPSG/0/4326"):
+        search.apply_filters(Rows(), search.Search(filter_crs=name))
+    with pytest.raises(search.SearchError):
+        search.apply_filters(Rows(), search.Search(filter_crs="EPSG:3577"))

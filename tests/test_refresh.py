@@ -199,3 +199,14 @@ def test_long_timelines_are_kept_by_month(spark):
     assert made["all"].timeline_unit == "month" and len(made["all"].timeline) == 14 and sum(x.n for x in made["all"].timeline) == 400
     assert made["year"].timeline_unit == "day" and len(made["year"].timeline) == 366
     assert list(itertools.accumulate(x.n for x in made["all"].timeline))[-1] == 400
+
+
+def test_problems_of_stored_tables(spark, tmp_path, monkeypatch):
+    stored = Catalogue(spark, f"file://{tmp_path}/c", "UTC")
+    assert stored.problems() == ["nothing is stored yet"]
+    stored.apply(table(spark, [dataset(1)]), "a")
+    assert stored.problems() == []
+    monkeypatch.setattr(catalogue, "LAYOUT", 9)
+    assert stored.problems() == ["1 products have an older layout: the next refresh makes them anew"]
+    monkeypatch.setitem(Catalogue.EXPECTED, "extents", {"id", "none"})
+    assert stored.problems() == ["extents lacks none"]
