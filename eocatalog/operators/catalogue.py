@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from eocatalog.operators import aggregates as agg
 from eocatalog.operators import cells as cell
-from eocatalog.operators import refresh
+from eocatalog.operators import facts, refresh
 from eocatalog.sources import tables
 from eocatalog.sources.partitioned import Change, Conflict, Partitioned, code
 
@@ -266,6 +266,27 @@ class Catalogue:
         told = new.select("product", result.alias("result"), "changed", "months")
         return known.join(new.select("product"), "product", "left_anti").select(*columns).unionByName(positions), told
 
+    def refresh_quality(self, products: list[str] | None = None) -> DataFrame:
+        """The stored table of facts.quality_stats, made again for all products or for some, beside the other tables.
+
+        It is told from the extents, so these need footprint, srid, size_bytes and region_code.
+        """
+        by_product = code("product")
+        while True:
+            head = self.store.head()
+            found = self.extents(head)
+            if found is None:
+                raise ValueError("nothing is stored yet")
+            some = found if products is None else found.where(F.col("product").isin(products))
+            old = head["tables"].get("quality", {"parts": {}})["parts"]
+            codes = list(old) if products is None else self._codes(self.spark.createDataFrame([(x,) for x in products], "product string"), by_product)
+            stage = self.store.stage("quality", Change(facts.quality_stats(some), by_product, codes))
+            try:
+                self.store.commit(head, [stage], head["token"])
+            except Conflict:
+                continue
+            return self.store.read("quality")
+
     def _tell(self) -> None:
         head = self.store.head()
         for tell in self.listeners:

@@ -107,6 +107,12 @@ def region_code(doc: Column, metadata_type: dict, product: dict, own: dict[str,
     return F.lit(None).cast("string")
 
 
+def tolerance(product: dict) -> float | None:
+    """How far a simplified outline may be off: a quarter of the grid's finer resolution; None without one."""
+    resolution = (product.get("storage") or {}).get("resolution")
+    return min(abs(float(r)) for r in resolution.values()) / 4 if resolution else None
+
+
 def read_columns(metadata_type: dict, product: dict) -> dict[str, Column]:
     """What an extent takes from a document of this type and product, but for its footprint, which is still GeoJSON text."""
     doc = F.col("doc")
@@ -120,6 +126,7 @@ def read_columns(metadata_type: dict, product: dict) -> dict[str, Column]:
         "size_bytes": size_bytes(doc, own),
         "srid": code,
         "footprint": F.when(code.isNotNull(), footprint_geojson(doc, metadata_type)),
+        "_tolerance": F.lit(tolerance(product)).cast("double"),
     }
 
 
@@ -142,7 +149,7 @@ def extents_of(datasets: DataFrame, definitions: list[tuple[dict, dict]]) -> Dat
         for is_own, columns in read:
             found = F.when(is_own, columns[name]).otherwise(found)
         merged[name] = found
-    merged["footprint"] = geometry.geojson_to_wkb(merged["footprint"])
+    merged["footprint"] = geometry.outline_to_wkb(merged["footprint"], merged.pop("_tolerance"))
     return datasets.where(F.col("archived").isNull() & F.col("product").isin(every)).select("id", "product", *(c.alias(n) for n, c in merged.items()), "added")
 
 

@@ -26,6 +26,17 @@ def geojson_to_wkb(s: pd.Series) -> pd.Series:
     return _each(lambda t: shapes.to_wkb(shapes.from_json(t)), s)
 
 
+def outline_to_wkb(outline: Column, tolerance: Column) -> Column:
+    """GeoJSON text as WKB, with fewer points where there is a tolerance: none is farther off than that."""
+
+    @F.pandas_udf(T.BinaryType())
+    def run(s: pd.Series, t: pd.Series) -> pd.Series:
+        read = lambda text, off: shapes.from_json(text) if off != off or not off else shapes.simplify(shapes.from_json(text), off)
+        return pd.Series([None if text is None else shapes.to_wkb(read(text, off)) for text, off in zip(s, t, strict=True)], dtype=object)
+
+    return run(outline, tolerance.cast("double"))
+
+
 @F.pandas_udf(T.StringType())
 def wkb_to_geojson(s: pd.Series) -> pd.Series:
     import json

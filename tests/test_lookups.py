@@ -126,3 +126,13 @@ def test_hard_limit_and_arguments(spark):
     assert [r.id for r in search.hard_limited(rows, search.Search(products=["p"]), 2).collect()] == ["4", "3", "2"]
     assert search.normalised({"dataset_maturity": "NRT", "x": "Y"}) == {"dataset_maturity": "nrt", "x": "Y"}
     assert extents.active(rows.withColumn("archived", F.when(F.col("id") == "1", F.col("center_time"))), "p").count() == 4
+
+
+def test_outlines_are_simplified_by_the_grid(spark):
+    ring = [[0.0, 0.0], [50.0, 2.0], [100.0, 0.0], [100.0, 100.0], [0.0, 100.0], [0.0, 0.0]]
+    docs = [new_document("1", "2020-01-01T00:00:00Z", ring)]
+    n = lambda product: len(shapes.from_wkb(bytes(made_extents(spark, docs, NEW_TYPE, product).first().footprint))["coordinates"][0])
+    assert n(SCENES) == 6
+    assert n({**SCENES, "storage": {"resolution": {"x": 10, "y": -30}}}) == 5  # 2.5 off
+    assert n({**SCENES, "storage": {"resolution": {"x": 5, "y": -5}}}) == 6
+    assert extents.tolerance({"name": "p"}) is None

@@ -210,3 +210,17 @@ def test_problems_of_stored_tables(spark, tmp_path, monkeypatch):
     assert stored.problems() == ["1 products have an older layout: the next refresh makes them anew"]
     monkeypatch.setitem(Catalogue.EXPECTED, "extents", {"id", "none"})
     assert stored.problems() == ["extents lacks none"]
+
+
+def test_quality_is_made_again(spark, tmp_path):
+    stored = Catalogue(spark, f"file://{tmp_path}/c", "UTC")
+    with pytest.raises(ValueError):
+        stored.refresh_quality()
+    rows = table(spark, [dataset(1), dataset(2, size=None), dataset(3, "q")]).withColumn("footprint", F.when(F.col("id") != "1", F.lit("x").cast("binary")))
+    stored.apply(rows, "a")
+    count = lambda df: {r["product"]: (r.n, r.missing_footprint, r.has_file_size) for r in df.collect()}
+    assert count(stored.refresh_quality()) == {"p": (2, 1, 1), "q": (1, 0, 1)}
+    stored.apply(rows.where("id = '1'").withColumn("archived", F.col("added") + F.expr("INTERVAL 1 DAY")), "b")
+    assert count(stored.refresh_quality(["q"])) == {"p": (2, 1, 1), "q": (1, 0, 1)}
+    assert count(stored.refresh_quality(["p"])) == {"p": (1, 0, 0), "q": (1, 0, 1)}
+    assert stored.extents().count() == 2 and stored.store.token() == "b"
