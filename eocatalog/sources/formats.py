@@ -93,7 +93,9 @@ def as_yaml(docs: list[dict]) -> str:
 def _files(path: str) -> tuple:
     import pyarrow.fs as pfs
 
-    if "://" not in path and not path.startswith("file:"):
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    if "://" not in path:
         return pfs.LocalFileSystem(), path
     # the scheme that Hadoop gives S3
     return pfs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
