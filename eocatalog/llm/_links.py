@@ -67,3 +67,26 @@ def star_links(ids: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int]]:
         forest.join(x, y)
         seen.update((x, y))
     return [(int(ids[order[x]]), int(ids[order[r]])) for x in seen if (r := forest.root(x)) != x]
+
+
+class Links:
+    """Links between positions in sorted ids, of which only those are kept that join what was apart."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids, self.forest, self.roots = ids, Forest(len(ids)), np.arange(len(ids))
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        a, b = self.roots[x], self.roots[y]
+        new = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
+        for one, other in new.tolist():
+            self.forest.join(one, other)
+        if len(new):
+            up = np.array(self.forest.up)
+            while (up[up] != up).any():
+                up = up[up]
+            self.roots, self.forest.up = up, up.tolist()
+
+    def stars(self) -> list[tuple[int, int]]:
+        """(id, smallest id of its group), one for each further member."""
+        moved = np.flatnonzero(self.roots != np.arange(len(self.ids)))
+        return list(zip(self.ids[moved].tolist(), self.ids[self.roots[moved]].tolist(), strict=True))

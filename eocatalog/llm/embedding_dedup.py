@@ -2,27 +2,34 @@
 
 Unit vectors are rotated and split into blocks of coordinates. Two vectors within squared distance d of
 each other are, in at least one block, within that block's part of d (parts add up to d, in proportion
-to the block's share of the coordinates). For each block a range join finds the pairs within its part: cells
-over those of the block's coordinates that tell vectors apart, with a vector standing in its own cell and
-probing all cells that its range touches. The union of the blocks' candidates is verified on the whole
-vectors as they were.
-
-Which coordinates tell vectors apart is counted over all vectors: how many pairs would meet in a coordinate's
-cells. A block in which no coordinate leaves out enough pairs is one cell, in which all vectors of a label meet,
-so it finds all pairs and no other block is needed. Directions spread evenly over many dimensions come to that.
+to the block's share of the coordinates). For each block a range join finds the pairs within its part: a
+recursion that cuts one set of vectors into slices along a coordinate, keeps for each slice those of the other
+whose distance to it, added up over the coordinates so far, is within the part, and goes on with the next coordinate;
+small slices are compared by their exact distance in the block. The union of the blocks' candidates is verified on
+the whole vectors as they were.
+
+Before that, vectors are dealt to tasks: by cells over those of a block's coordinates that tell vectors apart,
+with a vector standing in its own cell and probing all cells that its range touches, so that few tasks see both
+of two vectors that are far apart. How many pairs would meet in a coordinate's cells is counted over all vectors. Where
+no coordinate of some block leaves out enough of them, as with directions spread evenly over many dimensions, cells
+would send a vector to more tasks than tiles do; then any two tiles of a label meet once, in a task that joins all blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eocatalog.llm import _common as c
-from eocatalog.llm._links import components, star_links
+from eocatalog.llm._links import Links, components
 
 #: What rounding can add to a squared distance of unit vectors, with room to spare.
 _SLACK = 1e-9
+#: Vectors of a slice that is cut no further, rows of a leaf's matrix at once, and pairs whose vectors are taken at once.
+LEAF, LEAF_MAX, PAIRS_AT_ONCE = 32, 256, 50_000
 
 
 def rotation(dim: int, seed: int = 5) -> np.ndarray:
@@ -39,20 +46,59 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
 
 
-def close_pairs(homes: np.ndarray, probes: np.ndarray, block: int, parts: list[np.ndarray], distance: float) -> np.ndarray:
-    """home[h], probe[p]: pairs within the block's budget and within no earlier block's.
+def range_join(homes: np.ndarray, probes: np.ndarray, budget: float, leaf: int = LEAF) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Leaves (h, p, near): near[i, j] where homes h[i] and probes p[j] lie within budget of each other, squared.
 
-    So each pair that any block finds is looked at in one block only.
+    Homes are cut into slices along one coordinate after the other, the widest spread first; a probe goes on
+    with a slice while the squared distances to the slices that it went on with add up to no more than budget. A
+    pair of one home and one probe is in one leaf at most, and each pair within budget is in one.
+    """
+    order = np.argsort(-homes.var(axis=0), kind="stable") if len(homes) else []
+    step = max(np.sqrt(budget), 1e-12)
+    todo = [(np.arange(len(homes)), np.arange(len(probes)), np.zeros(len(probes)), 0)]
+    while todo:
+        h, p, spent, depth = todo.pop()
+        if not len(h) or not len(p):
+            continue
+        if len(h) <= leaf or depth == homes.shape[1]:
+            for at in range(0, len(h), LEAF_MAX):
+                some = h[at : at + LEAF_MAX]
+                x, y = homes[some], probes[p]
+                near = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T) <= budget
+                if near.any():
+                    yield some, p, near
+            continue
+        k = order[depth]
+        x, y = homes[h, k], probes[p, k]
+        by_x = np.argsort(x, kind="stable")
+        h, x = h[by_x], x[by_x]
+        # slices of at most one radius, none much smaller than a leaf
+        parts = max(1, min(int((x[-1] - x[0]) / step) + 1, len(h) // leaf))
+        cuts = np.unique(np.searchsorted(x, np.linspace(x[0], x[-1], parts + 1)[1:-1]))
+        for own in np.split(np.arange(len(h)), cuts):
+            if len(own):
+                outside = np.maximum(np.maximum(x[own[0]] - y, y - x[own[-1]]), 0)
+                total = spent + outside * outside
+                keep = total <= budget
+                todo.append((h[own], p[keep], total[keep], depth + 1))
+
+
+def candidates(homes: np.ndarray, probes: np.ndarray, blocks: list[int], parts: list[np.ndarray], distance: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Leaves of range_join over the given blocks; near leaves out pairs that lie within an earlier block's budget.
+
+    So each pair that any block finds is looked at once, in the first block that finds it.
     """
-    open_ = None
-    for b in range(block + 1):
-        x, y = homes[:, parts[b]], probes[:, parts[b]]
-        squared = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T)
-        near = squared <= distance * len(parts[b]) / homes.shape[1] + _SLACK
-        if b == block:
-            return near if open_ is None else near & open_
-        open_ = ~near if open_ is None else open_ & ~near
-    raise ValueError("no such block")
+    budget = lambda b: distance * len(parts[b]) / homes.shape[1] + _SLACK
+    for b in blocks:
+        for h, p, near in range_join(homes[:, parts[b]], probes[:, parts[b]], budget(b)):
+            for earlier in range(b):
+                i, j = np.nonzero(near)
+                for at in range(0, len(i), PAIRS_AT_ONCE):
+                    some = slice(at, at + PAIRS_AT_ONCE)
+                    gap = homes[h[i[some]]][:, parts[earlier]] - probes[p[j[some]]][:, parts[earlier]]
+                    near[i[some], j[some]] = (gap * gap).sum(axis=1) > budget(earlier)
+            if near.any():
+                yield h, p, near
 
 
 def ranges(turned: np.ndarray, parts: list[np.ndarray], distance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,24 +228,29 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, blocks: int = 4, gr
         reps, weights, is_home = table.column("rep").to_numpy(), table.column("n").to_numpy(), table.column("is_home").to_numpy(zero_copy_only=False)
         h, p = np.flatnonzero(is_home), np.flatnonzero(~is_home)
         norms = np.sqrt((vectors * vectors).sum(axis=1))
-        turned = vectors / norms[:, None] @ rotation(dim) if block >= 0 else None
+        turned = vectors / norms[:, None] @ rotation(dim)
+        parts = split(dim, blocks)
         ordered = block >= 0 or table.column("h")[0].as_py() == table.column("p")[0].as_py()
-        gained, pairs = np.zeros(len(reps), np.int64), []
-        for at in range(0, len(h), 512):
-            some = h[at : at + 512]
-            near = (vectors[some] @ vectors[p].T) / (norms[some][:, None] * norms[p][None, :]) >= least
-            if block >= 0:
-                near &= close_pairs(turned[some], turned[p], block, split(dim, blocks), distance)
+        ids, place = np.unique(reps, return_inverse=True)
+        gained, links = np.zeros(len(reps), np.int64), Links(ids)
+        for i, j, near in candidates(turned[h], turned[p], [block] if block >= 0 else list(range(len(parts))), parts, distance):
+            i, j = h[i], p[j]
             if ordered:
-                near &= reps[p][None, :] < reps[some][:, None]
-            x, y = np.nonzero(near)
+                near &= reps[j][None, :] < reps[i][:, None]
+            if near.sum() * 8 > near.size:
+                near &= (vectors[i] @ vectors[j].T) / (norms[i][:, None] * norms[j][None, :]) >= least
+                x, y = np.nonzero(near)
+                x, y = i[x], j[y]
+            else:
+                x, y = np.nonzero(near)
+                x, y = i[x], j[y]
+                cosine = [np.einsum("ij,ij->i", vectors[x[at : at + PAIRS_AT_ONCE]], vectors[y[at : at + PAIRS_AT_ONCE]]) for at in range(0, len(x), PAIRS_AT_ONCE)]
+                sure = np.concatenate([*cosine, np.empty(0)]) / (norms[x] * norms[y]) >= least
+                x, y = x[sure], y[sure]
             if len(x):
-                x, y = some[x], p[y]
-                np.add.at(gained, x, weights[y])
-                np.add.at(gained, y, weights[x])
-                pairs.append(np.stack([x, y], axis=1))
-        ids, at = np.unique(reps, return_inverse=True)
-        stars = star_links(ids, at[np.concatenate(pairs)]) if pairs else []
+                gained += np.bincount(x, weights[y], len(reps)).astype(np.int64) + np.bincount(y, weights[x], len(reps)).astype(np.int64)
+                links.add(place[x], place[y])
+        stars = links.stars()
         some = gained > 0
         return pa.table({"u": pa.array([*reps[some].tolist(), *(s[0] for s in stars)], pa.int64()), "v": pa.array([*[None] * int(some.sum()), *(s[1] for s in stars)], pa.int64()), "n": pa.array([*gained[some].tolist(), *[None] * len(stars)], pa.int64())})
 

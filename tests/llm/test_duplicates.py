@@ -121,6 +121,39 @@ def test_embedding_dedup_equals_brute_force(spark, tile, most):
     assert sum(w[0] > 0 for w in want.values()) > 20
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.05, 1.0])
+def test_range_join_finds_each_pair_within_budget_once(spread):
+    rng = np.random.default_rng(8)
+    points = rng.standard_normal((9, 5))[rng.integers(0, 9, 400)] + spread * rng.standard_normal((400, 5))
+    homes, probes, found = points[:250], points[200:], []
+    for h, p, near in embedding_dedup.range_join(homes, probes, 0.09, leaf=4):
+        i, j = np.nonzero(near)
+        found += zip(h[i].tolist(), p[j].tolist(), strict=True)
+    gaps = ((homes[:, None] - probes[None]) ** 2).sum(axis=2)
+    assert sorted(found) == sorted(map(tuple, np.argwhere(gaps <= 0.09).tolist()))
+
+
+def test_candidates_hold_all_close_pairs_and_few_others():
+    rng = np.random.default_rng(9)
+    rows = rng.standard_normal((600, 64))
+    rows[300:] = rows[:300] + 0.2 * rng.standard_normal((300, 64))
+    turned = embedding_dedup._unit(rows) @ embedding_dedup.rotation(64)
+    parts, found = embedding_dedup.split(64, 4), []
+    for h, p, near in embedding_dedup.candidates(turned, turned, [0, 1, 2, 3], parts, 0.14):
+        i, j = np.nonzero(near)
+        found += zip(h[i].tolist(), p[j].tolist(), strict=True)
+    close = set(map(tuple, np.argwhere(turned @ turned.T >= 0.93).tolist()))
+    assert len(found) == len(set(found)) and close <= set(found)
+    assert len(close) > 1000 and len(found) < len(rows) ** 2 / 100
+
+
+def test_links_keep_what_joins():
+    links = _links.Links(np.array([10, 20, 30, 40, 50]))
+    links.add(np.array([1, 1, 4]), np.array([2, 2, 3]))
+    links.add(np.array([2, 4]), np.array([0, 3]))
+    assert links.stars() == [(20, 10), (30, 10), (50, 40)]
+
+
 def test_embedding_dedup_odd_rows(spark):
     schema = "vec_id long, embedding array<float>, label int, n_links int, home string"
     df = spark.createDataFrame([(None, [1.0, 0.0], 1, 5, "x"), (3, [1.0, 0.0], 1, 5, "x"), (3, [1.0, 0.0], 1, 5, "x")], schema)
