@@ -55,6 +55,26 @@ def materialise(df: DataFrame, label: str, compression: str = "snappy") -> DataF
     return out
 
 
+def materialise_by(df: DataFrame, label: str, column: str, values: list[int], compression: str = "snappy") -> dict[int, DataFrame]:
+    """Like materialise(), in one pass a table for each of a few values of a column, which drop() takes away one by one."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    writers = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(writers)
+    spark.conf.set(writers, str(len(values)))  # a file for each value side by side in a task, so rows needn't be sorted
+    try:
+        df.write.partitionBy(column).parquet(path, compression=compression)
+    finally:
+        spark.conf.set(writers, before)
+    out, schema = {}, df.drop(column).schema
+    for value in values:
+        at = f"{path}/{column}={value}"
+        there = spark._jvm.org.apache.hadoop.fs.Path(at)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(there)  # a value without rows has no folder yet
+        out[value] = spark.read.schema(schema).parquet(at)
+        out[value]._scratch_path = at
+    return out
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets the driver's JVM find shuffles that no plan refers to any more, so that Spark's cleaner deletes their files."""
     spark._jvm.System.gc()
