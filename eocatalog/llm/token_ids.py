@@ -139,8 +139,13 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, shard
     return spark.createDataFrame([tuple(r) for r in shards.itertuples(index=False)], "shard int, file string, n_docs long, n_ids long, start long")
 
 
-def read_ids(shards: DataFrame, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit integers) of all listed shards."""
+def _read(shards: DataFrame, path: str, value, column: str) -> DataFrame:
+    """doc_id, start, n_tokens and a value of the ids' bytes of all listed shards.
+
+    It is worked out where a file is read: a second Python step would have workers of its own, which live on and
+    come to hold a tokenizer's tables, as those that write do.
+    """
+
     def read(batches):
         import pyarrow as pa
 
@@ -150,25 +155,22 @@ def read_ids(shards: DataFrame, path: str) -> DataFrame:
                 with fs.open_input_stream(f"{root}/{name}") as source:
                     for doc_ids, lens, ids in read_blocks(source):
                         ids, ends = ids.astype("<u4"), np.cumsum(lens)
-                        raw = [x.tobytes() for x in np.split(ids, ends[:-1])]
-                        yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + ends - lens), pa.array(lens), pa.array(raw, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                        own = [value(x.tobytes()) for x in np.split(ids, ends[:-1])]
+                        yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + ends - lens), pa.array(lens), pa.array(own)], ["doc_id", "start", "n_tokens", column.split()[0]])
                         start += int(ends[-1])
 
     n = max(1, shards.count())
-    return shards.select("file", "start").repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return shards.select("file", "start").repartition(n).mapInArrow(read, f"doc_id long, start long, n_tokens long, {column}")
 
 
-def read_digests(shards: DataFrame, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of what read_ids gives."""
-
-    def digest(batches):
-        import pyarrow as pa
+def read_ids(shards: DataFrame, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit integers) of all listed shards."""
+    return _read(shards, path, bytes, "ids binary")
 
-        for b in batches:
-            crc = [zlib.crc32(x.as_buffer()) for x in b.column(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return read_ids(shards, path).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def read_digests(shards: DataFrame, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of what read_ids gives."""
+    return _read(shards, path, zlib.crc32, "ids_crc32 long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
