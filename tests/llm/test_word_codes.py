@@ -110,3 +110,47 @@ def test_spelling_leaves_a_learned_word_out(spark):
     classes = np.zeros(len(words), int)
     with_it, without = model.log10_words(words, classes), model.log10_words(words, classes, np.arange(20) < 10)
     assert (without[:10] < with_it[:10] - 0.1).all() and np.allclose(without[10:], with_it[10:])
+
+
+def test_beginnings_that_words_share_are_spelled_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    words = list({bytes(rng.integers(97, 101, rng.integers(0, 9)).astype(np.uint8)) for _ in range(3000)})
+    classes, learned = rng.integers(0, 3, len(words)), rng.random(len(words)) < 0.5
+    words[5], classes[5], learned[5] = words[4], classes[4], learned[4]
+    vocabulary = [(int(k), bytearray(w), 1) for w, k in zip(words, classes, strict=True)]
+    model = lm_score.train(spark.createDataFrame(vocabulary, "cls int, word binary, n long"), 2)
+    alone = [model.log10_words([w], classes[k : k + 1], learned[k : k + 1])[0] for k, w in enumerate(words)]
+    told, inputs = [], lm_score.Model.inputs
+    monkeypatch.setattr(lm_score.Model, "inputs", lambda self, hashes, d, node, *more: (told.append(len(node)), inputs(self, hashes, d, node, *more))[1])
+    assert np.allclose(model.log10_words(words, classes, learned), alone, rtol=1e-6, atol=1e-6)
+    prefixes = {(k, x, (w + b" ")[:n]) for w, k, x in zip(words, classes.tolist(), learned.tolist(), strict=True) for n in range(1, len(w) + 2)}
+    assert told == [len(prefixes)] * 8
+    told.clear()
+    lm_score.learn(model, words, classes, np.ones(len(words), int), np.zeros((lm_score.N_GATES, lm_score.N_CONTEXTS)), np.zeros((2, 256 * lm_score.MAP_STEPS)), 0.03)
+    assert told == [len({(k, w) for k, _, w in prefixes})] * 8
+
+
+def test_what_followed_last_in_a_text():
+    rng = np.random.default_rng(3)
+    lens = rng.integers(1, 40, 60)
+    text = np.repeat(np.arange(60), lens)
+    words = rng.integers(0, 6, len(text))
+    words[np.cumsum(lens) - 1] = 7  # the end
+    want, last = [], {}
+    for k, word in enumerate(words.tolist()):
+        key = (text[k], words[k - 1])
+        within = k > 0 and text[k - 1] == text[k]
+        want.append((within and key in last, within and last.get(key) == word))
+        if within:
+            last[key] = word
+    assert list(zip(*(x.tolist() for x in lm_score._last_in_text(words, text)), strict=True)) == want
+
+
+def test_keys_are_counted_without_their_places():
+    rng = np.random.default_rng(2)
+    keys = (rng.zipf(1.3, 3000) % 400).astype(np.uint64) * np.uint64(9000)
+    trained = rng.random(3000) < 0.7
+    for some in (slice(None), slice(0)):
+        whole = _follow.requests(keys[some], trained[some], 3)
+        for a, b in zip(_follow.requests(keys[some], trained[some], 3, places=False), whole[:4], strict=True):
+            assert a.dtype == b.dtype and a.tolist() == b.tolist()
