@@ -696,9 +696,17 @@ _EVENT_TYPE = {
 _EVENT_PRODUCTS = ("click", "error", "purchase", "view")
 
 
+def _dealt(spark, d) -> DataFrame:
+    """Events dealt out by id: what is done to documents takes far longer than moving rows, and a file's one row group is one task.
+
+    The number is the session's own; without one, adaptive execution would put small rows together again.
+    """
+    return m.events(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+
+
 def _documents(spark, d):
     """Events as dataset documents; every seventh is archived, and places come from the grid."""
-    e = m.events(spark, d)
+    e = _dealt(spark, d)
     n = F.col("id").cast("long") % 50
     grid = F.struct(F.array(F.lit(1), F.lit(2)).alias("shape"), F.array(F.lit(1.0), F.lit(0.0), n.cast("double"), F.lit(0.0), F.lit(-1.0), F.lit(0.0)).alias("transform"))
     properties = F.struct(stac.iso(F.col("center_time")).alias("datetime"), F.col("region_code").alias("odc:region_code"))
@@ -800,7 +808,7 @@ _OLDER_TYPE = {
 
 def _both_dialects(spark, d) -> DataFrame:
     """Clicks and views in the newer dialect, purchases and errors in the older, with triangles as outlines."""
-    e = m.events(spark, d)
+    e = _dealt(spark, d)
     n = F.col("id").cast("long") % 50
     x, when = n.cast("double"), stac.iso(F.col("center_time"))
     ring = F.array(*(F.array(a, b) for a, b in ((x, F.lit(0.0)), (x + 2, F.lit(0.0)), (x, F.lit(1.0)), (x, F.lit(0.0)))))
@@ -1144,11 +1152,11 @@ def _(spark, d):
 
 @query("documents_written_and_read", f"SELECT id, product, strftime(center_time, '%Y-%m-%dT%H:%M:%SZ') AS time, CASE WHEN product IN ('click', 'view') THEN (id::BIGINT % 50 / 2)::DOUBLE ELSE id::BIGINT % 50 + 1 END AS number FROM {_EVENTS} WHERE product IN ('click', 'error', 'purchase', 'view')")
 def _(spark, d):
-    """Documents of both dialects, written as files of many YAML documents each and read from these."""
+    """Documents of both dialects, written as files of many YAML documents each, a file for each task, and read from these."""
     path = tables.work_path(spark, "documents")
     docs = _both_dialects(spark, d)
     named = docs.withColumn("doc", F.concat(F.expr("left(doc, length(doc) - 1)"), F.lit(',"product":"'), F.col("product"), F.lit('"}')))
-    formats.write(named.repartition(4), path, compressed=True)
+    formats.write(named, path, compressed=True)
     at = lambda *p: F.coalesce(*(F.get_json_object("doc", x) for x in p))
     return formats.read(spark, path).select("id", at("$.product").alias("product"), at("$.properties.datetime", "$.extent.from_dt").alias("time"), at("$.properties['eo:cloud_cover']", "$.image.path").cast("double").alias("number"))
 

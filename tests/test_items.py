@@ -14,7 +14,7 @@ from eocatalog.operators import facts, items, lookups, stac, systems
 from eocatalog.functions import fields, texts, times
 from eocatalog.operators import aggregates as agg
 from eocatalog.operators import geometry, refresh
-from eocatalog.sources import formats, tables
+from eocatalog.sources import documents, formats, tables
 
 from .test_catalogue import NEW_TYPE, OLD_TYPE
 
@@ -234,3 +234,34 @@ def test_filter_systems():
         search.apply_filters(Rows(), search.Search(filter_crs=name))
     with pytest.raises(search.SearchError):
         search.apply_filters(Rows(), search.Search(filter_crs="EPSG:3577"))
+
+
+def test_usual_documents_are_written_and_read_without_the_library(monkeypatch):
+    import yaml
+
+    doc = {"id": "7", "a:b": [[1.0, -2], [{"x": "2024-01-01", "y": []}, "it's"]], "none": None, "7": {"on": True, "e": 1e-10}, "said": "two words", "deep": {"list": ["#1", {"k": {}}]}}
+    text = formats.as_yaml([doc, doc])
+
+    class Plain(yaml.SafeDumper):
+        def ignore_aliases(self, data):
+            return True
+
+    assert text == "".join("---\n" + yaml.dump(doc, Dumper=Plain, sort_keys=False) for _ in range(2))
+    assert documents.parse(text.encode(), "x.yaml") == [doc, doc]
+    for odd in ("a: >\n  b\n---\nyes: 1\n1: 2\n", "%YAML 1.1\n---\na: &x 1\nb: *x\n...\n---\nc: 2020-01-01\n", "a: b\n  c\n---\n---\nd: 'e\n  f'\n"):
+        assert documents.parse(odd.encode(), "x.yaml") == [documents._plain(d) for d in yaml.safe_load_all(odd) if d is not None]
+    documents.parse(text.encode(), "x.yaml")  # what is asked of the library only once
+
+    def never(*_, **__):
+        raise AssertionError("the library is slow")
+
+    for name in ("dump", "load", "load_all"):
+        monkeypatch.setattr(yaml, name, never)
+    assert formats.as_yaml([doc]) == text[: len(text) // 2] and documents.parse(text.encode(), "x.yaml") == [doc, doc]
+
+
+def test_large_files_are_read_document_by_document():
+    import io
+
+    source = io.BytesIO(b"---\na: 1\n" * 100_000)
+    assert next(documents.parsed(source, "x.yaml")) == {"a": 1} and source.tell() < 100_000
