@@ -1190,7 +1190,7 @@ def _(spark, d):
 def _(spark, d):
     """Documents as they are shown: in order, with comments above."""
     doc = F.concat(F.lit('{"zoo":[1,2.5],"lineage":{"source_datasets":{},"machine":"m"},"extent":{"a":1e-10},"size_bytes":'), F.col("id"), F.lit(',"id":"d'), F.col("id"), F.lit('"}'))
-    return formats.texts(m.events(spark, d).select("id", doc.alias("doc")), "/dataset/{id}.yaml")
+    return formats.texts(_dealt(spark, d).select("id", doc.alias("doc")), "/dataset/{id}.yaml")
 
 
 @query(

@@ -265,3 +265,14 @@ def test_large_files_are_read_document_by_document():
 
     source = io.BytesIO(b"---\na: 1\n" * 100_000)
     assert next(documents.parsed(source, "x.yaml")) == {"a": 1} and source.tell() < 100_000
+
+
+def test_documents_shown_are_dealt_to_tasks_and_equal_the_library(spark, tmp_path):
+    from eocatalog.plans import registry
+
+    at = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([(k, at, k, "view", 1.0, "{}") for k in range(64)], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    out = registry.queries()["documents_as_text"](spark, str(tmp_path))
+    assert out.select(F.spark_partition_id()).distinct().count() > 1
+    shown = "\n".join(x for x in out.where("id = '7'").first().text.split("\n") if not x.startswith("#"))
+    assert yaml.safe_load(shown) == {"id": "d7", "size_bytes": 7, "extent": {"a": 1e-10}, "lineage": {"machine": "m", "source_datasets": {}}, "zoo": [1, 2.5]}
