@@ -25,7 +25,7 @@ INSIDE, OUTSIDE, ON_SAME, ON_OPPOSITE, MEET = 1, 2, 4, 8, 16
 DEPTH = 14
 
 
-def _let(value: Column, use) -> Column:
+def let(value: Column, use) -> Column:
     """use(value), with value worked out once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -63,7 +63,7 @@ def box_rings(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
 def box(rings_: Column) -> Column:
     """struct(xmin, ymin, xmax, ymax) of rings; null without any."""
     ends = lambda p: F.struct(F.array_min(p.x).alias("xmin"), F.array_min(p.y).alias("ymin"), F.array_max(p.x).alias("xmax"), F.array_max(p.y).alias("ymax"))
-    return _let(F.flatten(rings_), lambda points: F.when(F.size(points) > 0, ends(points)))
+    return let(F.flatten(rings_), lambda points: F.when(F.size(points) > 0, ends(points)))
 
 
 def edges(rings_: Column) -> Column:
@@ -97,7 +97,7 @@ def _meeting(e: Column, o: Column) -> Column:
         crossing = F.when((F.signum(t.a) * F.signum(t.b) <= 0) & (F.signum(t.c) * F.signum(t.d) <= 0), place(at, at, F.lit(False), F.lit(False)))
         return F.when((t.a == 0) & (t.b == 0), on_line).otherwise(crossing)
 
-    return _let(turns, told)
+    return let(turns, told)
 
 
 def _within(x: Column, y: Column, other: Column) -> Column:
@@ -119,10 +119,10 @@ def lie(own: Column, other: Column) -> Column:
                 inside = _within(e.x1 + (e.x2 - e.x1) * t, e.y1 + (e.y2 - e.y1) * t, other)
                 return F.when(on(F.lit(True)), ON_SAME).when(on(F.lit(False)), ON_OPPOSITE).when(inside, INSIDE).otherwise(OUTSIDE)
 
-            pieces = _let(cuts, lambda c: F.transform(F.slice(c, 2, F.size(c) - 1), lambda t, i: what((F.get(c, i) + t) / 2)))
+            pieces = let(cuts, lambda c: F.transform(F.slice(c, 2, F.size(c) - 1), lambda t, i: what((F.get(c, i) + t) / 2)))
             return F.aggregate(pieces, F.when(F.size(met) > 0, MEET).otherwise(0), lambda all_, x: all_.bitwiseOR(x))
 
-        return _let(F.filter(F.transform(other, lambda o: _meeting(e, o)), lambda m: m.isNotNull()), cut)
+        return let(F.filter(F.transform(other, lambda o: _meeting(e, o)), lambda m: m.isNotNull()), cut)
 
     return F.aggregate(F.transform(own, of_edge), F.lit(0), lambda all_, x: all_.bitwiseOR(x))
 
@@ -172,15 +172,15 @@ def predicate(op: str, shape: dict, rings_: Column) -> Column:
             out = F.lit(0)
             for p in [at] if kind == "Point" else at:
                 out = out.bitwiseOR(lie_of_point(float(p[0]), float(p[1]), own))
-            return _let(out, lambda b: _of_part(op, b))
+            return let(out, lambda b: _of_part(op, b))
 
-        return _let(edges(rings_), told)
+        return let(edges(rings_), told)
     if kind in ("LineString", "MultiLineString"):
         both = F.struct(edges(rings_).alias("own"), _literal_edges([at] if kind == "LineString" else at).alias("other"))
-        return _let(both, lambda e: _let(lie(e.other, e.own), lambda b: _of_part(op, b)))
+        return let(both, lambda e: let(lie(e.other, e.own), lambda b: _of_part(op, b)))
     area = _literal_edges([r for p in ([at] if kind == "Polygon" else at) for r in _oriented(p, _area)])
     both = F.struct(edges(rings_).alias("own"), area.alias("other"))
-    return _let(both, lambda e: _let(F.struct(lie(e.own, e.other).alias("a"), lie(e.other, e.own).alias("b")), lambda x: _of_area(op, x.a, x.b)))
+    return let(both, lambda e: let(F.struct(lie(e.own, e.other).alias("a"), lie(e.other, e.own).alias("b")), lambda x: _of_area(op, x.a, x.b)))
 
 
 def _has(bits: Column, what: int) -> Column:
@@ -229,7 +229,7 @@ def quad_key(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
 
     # greatest and least leave nulls out, so a missing bound is told before
     step = lambda v, low, span: F.when(v.isNotNull(), _step(v, low, span))
-    return _let(F.struct(*(step(v, low, span).alias(name) for name, v, low, span in steps)), told)
+    return let(F.struct(*(step(v, low, span).alias(name) for name, v, low, span in steps)), told)
 
 
 def covering(x0: float, y0: float, x1: float, y1: float) -> list[str]:

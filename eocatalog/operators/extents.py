@@ -11,7 +11,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eocatalog.functions import crs, fields, regions
+from eocatalog.functions import crs, fields, regions, spatial
 from eocatalog.operators import geometry
 
 _time = lambda c: fields.as_type(c, "datetime")
@@ -64,12 +64,16 @@ def corner(doc: Column, metadata_type: dict, name: str, axis: str) -> Column:
 
 def grid_ring(doc: Column) -> Column:
     """The outline of a newer document's default grid: its four corners through the grid's affine transform."""
-    number = lambda *p: F.get_json_object(doc, "$.grids.default." + "".join(p)).try_cast("double")
-    rows, cols = number("shape[0]"), number("shape[1]")
-    a, b, c, d, e, f = (number(f"transform[{i}]") for i in range(6))
-    at = lambda x, y: F.array(a * x + b * y + c, d * x + e * y + f)
-    zero = F.lit(0.0)
-    return F.array(at(zero, rows), at(zero, zero), at(cols, zero), at(cols, rows), at(zero, rows))
+    number = lambda path: F.get_json_object(doc, "$.grids.default." + path).try_cast("double")
+    numbers = F.array(*map(number, ("shape[0]", "shape[1]", *(f"transform[{i}]" for i in range(6)))))
+
+    def corners(found: Column) -> Column:
+        rows, cols, a, b, c, d, e, f = (F.get(found, F.lit(i)) for i in range(8))
+        at = lambda x, y: F.array(a * x + b * y + c, d * x + e * y + f)
+        zero = F.lit(0.0)
+        return F.array(at(zero, rows), at(zero, zero), at(cols, zero), at(cols, rows), at(zero, rows))
+
+    return spatial.let(numbers, corners)  # each number is read from the document once
 
 
 def footprint_geojson(doc: Column, metadata_type: dict) -> Column:
@@ -81,9 +85,9 @@ def footprint_geojson(doc: Column, metadata_type: dict) -> Column:
         ring = F.array(*[F.array(corner(doc, metadata_type, k, "x"), corner(doc, metadata_type, k, "y")) for k in ("ll", "ul", "ur", "lr", "ll")])
     else:
         return F.lit(None).cast("string")
-    complete = ~F.exists(F.flatten(ring), lambda v: v.isNull())
-    polygon = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")))
-    return F.coalesce(outline, F.when(complete, polygon))
+    complete = lambda r: ~F.exists(F.flatten(r), lambda v: v.isNull())
+    polygon = lambda r: F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(r).alias("coordinates")))
+    return F.coalesce(outline, spatial.let(ring, lambda r: F.when(complete(r), polygon(r))))
 
 
 def region_code(doc: Column, metadata_type: dict, product: dict, own: dict[str, Column]) -> Column:

@@ -5,6 +5,9 @@ Geometries are WKB with an EPSG code beside. All UDFs give null for null.
 
 from __future__ import annotations
 
+import functools
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,27 +29,64 @@ def geojson_to_wkb(s: pd.Series) -> pd.Series:
     return _each(lambda t: shapes.to_wkb(shapes.from_json(t)), s)
 
 
+@functools.lru_cache(4096)
+def _as_wkb(text: str, tolerance: float) -> bytes:
+    # tiles of a grid come again and again
+    shape = shapes.from_json(text)
+    return shapes.to_wkb(shapes.simplify(shape, tolerance) if tolerance else shape)
+
+
+@functools.lru_cache(4096)
+def _is_valid(wkb: bytes) -> bool | None:
+    return shapes.is_valid(shapes.from_wkb(wkb))
+
+
+@functools.lru_cache(4096)
+def _placed(wkb: bytes, srid: int | None) -> tuple:
+    """valid, outline in degrees as GeoJSON, and the box of its rings."""
+    if srid is None:
+        return _is_valid(wkb), None, None, None, None, None
+    shape = projections.transform_shape(shapes.from_wkb(wkb), srid, 4326)
+    rings = shape["type"] in ("Polygon", "MultiPolygon") and len(shapes.points(shape))
+    return _is_valid(wkb), json.dumps(shape), *(shapes.envelope(shape) if rings else (None,) * 4)
+
+
+_PLACED = ("valid boolean", "outline string", "xmin double", "ymin double", "xmax double", "ymax double")
+
+
+def placed(wkb: Column, srid: Column) -> Column:
+    """struct(valid, outline, xmin, ymin, xmax, ymax): what is known of a shape's place in degrees, in one call of Python a row.
+
+    It isn't marked as deterministic, else each use of a field would be another call.
+    """
+
+    @F.pandas_udf(", ".join(_PLACED))
+    def run(s: pd.Series, code: pd.Series) -> pd.DataFrame:
+        rows = [(None,) * 6 if w is None else _placed(bytes(w), None if c is None or c != c else int(c)) for w, c in zip(s, code, strict=True)]
+        found = pd.DataFrame(rows, columns=[x.split()[0] for x in _PLACED], dtype=object)
+        return found.astype({x: "float64" for x in ("xmin", "ymin", "xmax", "ymax")})
+
+    return run.asNondeterministic()(wkb, srid)
+
+
 def outline_to_wkb(outline: Column, tolerance: Column) -> Column:
     """GeoJSON text as WKB, with fewer points where there is a tolerance: none is farther off than that."""
 
     @F.pandas_udf(T.BinaryType())
     def run(s: pd.Series, t: pd.Series) -> pd.Series:
-        read = lambda text, off: shapes.from_json(text) if off != off or not off else shapes.simplify(shapes.from_json(text), off)
-        return pd.Series([None if text is None else shapes.to_wkb(read(text, off)) for text, off in zip(s, t, strict=True)], dtype=object)
+        return pd.Series([None if text is None else _as_wkb(text, 0.0 if off != off else off) for text, off in zip(s, t, strict=True)], dtype=object)
 
     return run(outline, tolerance.cast("double"))
 
 
 @F.pandas_udf(T.StringType())
 def wkb_to_geojson(s: pd.Series) -> pd.Series:
-    import json
-
     return _each(lambda w: json.dumps(shapes.from_wkb(w)), s)
 
 
 @F.pandas_udf(T.BooleanType())
 def is_valid(s: pd.Series) -> pd.Series:
-    return _each(lambda w: shapes.is_valid(shapes.from_wkb(w)), s)
+    return _each(lambda w: _is_valid(bytes(w)), s)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -21,13 +21,13 @@ extents_of = ext.extents_of
 def placed(extents: DataFrame) -> DataFrame:
     """Extents with valid, outline (GeoJSON in degrees), its rings, their box xmin, ymin, xmax, ymax, and its quad key, cell.
 
-    Rings, box and key are Columns of the outline; a footprint of a system that isn't known has none of them.
+    Rings and key are Columns of the outline and its box; a footprint of a system that isn't known has none of them.
     """
-    outline = geometry.wkb_to_geojson(geometry.transform(F.col("footprint"), F.col("srid"), 4326))
-    looked = extents.withColumns({"valid": geometry.is_valid("footprint"), "outline": outline})
-    looked = looked.withColumn("rings", spatial.rings(F.col("outline"))).withColumn("_box", spatial.box(F.col("rings")))
-    bounds = [F.col(f"_box.{x}") for x in ("xmin", "ymin", "xmax", "ymax")]
-    return looked.select(*extents.columns, "valid", "outline", "rings", *bounds, spatial.quad_key(*bounds).alias("cell"))
+    looked = extents.withColumn("_placed", geometry.placed(F.col("footprint"), F.col("srid")))
+    of = lambda name: F.col(f"_placed.{name}")
+    bounds = {x: of(x) for x in ("xmin", "ymin", "xmax", "ymax")}
+    rings = spatial.rings(of("outline")).alias("rings")
+    return looked.select(*extents.columns, of("valid").alias("valid"), of("outline").alias("outline"), rings, *(c.alias(x) for x, c in bounds.items()), spatial.quad_key(*bounds.values()).alias("cell"))
 
 
 def period_summary(extents: DataFrame, target: int, keys: tuple[str, ...] = ("product",), tz: str = agg.GROUPING_TZ) -> DataFrame:

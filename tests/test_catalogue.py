@@ -417,3 +417,21 @@ def test_data_sizes_of_every_row(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.id: r.size for r in registry.queries()["data_sizes"](spark, str(tmp_path)).collect()}
     assert got == {1: "5 B", 2: "2.0 KiB", 3: "1.0 MiB", 4: "5.0 GiB", 5: None}
+
+
+def test_a_row_is_placed_by_one_call(spark):
+    """However many of its columns are used, and whatever filter follows: calls of Python are what takes time."""
+    from eocatalog.functions import shapes
+    from eocatalog.operators import job
+
+    ring = [[0.0, 0.0], [2.0, 0.0], [2.0, 1.0], [0.0, 0.0]]
+    wkb = bytearray(shapes.to_wkb({"type": "Polygon", "coordinates": [ring]}))
+    bow = bytearray(shapes.to_wkb({"type": "Polygon", "coordinates": [[[0, 0], [2, 2], [2, 0], [0, 2], [0, 0]]]}))
+    rows = [("a", wkb, 4326), ("b", bow, 4326), ("c", None, 4326), ("d", wkb, None)]
+    out = job.placed(spark.createDataFrame(rows, "id string, footprint binary, srid int"))
+    used = out.where(F.col("valid").isNull() | F.col("valid")).select("id", "xmin", "ymin", "xmax", "ymax", "cell", "outline")
+    assert used._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+    got = {r.id: r for r in out.collect()}
+    assert [got[k].valid for k in "abcd"] == [True, False, None, True]
+    assert (got["a"].xmin, got["a"].ymin, got["a"].xmax, got["a"].ymax) == (0, 0, 2, 1) and len(got["a"].rings) == 1
+    assert got["c"].xmin is None and got["d"].xmin is None and got["d"].outline is None
