@@ -167,25 +167,27 @@ def union_by(footprints: DataFrame, keys: list[str], wkb: str = "footprint", fan
     """
     rows = footprints.where(F.col(wkb).isNotNull()).select(*keys, F.col(wkb).alias("footprint")).distinct()
     largest = at_most if at_most is not None else rows.groupBy(*keys).count().agg(F.max("count").alias("n")).first().n or 0
-    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("footprint", T.BinaryType())])
 
-    def unite(last: bool):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            shape = shapes.union([shapes.from_wkb(w) for w in pdf["footprint"]])
-            if last and simplify_to is not None:
-                shape = shapes.simplify(shape, simplify_to)
-            out = pdf[keys].head(1).copy()
-            out["footprint"] = [shapes.to_wkb(shape) if shape else None]
-            return out
-
-        return run
+    def united(rows: DataFrame, by: list[str], last: bool) -> DataFrame:
+        @F.pandas_udf(T.BinaryType())
+        def unite(lists: pd.Series) -> pd.Series:
+            out = []
+            for own in lists:
+                shape = shapes.union([shapes.from_wkb(bytes(w)) for w in own])
+                if last and simplify_to is not None:
+                    shape = shapes.simplify(shape, simplify_to)
+                out.append(shapes.to_wkb(shape) if shape else None)
+            return pd.Series(out, dtype=object)
+
+        # lists are bounded by the buckets; sorted, so that a result doesn't depend on how rows came
+        lists = rows.where(F.col("footprint").isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list("footprint")).alias("_shapes"))
+        return lists.select(*keys, unite("_shapes").alias("footprint"))
 
     while largest > fan_in:
         buckets = -(-largest // fan_in)
-        rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("footprint"), F.lit(buckets)))
-        rows = rows.groupBy(*keys, "_bucket").applyInPandas(unite(False), schema)
+        rows = united(rows.withColumn("_bucket", F.pmod(F.xxhash64("footprint"), F.lit(buckets))), [*keys, "_bucket"], False)
         largest = buckets
-    return rows.groupBy(*keys).applyInPandas(unite(True), schema)
+    return united(rows, keys, True)
 
 
 def region_coverage(footprints: DataFrame, tolerance: float = 0.0001) -> DataFrame:
