@@ -136,3 +136,18 @@ def test_outlines_are_simplified_by_the_grid(spark):
     assert n({**SCENES, "storage": {"resolution": {"x": 10, "y": -30}}}) == 5  # 2.5 off
     assert n({**SCENES, "storage": {"resolution": {"x": 5, "y": -5}}}) == 6
     assert extents.tolerance({"name": "p"}) is None
+
+
+def test_documents_of_one_file_are_summed_in_many_tasks(spark, tmp_path):
+    import duckdb
+
+    from eocatalog.plans import registry
+
+    path = f"{tmp_path}/events.parquet"
+    duckdb.sql(f"COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_hours(i::INTEGER) AS ts, i % 5 AS user_id, ['click', 'view', 'signup'][1 + i % 3] AS event_type, 1.0::DOUBLE AS value, '{{}}' AS props FROM range(300) t(i)) TO '{path}' (FORMAT parquet)")
+    docs = registry._documents(spark, str(tmp_path))
+    assert docs.select(F.spark_partition_id()).distinct().count() > 1
+    got = registry.queries()["documents_to_summary"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{path}'")
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(registry.oracle_sql()["documents_to_summary"]).fetchall())
